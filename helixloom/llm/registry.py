@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "packing")
+MODULES = ("language_id", "exact_dedup", "packing")
 
 
 def _modules():
