@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "exact_dedup", "packing", "toxicity")
+MODULES = ("language_id", "exact_dedup", "packing", "toxicity", "simhash")
 
 
 def _modules():
