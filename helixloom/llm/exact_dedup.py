@@ -29,6 +29,7 @@ SLOT_BITS_PER_ROW = 16
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 28
 BITMAP_SHIFT = 15  # bitmap_construct_agg makes bitmaps of 2**15 bits
 LAST_ID = (1 << 63) - 1
+SALTS = 8
 
 
 def normalized(text: Column) -> Column:
@@ -93,7 +94,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     crowd = flagged.where("maybe_repeated").drop("maybe_repeated")
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("rank"), F.col("row_no"), F.col("doc_id"))
     groups = crowd.groupBy("text_sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    met = crowd.join(groups, "text_sha256").select(
+    # Each group meets the salted shares of its rows, which the skew join may split further.
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    crowd = crowd.withColumn("salt", F.pmod("row_no", F.lit(SALTS)).cast("int"))
+    met = crowd.join(groups, ["text_sha256", "salt"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
