@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "exact_dedup", "packing", "line_dedup", "toxicity", "simhash")
+MODULES = ("language_id", "exact_dedup", "packing", "line_dedup", "toxicity", "secrets", "simhash")
 
 
 def _modules():
