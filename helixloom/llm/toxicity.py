@@ -194,19 +194,20 @@ def learn(labelled: DataFrame, max_labelled: int = 12_000) -> Model:
     return Model(learned, forest, fit_isotonic(forest(x[check]), y[check]))
 
 
-def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` and the score of every row with a text."""
+def predict(df: DataFrame, model: Model, keep: list[str], with_text: bool = False) -> DataFrame:
+    """``keep``, the text if asked for, and the score of every row with a text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    given = [*keep, "text"] if with_text else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(shared.value.learned)
         for batch in batches:
             texts = batch.column(len(keep))
             score = [shared.value.score(make.matrix(texts.slice(s, 512).to_pylist())) for s in range(0, batch.num_rows, 512)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate([[], *score]), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], pa.array(np.concatenate([[], *score]), pa.float64())], names=[*given, "score"])
 
     types = dict(df.dtypes)
-    return df.select(*[F.col(k) for k in keep], "text").mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", score double")
+    return df.select(*[F.col(k) for k in keep], "text").mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in given) + ", score double")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
