@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from helixloom.plans import assoc, qc
 
-def _modules():
-    return []
+MODULES = (qc, assoc)
 
 
 def queries() -> dict:
-    return {name: q for m in _modules() for name, q in m.QUERIES.items()}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
