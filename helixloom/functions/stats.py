@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 LOG_SLACK = 1e-9
@@ -77,12 +78,12 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def betai(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else incomplete_beta(p, q, v) for p, q, v in zip(a, b, x, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_sf1(x: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return pd.Series([None if pd.isna(v) else math.erfc(math.sqrt(max(0.0, v) / 2)) for v in x], dtype="float64")

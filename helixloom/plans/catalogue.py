@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixloom.plans import assoc, qc
+from helixloom.plans import alignment, assoc, explorer, qc
 
-MODULES = (qc, assoc)
+MODULES = (qc, assoc, explorer, alignment)
 
 
 def queries() -> dict:

@@ -28,8 +28,9 @@ READS = f"""v_reads AS (
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contig, feature_id, start, end, strand, type, tag, product: one interval for each order line."""
-    line = table(spark, sf_dir, "lineitem")
+    """contig, feature_id, start, end, strand, type, tag, product: one interval for each numbered order line."""
+    kept = ["l_suppkey", "l_partkey", "l_quantity", "l_linestatus", "l_returnflag"]
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in kept])
     start = (F.col("l_partkey") * 10).alias("start")
     return line.select(
         F.col("l_suppkey").alias("contig"),
@@ -47,7 +48,8 @@ FEATURES = """v_features AS (
     SELECT l_suppkey AS contig, l_orderkey * 10 + l_linenumber AS feature_id, l_partkey * 10 AS start, l_partkey * 10 + (l_quantity * 3)::BIGINT AS "end",
            CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS strand,
            CASE l_returnflag WHEN 'R' THEN 'tRNA' WHEN 'A' THEN 'gene' ELSE 'CDS' END AS type, 'LT_' || l_orderkey AS tag, 'protein ' || l_partkey AS product
-    FROM lineitem)"""
+    FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag
+          FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
 
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ TRAITS = """v_trait AS (
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_idx, col, base: a row for each nation, a column for each part, with substitutions and gaps."""
-    part = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("col"), "p_size")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("col"), "p_size")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("seq_idx"))
     cell = part.crossJoin(F.broadcast(nation))
     change = F.when((F.col("seq_idx") * 7919 + F.col("col") * 104729) % 97 < F.col("seq_idx") % 7 + 2, 1 + (F.col("seq_idx") + F.col("col")) % 3).otherwise(0)
@@ -96,9 +98,9 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALIGNMENT = """v_aln AS (
-    SELECT n_nationkey::BIGINT AS seq_idx, p_partkey - 1 AS col,
-           CASE WHEN (n_nationkey::BIGINT * 13 + (p_partkey - 1) * 29) % 211 = 0 THEN '-' ELSE substr('ACGT', ((p_size + (p_partkey - 1) * 31 +
-           CASE WHEN (n_nationkey::BIGINT * 7919 + (p_partkey - 1) * 104729) % 97 < n_nationkey % 7 + 2 THEN 1 + (n_nationkey::BIGINT + p_partkey - 1) % 3 ELSE 0 END) % 4 + 1)::INT, 1) END AS base
+    SELECT n_nationkey::BIGINT AS seq_idx, p_partkey AS col,
+           CASE WHEN (n_nationkey::BIGINT * 13 + p_partkey * 29) % 211 = 0 THEN '-' ELSE substr('ACGT', ((p_size + p_partkey * 31 +
+           CASE WHEN (n_nationkey::BIGINT * 7919 + p_partkey * 104729) % 97 < n_nationkey % 7 + 2 THEN 1 + (n_nationkey::BIGINT + p_partkey) % 3 ELSE 0 END) % 4 + 1)::INT, 1) END AS base
     FROM part CROSS JOIN nation)"""
 
 
