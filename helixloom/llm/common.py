@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from helixloom.session import fresh_path, materialize, shared_dir
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local
-    session (tests) gets a temporary folder; on a cluster that would be a
-    machine-local folder, so it is an error there.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if (known := context._jsc.sc().getCheckpointDir()).isDefined():
-        return known.get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="helixloom-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+__all__ = ["fresh_path", "held_out", "materialize", "shared_dir", "table"]
 
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

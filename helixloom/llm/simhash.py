@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.llm.common import materialize, table
-from helixloom.llm.components import components
+from helixloom.operators.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
 TILE, BLOCK_ROWS, BLOCK_COLUMNS = 1 << 15, 64, 1 << 13
