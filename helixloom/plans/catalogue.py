@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixloom.plans import alignment, assoc, explorer, qc
+from helixloom.plans import alignment, assembly, assoc, explorer, phylo, qc
 
-MODULES = (qc, assoc, explorer, alignment)
+MODULES = (qc, assoc, explorer, alignment, assembly, phylo)
 
 
 def queries() -> dict:
