@@ -75,15 +75,15 @@ def _fnv(letter, k: int = 10) -> str:
 BASES = """v_base AS (SELECT read_idx, len, k AS pos, ascii(substr(seq, k + 1, 1))::BIGINT AS c, ascii(translate(substr(seq, k + 1, 1), 'ACGT', 'TGCA'))::BIGINT AS d, (substr(seq, k + 1, 1) = 'N')::INT AS bad
     FROM (SELECT read_idx, seq, length(seq) AS len, unnest(range(length(seq))) AS k FROM v_reads))"""
 lead = lambda x: (lambda t: f"lead({x}, {t}) OVER w" if t else x)
-SKETCH = f"""v_kmer AS (SELECT read_idx, pos, f, r, CASE WHEN bad > 0 THEN NULL ELSE least(f, r) END AS h FROM (
+SKETCH = f"""v_kmer AS MATERIALIZED (SELECT read_idx, pos, f, r, CASE WHEN bad > 0 THEN NULL ELSE least(f, r) END AS h FROM (
         SELECT read_idx, pos, len, {_fnv(lambda t: f"c{t}")} AS f, {_fnv(lambda t: f"d{9 - t}")} AS r, bad FROM (
             SELECT read_idx, pos, len, {", ".join(f"{lead('c')(t)} AS c{t}, {lead('d')(t)} AS d{t}" for t in range(10))},
                    sum(bad) OVER (PARTITION BY read_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS bad FROM v_base WINDOW w AS (PARTITION BY read_idx ORDER BY pos))
         WHERE pos + 10 <= len)),
     v_win AS (SELECT read_idx, pos, min((h, pos)) FILTER (h IS NOT NULL) OVER w AS best, count(*) OVER w AS n FROM v_kmer WINDOW w AS (PARTITION BY read_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
     v_pick AS (SELECT read_idx, best[1] AS hash, best[2] AS spot, lag(best[2]) OVER (PARTITION BY read_idx ORDER BY pos) AS before FROM v_win WHERE n = 5 AND best IS NOT NULL),
-    v_min AS (SELECT p.read_idx, hash, spot AS pos, CASE WHEN f <= r THEN 1 ELSE -1 END AS strand FROM v_pick p JOIN v_kmer k ON k.read_idx = p.read_idx AND k.pos = p.spot WHERE before IS NULL OR before <> spot),
-    v_kept AS (SELECT * FROM v_min WHERE hash IN (SELECT hash FROM v_min GROUP BY hash HAVING count(DISTINCT read_idx) BETWEEN 2 AND 40)),
+    v_min AS MATERIALIZED (SELECT p.read_idx, hash, spot AS pos, CASE WHEN f <= r THEN 1 ELSE -1 END AS strand FROM v_pick p JOIN v_kmer k ON k.read_idx = p.read_idx AND k.pos = p.spot WHERE before IS NULL OR before <> spot),
+    v_kept AS MATERIALIZED (SELECT * FROM v_min WHERE hash IN (SELECT hash FROM v_min GROUP BY hash HAVING count(DISTINCT read_idx) BETWEEN 2 AND 40)),
     v_match AS (SELECT x.read_idx AS a, y.read_idx AS b, x.pos AS pos_a, y.pos AS pos_b, x.strand AS sa, y.strand AS sb FROM v_kept x JOIN v_kept y ON x.hash = y.hash AND x.read_idx < y.read_idx)"""
 CHAINS = """v_len AS (SELECT read_idx, length(seq) AS len FROM v_reads),
     v_diag AS (SELECT m.*, la.len AS len_a, lb.len AS len_b, CASE WHEN sa = sb THEN 'same' ELSE 'rev' END AS o, CASE WHEN sa = sb THEN pos_b ELSE lb.len - pos_b - 10 END AS bt
@@ -93,7 +93,7 @@ CHAINS = """v_len AS (SELECT read_idx, length(seq) AS len FROM v_reads),
     v_chain AS (SELECT a, b, o, run, len_a, len_b, count(*) AS n, min(pos_a) AS a0, max(pos_a) + 10 AS a1, min(bt) AS b0, max(bt) + 10 AS b1 FROM v_run GROUP BY ALL),
     v_long AS (SELECT *, greatest(a1 - a0, b1 - b0) AS span FROM v_chain QUALIFY row_number() OVER (PARTITION BY a, b, o ORDER BY n DESC, run) = 1),
     v_best AS (SELECT * FROM v_long WHERE n >= 4 AND span + 10 >= 200 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC, o DESC) = 1),
-    v_ov AS (SELECT *, CASE WHEN a0 <= 60 AND a1 >= len_a - 60 THEN 'A_contained_in_B' WHEN b0 <= 60 AND b1 >= len_b - 60 THEN 'B_contained_in_A'
+    v_ov AS MATERIALIZED (SELECT *, CASE WHEN a0 <= 60 AND a1 >= len_a - 60 THEN 'A_contained_in_B' WHEN b0 <= 60 AND b1 >= len_b - 60 THEN 'B_contained_in_A'
         WHEN a1 >= len_a - 60 AND b0 <= 60 THEN 'A_to_B' WHEN b1 >= len_b - 60 AND a0 <= 60 THEN 'B_to_A' END AS type FROM v_best)"""
 ORACLES = {
     "minimizers": with_views("SELECT read_idx, hash, pos, strand::BIGINT AS strand FROM v_min", READS, BASES, SKETCH),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixloom.plans import alignment, assembly, assoc, explorer, phylo, qc
+from helixloom.plans import alignment, annotation, assembly, assoc, explorer, phylo, qc
 
-MODULES = (qc, assoc, explorer, alignment, assembly, phylo)
+MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation)
 
 
 def queries() -> dict:
