@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixloom.plans import alignment, annotation, assembly, assoc, explorer, phylo, qc
+from helixloom.plans import alignment, annotation, assembly, assoc, explorer, phylo, qc, streams
 
-MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation)
+MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation, streams)
 
 
 def queries() -> dict:
