@@ -107,12 +107,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return alone.unionByName(met)
 
 
-def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without those whose text an earlier id has; ids are unique here."""
-    gone = exact_dedup(df, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-
-
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

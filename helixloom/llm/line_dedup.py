@@ -121,12 +121,16 @@ def _without(text: Column, runs: Column) -> Column:
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, runs_col: str | None = None) -> DataFrame:
     """``df`` with the repeated runs taken out of the text; ``runs_col`` names a column for the runs taken."""
-    runs = repeated_runs(line_hashes(df, id_col, text_col), min_words).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
-    met = df.join(runs, key, "left")
-    text = F.when(F.col("__runs").isNotNull(), _without(F.col(text_col), F.col("__runs"))).otherwise(F.col(text_col))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in df.columns]
-    return met.select(*columns, *([F.col("__runs").alias(runs_col)] if runs_col else []))
+    free = "__run"
+    while any(c.startswith(free) for c in df.columns):  # names that no column of df has
+        free += "_"
+    found = repeated_runs(line_hashes(df, id_col, text_col), min_words)
+    runs = found.select(F.col("doc").alias(f"{free}_doc"), F.col("text_hash").alias(f"{free}_hash"), F.col("runs").alias(f"{free}s"))
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col(f"{free}_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{free}_hash"))
+    met, gone = df.join(runs, key, "left"), F.col(f"{free}s")
+    text = F.when(gone.isNotNull(), _without(F.col(text_col), gone)).otherwise(F.col(text_col))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return met.select(*columns, *([gone.alias(runs_col)] if runs_col else []))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
