@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixloom.plans import alignment, annotation, assembly, assoc, explorer, phylo, qc, streams
+from helixloom.plans import alignment, annotation, assembly, assoc, explorer, phylo, qc, streams, tables
 
-MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation, streams)
+MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation, tables, streams)
 
 
 def queries() -> dict:
