@@ -104,6 +104,16 @@ def formatted_bases(n: Column) -> Column:
     return label
 
 
+def formatted_bytes(n: Column) -> Column:
+    """1536 as '1.5 KB' and so on, up to GB; one decimal."""
+    label = F.concat(n.cast("string"), F.lit(" B"))
+    for power, name in ((1, " KB"), (2, " MB"), (3, " GB")):
+        unit = 1024**power
+        tenths = F.floor((n * 10 + unit // 2) / unit).cast("long")
+        label = F.when(n >= unit, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))).otherwise(label)
+    return label
+
+
 def mulberry32(seed: int, draw: Column) -> Column:
     """Draw number ``draw`` (from 0) of the mulberry32 stream: the state is a counter, so draws are independent."""
     two32 = 1 << 32

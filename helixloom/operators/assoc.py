@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import stats
 
-HINT_CASE = r"(?i)resist|case|positive|virulent|invasive|yes|true|^1$"
-
-
 def _cells() -> list[Column]:
     here, case = F.col("present"), F.col("is_case")
     return [F.count_if(here & case).alias("a"), F.count_if(here & ~case).alias("b"), F.count_if(~here & case).alias("c"), F.count_if(~here & ~case).alias("d")]
@@ -89,8 +86,9 @@ def ranked(rows: DataFrame, most: int = 150) -> DataFrame:
     return rows.orderBy(F.col("p").asc_nulls_last(), "gene").limit(most)
 
 
-def significant(rows: DataFrame, fdr: float = 0.05) -> DataFrame:
-    return rows.where(F.col("q") <= fdr)
+def significant(rows: DataFrame, fdr: float = 0.05, by: str = "q") -> DataFrame:
+    """Rows at or under the level: by the false discovery rate, or with ``by="cmh_p"`` by the raw stratified p."""
+    return rows.where(F.col(by) <= fdr)
 
 
 def group_counts(presence: DataFrame) -> DataFrame:

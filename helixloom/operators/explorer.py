@@ -67,6 +67,12 @@ def origin_terminus(tracks: DataFrame) -> DataFrame:
     return cumulative.groupBy("contig").agg(F.min(F.struct("cum", "start"))["start"].alias("origin"), F.min(F.struct((-F.col("cum")).alias("cum"), "start"))["start"].alias("terminus"))
 
 
+def circular_tracks(contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tracks, and origin and terminus, of the contigs that are marked circular; others have none."""
+    tracks = skew_tracks(contigs.where("circular"))
+    return tracks, origin_terminus(tracks)
+
+
 def gc_track(contigs: DataFrame) -> DataFrame:
     """contig, pos, gc: percent at the middle of windows a half window apart."""
     win = F.greatest(F.lit(200), F.floor(F.length("seq") / 400))

@@ -40,6 +40,12 @@ def contig_fasta(contigs: DataFrame) -> DataFrame:
     return fasta(contigs, head)
 
 
+def consensus_fasta(stats: DataFrame, name: str = "consensus") -> DataFrame:
+    """The consensus of column statistics as one record; columns without one are N."""
+    letters = F.array_join(F.array_sort(F.collect_list(F.struct("col", "consensus")))["consensus"], "")
+    return fasta(stats.agg(F.replace(letters, F.lit("-"), F.lit("N")).alias("seq")), F.lit(name))
+
+
 def region_fasta(contigs: DataFrame, contig, start: int, end: int, strand: str = "+") -> DataFrame:
     """The part of a contig, cut to its length, turned if the strand is '-'; 70 letters a line."""
     start = max(0, start)

@@ -217,3 +217,19 @@ def test_matching_is_greedy(spark):
             used |= ends
             expected.add(r[:2])
     assert {(r.a, r.b) for r in assembly.greedy_matching(edges).collect()} == expected
+
+
+def test_byte_labels(spark):
+    assert [one(spark, S.formatted_bytes(F.lit(n))) for n in (12, 1536, 3 << 20)] == ["12 B", "1.5 KB", "3.0 MB"]
+
+
+def test_stream_progress_is_kept(spark, sf_dir):
+    from helixloom.plans import streams
+    from helixloom.streaming import progress
+
+    watcher = progress.watch(spark)
+    streams.stream_length_counts(spark, sf_dir)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    progress.cancel(spark)
+    spark.streams.removeListener(watcher)
+    assert all(r[2] >= 0 for r in watcher.reports)
