@@ -20,7 +20,8 @@ def _stream(spark, sf_dir, name):
 
 def stream_length_counts(spark, sf_dir):
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    return drained(length_counts(_stream(spark, sf_dir, "documents").select(F.translate(letters, LETTERS, AS_BASES).alias("seq"))))
+    counts = drained(length_counts(_stream(spark, sf_dir, "documents").select(F.translate(letters, LETTERS, AS_BASES).alias("seq"))))
+    return counts.withColumn("length", F.col("length").cast("long"))
 
 
 def stream_hourly_activity(spark, sf_dir):
