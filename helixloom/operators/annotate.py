@@ -17,7 +17,7 @@ from helixloom.functions import genes as G
 from helixloom.functions import protein as P
 from helixloom.functions import sequence as S
 from helixloom.operators import explorer
-from helixloom.session import materialize
+from helixloom.session import materialize, spread
 
 MIN_GENE, SPARE = 90, 60
 TRAINING_LENGTHS, TRAINING_GENES = (300, 180, 120), 600
@@ -43,7 +43,7 @@ def orf_scan(contigs: DataFrame, least: int = MIN_GENE) -> DataFrame:
             out = [(c, n, s, a, b, p, seq[a:b]) for c, n, s, seq in rows[["contig", "len", "strand", "seq"]].itertuples(index=False) for a, b, p in G.orfs(seq, least)]
             yield pd.DataFrame(out, columns=["contig", "len", "strand", "start", "end", "partial3", "orf"])
 
-    return strands(contigs).mapInPandas(run, "contig long, len int, strand string, start int, end int, partial3 boolean, orf string")
+    return spread(strands(contigs)).mapInPandas(run, "contig long, len int, strand string, start int, end int, partial3 boolean, orf string")
 
 
 def hexamers(contigs: DataFrame) -> DataFrame:

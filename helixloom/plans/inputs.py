@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixloom.session import spread
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters as bases and as Phred characters; J, Q and X stand for the unknown base.
 AS_BASES = "ACGTACGTANGTACGTNCGTACGNAC"
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_idx, id, seq, qual: the letters of each document."""
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_idx"), F.concat(F.lit("read_"), F.col("doc_id").cast("string")).alias("id"), letters.alias("letters"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read_idx"), F.concat(F.lit("read_"), F.col("doc_id").cast("string")).alias("id"), letters.alias("letters"))
     return docs.select("read_idx", "id", F.translate("letters", LETTERS, AS_BASES).alias("seq"), F.translate("letters", LETTERS, AS_QUALITY).alias("qual"))
 
 

@@ -57,3 +57,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores, if its files give fewer partitions than there are cores; a large input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
