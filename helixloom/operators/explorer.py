@@ -1,4 +1,4 @@
-"""Genome explorer: interval predicates, tracks, motifs, feature resolution.
+"""Annotated contigs: interval predicates, tracks, motifs, feature resolution.
 
 Tables: features (contig, feature_id, start, end, strand, type, tag, product); contigs (contig, seq).
 Intervals are 0-based and half-open.
