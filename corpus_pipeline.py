@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each on what the stage before it kept.
 
 1. ``toxicity``: documents scored as toxic go.
-2. ``line_dedup``: repeated runs of lines are taken out of the texts.
+2. ``line_dedup``: repeated runs of words are taken out of the texts, wherever lines end.
 3. ``near_dedup``: of each SimHash group the document with the smallest id stays.
 4. ``decontamination``: documents that cover a benchmark item go.
 5. ``packing``: the rest is packed into sequences.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from helixloom.llm.common import fresh_path, table
 from helixloom.llm.decontamination import contaminated
-from helixloom.llm.line_dedup import line_dedup
 from helixloom.llm.packing import pack
+from helixloom.llm.passage_dedup import passage_dedup
 from helixloom.llm.simhash import near_duplicates
 from helixloom.llm.toxicity import THRESHOLD, labelled_rows, learn, predict
 from helixloom.session import ensure_package
@@ -38,7 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_package(spark)
-    return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return passage_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
