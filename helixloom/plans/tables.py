@@ -35,6 +35,13 @@ def feature_inspector(spark, sf_dir):
     return rows.select("feature_id", F.md5("dna").alias("dna_md5"), S.quantized(F.col("gc")).alias("gc"), F.md5("protein").alias("protein_md5"), "placeholder")
 
 
+def feature_inspector_all(spark, sf_dir):
+    """Every feature, wherever it starts; feature_inspector is held to its SQL, which keeps those before 2000."""
+    contigs = reads(spark, sf_dir).select(F.col("read_idx").alias("contig"), "seq")
+    rows = T.inspect_feature(features(spark, sf_dir), contigs)
+    return rows.select("feature_id", F.md5("dna").alias("dna_md5"), S.quantized(F.col("gc")).alias("gc"), F.md5("protein").alias("protein_md5"), "placeholder")
+
+
 def conservation_track(spark, sf_dir):
     return T.conservation(A.column_stats(alignment(spark, sf_dir))).select("col", S.quantized(F.col("share")).alias("share"))
 
@@ -51,7 +58,7 @@ def phred_functions(spark, sf_dir):
     return rows.select("read_idx", q.cast("long").alias("q"), S.quantized(S.error_probability(q), 9).alias("p"), S.quantized(S.quality_of(S.error_probability(q))).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (read_table_page, batch_fetch, effect_sorted_tests, feature_inspector, conservation_track, feature_union, phred_functions)}
+QUERIES = {f.__name__: f for f in (read_table_page, batch_fetch, effect_sorted_tests, feature_inspector, feature_inspector_all, conservation_track, feature_union, phred_functions)}
 
 
 def _q(x: str, digits: int = 6) -> str:
@@ -70,6 +77,14 @@ ORACLES = {
                length(replace(dna, 'N', '')) = 0 AS placeholder FROM d""",
         FEATURES, READS,
     ),
+    "feature_inspector_all": with_views(
+        f"""WITH m AS (SELECT f.*, substr(seq, greatest(0, start) + 1, greatest(0, least(length(seq), "end") - greatest(0, start))) AS part FROM v_features f JOIN v_reads ON read_idx = contig),
+        d AS (SELECT *, CASE WHEN strand = '-' THEN {RC.format("part")} ELSE part END AS dna FROM m)
+        SELECT feature_id, md5(dna) AS dna_md5, {_q("CASE WHEN length(replace(dna, '-', '')) > 0 THEN (length(dna) - length(translate(dna, 'GCgc', ''))) * 100.0::DOUBLE / length(replace(dna, '-', '')) ELSE 0 END")} AS gc,
+               CASE WHEN type IN ('CDS', 'gene') THEN md5(regexp_replace(coalesce(list_aggregate(list_transform(range(length(dna) // 3), lambda i: coalesce({CODE}[substr(dna, i * 3 + 1, 3)], 'X')), 'string_agg', ''), ''), '\\*$', '')) END AS protein_md5,
+               length(replace(dna, 'N', '')) = 0 AS placeholder FROM d""",
+        FEATURES, READS,
+    ),
     "conservation_track": with_views(f"SELECT col, {_q('greatest(count(*) FILTER (base = chr(65)), count(*) FILTER (base = chr(67)), count(*) FILTER (base = chr(71)), count(*) FILTER (base = chr(84))) / count(*)')} AS share FROM v_aln GROUP BY col", ALIGNMENT),
     "feature_union": with_views(
         """WITH r AS (SELECT contig, feature_id, strand FROM v_features WHERE strand = '-' AND contig % 2 = 0)
