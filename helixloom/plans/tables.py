@@ -52,13 +52,20 @@ def feature_union(spark, sf_dir):
     return T.merge_by_contig(f.where("strand = '+'"), f.where("strand = '-' AND contig % 2 = 0"))
 
 
+def feature_union_all(spark, sf_dir):
+    """A feature of each order on its customer, and as the side that wins all features of the order lines; nothing is filtered by id."""
+    lines = features(spark, sf_dir).select("contig", "feature_id", "strand")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("contig"), (F.col("o_orderkey") * 10).alias("feature_id"), F.when(F.col("o_orderstatus") == "F", "-").otherwise("+").alias("strand"))
+    return T.merge_by_contig(orders, lines)
+
+
 def phred_functions(spark, sf_dir):
     rows = reads(spark, sf_dir).where(F.length("qual") > 0)
     q = S.phred(F.substring("qual", 1, 1))
     return rows.select("read_idx", q.cast("long").alias("q"), S.quantized(S.error_probability(q), 9).alias("p"), S.quantized(S.quality_of(S.error_probability(q))).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (read_table_page, batch_fetch, effect_sorted_tests, feature_inspector, feature_inspector_all, conservation_track, feature_union, phred_functions)}
+QUERIES = {f.__name__: f for f in (read_table_page, batch_fetch, effect_sorted_tests, feature_inspector, feature_inspector_all, conservation_track, feature_union, feature_union_all, phred_functions)}
 
 
 def _q(x: str, digits: int = 6) -> str:
@@ -91,6 +98,11 @@ ORACLES = {
         SELECT contig, feature_id, strand FROM v_features WHERE strand = '+' AND contig NOT IN (SELECT contig FROM r) UNION ALL SELECT * FROM r""",
         FEATURES,
     ),
+    "feature_union_all": with_views(
+        """WITH l AS (SELECT o_custkey AS contig, o_orderkey * 10 AS feature_id, CASE WHEN o_orderstatus = 'F' THEN '-' ELSE '+' END AS strand FROM orders)
+        SELECT * FROM l WHERE contig NOT IN (SELECT contig FROM v_features) UNION ALL SELECT contig, feature_id, strand FROM v_features""",
+        FEATURES,
+    ),
     "phred_functions": with_views(
         f"SELECT read_idx, (ascii(qual) - 33)::BIGINT AS q, {_q('pow(10.0::DOUBLE, -(ascii(qual) - 33) / 10.0::DOUBLE)', 9)} AS p, {_q('(-10 * log10(greatest(pow(10.0::DOUBLE, -(ascii(qual) - 33) / 10.0::DOUBLE), 1e-12)))')} AS back FROM v_reads WHERE qual <> ''", READS
     ),

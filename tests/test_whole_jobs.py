@@ -12,3 +12,11 @@ def test_every_feature_is_inspected(spark, sf_dir):
     known = reads(spark, sf_dir).select(F.col("read_idx").alias("contig"))
     wanted = features(spark, sf_dir).join(known, "contig").agg(F.count(F.lit(1)), F.count_if(F.col("start") >= 2000)).first()
     assert wanted[1] > 0 and QUERIES["feature_inspector_all"](spark, sf_dir).count() == wanted[0]
+
+
+def test_union_takes_whole_sides(spark, sf_dir):
+    rows = {r.feature_id: r.contig for r in QUERIES["feature_union_all"](spark, sf_dir).collect()}
+    orders = {r.o_orderkey * 10: r.o_custkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()}
+    lines = {r.feature_id: r.contig for r in features(spark, sf_dir).collect()}
+    kept = {k: c for k, c in orders.items() if c not in set(lines.values())}
+    assert kept and rows == lines | kept
