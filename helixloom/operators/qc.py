@@ -5,6 +5,8 @@ Tables: reads (read_idx, id, seq, qual); metrics (read_idx, id, length, mean_q,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +143,46 @@ def scatter_sample(metrics: DataFrame, points: int = 3000) -> DataFrame:
     """Every n-th read by index, about ``points`` of them: the sampling operator of the scatter plot."""
     step = metrics.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / points)).alias("step"))
     return metrics.crossJoin(F.broadcast(step)).where(F.col("read_idx") % F.col("step") == 0).drop("step")
+
+
+def kmer_hash_totals(reads: DataFrame, k: int) -> DataFrame:
+    """Over all k-mers of each read: how many, exclusive-or of the FNV hashes, least and sum of the canonical ones, and how many are forward.
+
+    The sequences are ASCII. A read shorter than k has none: 0, and null for the least.
+    """
+    other = np.frombuffer(bytes(range(256)), np.uint8).copy()
+    other[:] = ord("N")
+    for base, complement in zip(S.BASES + "n", S.COMPLEMENTS + "n"):
+        other[ord(base)] = ord(complement)
+
+    def totals(seq: str) -> tuple:
+        raw = np.frombuffer(seq.encode("ascii"), np.uint8)
+        n = len(raw) - k + 1
+        if n <= 0:
+            return 0, 0, None, 0, 0
+        forward = np.full(n, S.FNV_OFFSET, np.uint32)
+        backward, paired = forward.copy(), other[raw]
+        for j in range(k):  # products in 32 bits wrap
+            forward = (forward ^ raw[j : j + n]) * np.uint32(S.FNV_PRIME)
+            backward = (backward ^ paired[k - 1 - j : k - 1 - j + n]) * np.uint32(S.FNV_PRIME)
+        least = np.minimum(forward, backward)
+        return n, int(np.bitwise_xor.reduce(forward)), int(least.min()), int(least.sum(dtype=np.int64)), int((forward <= backward).sum())
+
+    def batches(parts):
+        for part in parts:
+            rows = [totals(seq) for seq in part.column("seq").to_pylist()]
+            columns = [part.column("read_idx"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))]
+            yield pa.RecordBatch.from_arrays(columns, names=["read_idx", "kmers", "fnv_xor", "canonical_min", "canonical_sum", "forward"])
+
+    return reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq").mapInArrow(batches, "read_idx long, kmers long, fnv_xor long, canonical_min long, canonical_sum long, forward long")
+
+
+def phred_totals(reads: DataFrame) -> DataFrame:
+    """Over all quality characters of each read with any: how many, least, greatest and summed quality, summed error and the qualities summed back from the errors."""
+    chars = F.filter(F.split("qual", ""), lambda c: c != "")
+    q = reads.where(F.length("qual") > 0).select("read_idx", F.transform(chars, S.phred).alias("q"))
+    p = q.select("read_idx", "q", F.transform("q", S.error_probability).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda t, x: t + x)
+    back = F.aggregate("p", F.lit(0.0), lambda t, x: t + S.quality_of(x))
+    sum_q = F.aggregate("q", F.lit(0).cast("long"), lambda t, x: t + x)
+    return p.select("read_idx", F.size("q").cast("long").alias("n"), F.array_min("q").cast("long").alias("min_q"), F.array_max("q").cast("long").alias("max_q"), sum_q.alias("sum_q"), S.quantized(total).alias("sum_p"), S.quantized(back).alias("sum_back"))

@@ -95,6 +95,11 @@ def fnv_kmer_hash(spark, sf_dir):
     return kmer.select("read_idx", "kmer", fnv1a(F.col("kmer")).alias("fnv"), best["hash"].alias("canonical"), best["strand"].cast("long").alias("strand"))
 
 
+def fnv_kmer_hashes(spark, sf_dir):
+    """Every k-mer of each read; fnv_kmer_hash is held to its SQL, which hashes the first."""
+    return qc.kmer_hash_totals(reads(spark, sf_dir), 10)
+
+
 def mulberry_draws(spark, sf_dir):
     return reads(spark, sf_dir).select("read_idx", quantized(mulberry32(42, F.col("read_idx")), 9).alias("draw"))
 
@@ -107,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_metrics, qc_summary, n50_n90, length_histogram, quality_histogram, gc_histogram, yield_by_length, positional_quality, base_composition, read_filter_pass,
-        qc_verdict, assembly_read_selection, scatter_sample, read_search, revcomp, translate_frames, fnv_kmer_hash, mulberry_draws, format_bases,
+        qc_verdict, assembly_read_selection, scatter_sample, read_search, revcomp, translate_frames, fnv_kmer_hash, fnv_kmer_hashes, mulberry_draws, format_bases,
     )
 }
 
@@ -214,6 +219,14 @@ ORACLES = {
         SELECT read_idx, kmer, f AS fnv, least(f, r) AS canonical, CASE WHEN f <= r THEN 1 ELSE -1 END::BIGINT AS strand FROM h""",
         READS,
     ),
+    "fnv_kmer_hashes": with_views(
+        f"""WITH k AS (SELECT read_idx, substr(seq, unnest(range(1, length(seq) - 8)), 10) AS kmer FROM v_reads WHERE length(seq) >= 10),
+        d AS (SELECT DISTINCT kmer FROM k),
+        h AS (SELECT kmer, {FNV.format("kmer")} AS f, {FNV.format(RC.format("kmer"))} AS r FROM d),
+        t AS (SELECT read_idx, count(*) AS kmers, bit_xor(f) AS fnv_xor, min(least(f, r)) AS canonical_min, sum(least(f, r))::BIGINT AS canonical_sum, count(*) FILTER (f <= r) AS forward FROM k JOIN h USING (kmer) GROUP BY read_idx)
+        SELECT read_idx, coalesce(kmers, 0) AS kmers, coalesce(fnv_xor, 0) AS fnv_xor, canonical_min, coalesce(canonical_sum, 0) AS canonical_sum, coalesce(forward, 0) AS forward FROM v_reads LEFT JOIN t USING (read_idx)""",
+        READS,
+    ),
     "mulberry_draws": with_views(
         f"""WITH a AS (SELECT read_idx, (42 + (read_idx + 1) * 1831565813) % 4294967296 AS a FROM v_reads),
         b AS (SELECT read_idx, {_mul("xor(a, a >> 15)", "a | 1")} AS t FROM a),

@@ -65,7 +65,12 @@ def phred_functions(spark, sf_dir):
     return rows.select("read_idx", q.cast("long").alias("q"), S.quantized(S.error_probability(q), 9).alias("p"), S.quantized(S.quality_of(S.error_probability(q))).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (read_table_page, batch_fetch, effect_sorted_tests, feature_inspector, feature_inspector_all, conservation_track, feature_union, feature_union_all, phred_functions)}
+def phred_totals(spark, sf_dir):
+    """Every quality character of each read; phred_functions is held to its SQL, which converts the first."""
+    return qc.phred_totals(reads(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (read_table_page, batch_fetch, effect_sorted_tests, feature_inspector, feature_inspector_all, conservation_track, feature_union, feature_union_all, phred_functions, phred_totals)}
 
 
 def _q(x: str, digits: int = 6) -> str:
@@ -106,4 +111,11 @@ ORACLES = {
     "phred_functions": with_views(
         f"SELECT read_idx, (ascii(qual) - 33)::BIGINT AS q, {_q('pow(10.0::DOUBLE, -(ascii(qual) - 33) / 10.0::DOUBLE)', 9)} AS p, {_q('(-10 * log10(greatest(pow(10.0::DOUBLE, -(ascii(qual) - 33) / 10.0::DOUBLE), 1e-12)))')} AS back FROM v_reads WHERE qual <> ''", READS
     ),
+    "phred_totals": with_views(
+        f"""WITH c AS (SELECT read_idx, list_transform(string_split(qual, ''), lambda c: (ascii(c) - 33)::BIGINT) AS q FROM v_reads WHERE qual <> ''),
+        p AS (SELECT *, list_transform(q, lambda x: pow(10.0::DOUBLE, -x / 10.0::DOUBLE)) AS p FROM c)
+        SELECT read_idx, len(q)::BIGINT AS n, list_min(q) AS min_q, list_max(q) AS max_q, list_sum(q)::BIGINT AS sum_q, {_q("list_sum(p)")} AS sum_p,
+               {_q("list_sum(list_transform(p, lambda x: -10 * log10(greatest(x, 1e-12))))")} AS sum_back FROM p""",
+        READS,
+    ),
 }

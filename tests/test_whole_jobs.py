@@ -20,3 +20,10 @@ def test_union_takes_whole_sides(spark, sf_dir):
     lines = {r.feature_id: r.contig for r in features(spark, sf_dir).collect()}
     kept = {k: c for k, c in orders.items() if c not in set(lines.values())}
     assert kept and rows == lines | kept
+
+
+def test_every_kmer_and_quality_counts(spark, sf_dir):
+    length = {r.read_idx: r.n for r in reads(spark, sf_dir).select("read_idx", F.length("seq").alias("n")).collect()}
+    kmers = {r.read_idx: r.kmers for r in QUERIES["fnv_kmer_hashes"](spark, sf_dir).collect()}
+    assert kmers == {k: max(0, n - 9) for k, n in length.items()} and max(kmers.values()) > 1
+    assert {r.read_idx: r.n for r in QUERIES["phred_totals"](spark, sf_dir).collect()} == {k: n for k, n in length.items() if n}
