@@ -100,12 +100,13 @@ def yield_by_length(metrics: DataFrame, points: int = 400) -> DataFrame:
     return sampled.select(rank.alias("reads"), F.col("length").cast("long").alias("length"), (F.col("bases_before") + F.col("k") * F.col("length")).alias("cumulative_bases"))
 
 
-def positional_quality(reads: DataFrame, first_reads: int = 5000, positions: int = 3000, least_reads: int = 20, points: int = 300) -> DataFrame:
-    """Quality of the mean error at each position of the first reads, strided to about ``points`` rows."""
-    chosen = reads.orderBy("read_idx").limit(first_reads)
-    chars = chosen.select(F.posexplode(F.split(F.substring("qual", 1, positions), "")).alias("pos", "c")).where("c <> ''")
+def positional_quality(reads: DataFrame, first_reads: int | None = 5000, positions: int | None = 3000, least_reads: int = 20, points: int = 300) -> DataFrame:
+    """Quality of the mean error at each position, strided to about ``points`` rows; of the first reads and positions, or of all where those are None."""
+    chosen = reads if first_reads is None else reads.orderBy("read_idx").limit(first_reads)
+    qual = F.col("qual") if positions is None else F.substring("qual", 1, positions)
+    chars = chosen.select(F.posexplode(F.split(qual, "")).alias("pos", "c")).where("c <> ''")
     by = chars.groupBy("pos").agg(S.quality_of(F.avg(S.error_probability(S.phred(F.col("c"))))).alias("mean_q"), F.count(F.lit(1)).alias("reads")).where(F.col("reads") >= least_reads)
-    numbered = by.select("pos", "mean_q", "reads", (F.row_number().over(Window.orderBy("pos")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # at most ``positions`` rows
+    numbered = by.select("pos", "mean_q", "reads", (F.row_number().over(Window.orderBy("pos")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # a row for each position
     return numbered.where(F.col("k") % F.greatest(F.lit(1), F.floor(F.col("n") / points)) == 0).select("pos", "mean_q", "reads")
 
 

@@ -53,6 +53,10 @@ def positional_quality(spark, sf_dir):
     return _rounded(_longs(qc.positional_quality(reads(spark, sf_dir)), "pos", "reads"), "mean_q")
 
 
+def positional_quality_all(spark, sf_dir):
+    return _rounded(_longs(qc.positional_quality(reads(spark, sf_dir), first_reads=None, positions=None), "pos", "reads"), "mean_q")
+
+
 def base_composition(spark, sf_dir):
     return qc.base_composition(reads(spark, sf_dir))
 
@@ -111,7 +115,7 @@ def format_bases(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_metrics, qc_summary, n50_n90, length_histogram, quality_histogram, gc_histogram, yield_by_length, positional_quality, base_composition, read_filter_pass,
+        read_metrics, qc_summary, n50_n90, length_histogram, quality_histogram, gc_histogram, yield_by_length, positional_quality, positional_quality_all, base_composition, read_filter_pass,
         qc_verdict, assembly_read_selection, scatter_sample, read_search, revcomp, translate_frames, fnv_kmer_hash, fnv_kmer_hashes, mulberry_draws, format_bases,
     )
 }
@@ -187,6 +191,13 @@ ORACLES = {
         SELECT pos::BIGINT AS pos, {_q("mean_q")} AS mean_q, reads FROM k WHERE k % greatest(1, n // 300) = 0""",
         READS,
     ),
+    "positional_quality_all": with_views(
+        f"""WITH c AS (SELECT unnest(range(length(qual))) AS pos, unnest(string_split(qual, '')) AS ch FROM v_reads WHERE qual <> ''),
+        b AS (SELECT pos, -10 * log10(greatest(avg(pow(10.0::DOUBLE, -(ascii(ch) - 33) / 10.0::DOUBLE)), 1e-12)) AS mean_q, count(*) AS reads FROM c GROUP BY pos HAVING count(*) >= 20),
+        k AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS k, count(*) OVER () AS n FROM b)
+        SELECT pos::BIGINT AS pos, {_q("mean_q")} AS mean_q, reads FROM k WHERE k % greatest(1, n // 300) = 0""",
+        READS,
+    ),
     "base_composition": with_views("SELECT n_A, n_C, n_G, n_T, n_N FROM v_summary", READS, METRICS, SUMMARY),
     "read_filter_pass": with_views(
         f"""WITH p AS (SELECT length, mean_q::FLOAT >= 18.5::FLOAT AND length >= 500 AND length <= 5000 AS ok FROM v_metrics)

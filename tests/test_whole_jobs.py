@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from helixloom.operators import qc
 from helixloom.plans import catalogue
 from helixloom.plans.inputs import features, reads
 
@@ -27,3 +28,10 @@ def test_every_kmer_and_quality_counts(spark, sf_dir):
     kmers = {r.read_idx: r.kmers for r in QUERIES["fnv_kmer_hashes"](spark, sf_dir).collect()}
     assert kmers == {k: max(0, n - 9) for k, n in length.items()} and max(kmers.values()) > 1
     assert {r.read_idx: r.n for r in QUERIES["phred_totals"](spark, sf_dir).collect()} == {k: n for k, n in length.items() if n}
+
+
+def test_every_position_and_read_has_a_share(spark):
+    rows = spark.createDataFrame([(k, "I" * (3100 if k < 30 else 10)) for k in range(5100)], "read_idx long, qual string")
+    found = qc.positional_quality(rows, first_reads=None, positions=None)
+    assert found.agg(F.max("pos"), F.max("reads")).first()[:] == (3090, 5100)
+    assert qc.positional_quality(rows).agg(F.max("pos"), F.max("reads")).first()[:] == (2990, 5000)
