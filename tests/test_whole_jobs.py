@@ -35,3 +35,8 @@ def test_every_position_and_read_has_a_share(spark):
     found = qc.positional_quality(rows, first_reads=None, positions=None)
     assert found.agg(F.max("pos"), F.max("reads")).first()[:] == (3090, 5100)
     assert qc.positional_quality(rows).agg(F.max("pos"), F.max("reads")).first()[:] == (2990, 5000)
+
+
+def test_bootstrap_has_100_replicates(spark, sf_dir):
+    assert QUERIES["bootstrap_support"](spark, sf_dir).first()["replicates"] == 100
+    assert QUERIES["split_tally"](spark, sf_dir).agg(F.max("n")).first()[0] > 20
