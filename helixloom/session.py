@@ -7,6 +7,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_folders: ContextVar[str | None] = ContextVar("helixloom_folders", default=None)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, or in the folder of the ``scratch`` block that runs."""
+    return f"{_folders.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the cluster's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made inside the block are deleted at its end; results must be written before it."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _folders.set(folder)
+    try:
+        yield
+    finally:
+        _folders.reset(before)
+        delete(spark, folder)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
