@@ -22,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import materialize, table
+from helixloom.llm.common import BITMAP_SHIFT, bit, bitmaps, materialize, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLOT_BITS_PER_ROW = 16
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 28
-BITMAP_SHIFT = 15  # bitmap_construct_agg makes bitmaps of 2**15 bits
 LAST_ID = (1 << 63) - 1
 SALTS = 8
 
@@ -59,28 +58,19 @@ def _slots(key: str, slots: int) -> list[Column]:
 def repeated_slots(df: DataFrame, key: str, slots: int) -> DataFrame:
     """Pass 1: the bitmaps (bucket, bits) of the slots that two rows or more fall into."""
     slot = df.select(F.explode(F.array(*_slots(key, slots))).alias("slot"))
-    crowded = slot.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return crowded.groupBy(F.shiftright("slot", BITMAP_SHIFT).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << BITMAP_SHIFT) - 1)).alias("bits")
-    )
-
-
-def _bit(bits: Column, slot: Column) -> Column:
-    at = slot.bitwiseAND((1 << BITMAP_SHIFT) - 1)
-    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return bitmaps(slot.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
 
 
 def flag_repeated(df: DataFrame, key: str, rows: int) -> DataFrame:
     """Pass 2: adds ``maybe_repeated``, false only for keys that occur once."""
     slots = slot_count(rows)
-    bitmaps = F.broadcast(repeated_slots(df, key, slots))  # at most 2 * MAX_SLOTS / 8 bytes
+    crowded = F.broadcast(repeated_slots(df, key, slots))  # at most 2 * MAX_SLOTS / 8 bytes
     out = df
     for k, slot in enumerate(_slots(key, slots)):
-        side = bitmaps.select(F.col("bucket").alias(f"bucket_{k}"), F.col("bits").alias(f"bits_{k}"))
+        side = crowded.select(F.col("bucket").alias(f"bucket_{k}"), F.col("bits").alias(f"bits_{k}"))
         out = out.withColumn(f"slot_{k}", slot)
         out = out.join(side, F.shiftright(f"slot_{k}", BITMAP_SHIFT) == F.col(f"bucket_{k}"), "left")
-    both = _bit(F.col("bits_0"), F.col("slot_0")) & _bit(F.col("bits_1"), F.col("slot_1"))
+    both = bit(F.col("bits_0"), F.col("slot_0")) & bit(F.col("bits_1"), F.col("slot_1"))
     return out.select(*df.columns, both.alias("maybe_repeated"))
 
 

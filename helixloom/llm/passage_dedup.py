@@ -1,21 +1,29 @@
-"""Removal of repeated passages word by word, wherever they begin and end; DataFrame functions only.
+"""Removal of repeated passages word by word, by winnowing; DataFrame functions only.
 
 A word goes exactly if it lies in a run of ``min_words`` words or more that
 occurs at an earlier position too, by (doc_id, word). Lines play no part: a
 passage inside one line, or across line ends, counts like any other, and a text
-without newlines is treated like one with them. Runs that touch or overlap are
-extended to maximal runs.
-
-A window is ``min_words`` words. Its fingerprint is the least of the hashes of
-its GRAM-word shingles, so equal windows have equal fingerprints and neighbouring
-windows mostly share one and make a span. Only spans whose fingerprint lies at two
-places or more go on. Of spans with equal words all but the first are repeated;
-where a fingerprint has different spans, their first ones are compared window by
-window, and all but the first window with equal words are repeated.
-
-Only hashes are shuffled, but for the two joins of the texts with what was found
-in them. A fingerprint or key that a third of all rows have is counted with
-partial sums and joined in salted shares.
+without newlines is treated like one with them.
+
+Select. A window is ``min_words`` words. Places at which a shingle of GRAM words
+may be its fingerprint are those whose first word has a hash divisible by ANCHOR,
+and, where a whole window has none, all of its places, which rank behind. The
+least shingle of a window is its fingerprint: a guaranteed one, as equal windows
+hold equal places. Neighbouring windows mostly share their minimum, so a text
+keeps about one place for each ``min_words`` / 2 words, with the span of windows
+that it stands for.
+
+Join and extend. Only spans whose fingerprint lies at two places or more go on.
+Spans whose words are all equal are settled as a whole: all but the first are
+repeated. Where one fingerprint stands in different words, the first of each kind
+is extended both ways, window by window, and all but the first window with equal
+words are repeated. Repeated windows that touch or overlap make maximal runs.
+
+Delete. Texts are never shuffled for the search, but for those whose spans need
+the extension; and only texts that hold a run meet their runs, found by a filter
+of bounded size, while all others pass straight through. A fingerprint or key
+that a third of all rows have is counted with partial sums and joined in salted
+shares.
 
 Of the space around a deleted run the one before it stays if the run began a line
 or the text, else the one after it. Defined results: null texts stay null and
@@ -29,13 +37,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import materialize, table
+from helixloom.llm.common import materialize, may_hold, table
 from helixloom.llm.line_dedup import BLANK, DOC, LAST_ID, MIN_WORDS, WORD, _salted
 
 SPACES = r"[\x20\x09-\x0D]+"
 TOKEN = r"[\x20\x09-\x0D]*" + WORD
-GRAM = 16  # a power of two, at most half of min_words
+GRAM, ANCHOR = 8, 8
 PLACE = (1 << 28) - 1  # more words than a text can have
+FIRST_RANK, SECOND_RANK = -(1 << 63), (1 << 63) - 1
+NEAR = 20  # a window rarely holds as many places
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,44 +53,54 @@ def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _pairs(a: str, by: int, f) -> Column:
-    """f of each element and the one ``by`` places on."""
-    n = F.size(a) - by
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, by + 1, n), f)
-
-
-def _grams(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` of min_words words or more, with ``g``, the hashes of all shingles of GRAM words, for their text."""
-    rest = [c for c in docs.columns if c != "text"]
+def _hashes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``h``, the hashes of the words, for their text."""
     words = F.split(F.btrim("text", F.lit(BLANK)), SPACES)
-    out = docs.select(*rest, F.transform(words, lambda w: F.xxhash64(w)).alias("g")).where(F.size("g") >= min_words)
-    by = 1
-    while by < GRAM:
-        out, by = out.select(*rest, _pairs("g", by, lambda x, y: F.xxhash64(x, y)).alias("g")), by * 2
-    return out
+    return docs.select(*[c for c in docs.columns if c != "text"], F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _hashed(g: Column, first: Column, words: Column | int) -> Column:
+def _hashed(first: Column, words: Column | int) -> Column:
     """One hash over ``words`` words from the word ``first`` on."""
-    last = first + words - GRAM
-    return F.xxhash64(F.transform(F.sequence(first, last, F.lit(GRAM)), lambda k: F.get(g, k)), F.get(g, last), last - first)
+    return F.xxhash64(F.slice("h", first + 1, words))
+
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACE)).cast("int")
 
 
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc, text_hash, first, last, print, key): a span of windows, first to last, with their least shingle at one place; key is over all its words."""
-    out = _grams(docs, min_words)
-    # the place in the low bits: of equal shingles the first counts, and places never go back
-    out = out.select(*DOC, "g", F.transform("g", lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))).alias("m"))
-    width, have = min_words - GRAM + 1, 1
-    while have < width:
-        by = min(have, width - have)
-        out, have = out.select(*DOC, "g", _pairs("m", by, lambda x, y: F.least(x, y)).alias("m")), have + by
-    g, m, s = F.col("g"), F.col("m"), F.col("s")
-    starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, F.greatest(i - 1, F.lit(0)))))
-    out = out.select(*DOC, "g", "m", starts.alias("s"))
-    ends = F.transform(s, lambda a, j: F.struct(a.alias("first"), (F.coalesce(F.get(s, j + 1), F.size(m)) - 1).alias("last"), F.get(m, a).bitwiseAND(F.lit(PLACE)).cast("int").alias("at")))
-    out = out.select(*DOC, "g", ends.alias("e"))
-    spans = F.transform("e", lambda e: F.struct(e["first"], e["last"], F.get(g, e["at"]).alias("print"), _hashed(g, e["first"], e["last"] - e["first"] + min_words).alias("key")))
+    """Rows (doc, text_hash, first, last, print, key): the windows, first to last, whose least shingle is at one place; key is over all their words."""
+    width, n = min_words - GRAM + 1, F.size("h")
+    none = F.array().cast("array<bigint>")
+
+    def ranked(at: Column, by: Column) -> Column:
+        # the place in the low bits: of equal shingles the first counts, and the place comes with the rank
+        return by.bitwiseAND(F.lit(~PLACE)).bitwiseOR(at.cast("long"))
+
+    out = _hashes(docs)
+    places = F.filter(F.sequence(F.lit(0), n - GRAM), lambda i: F.get("h", i).bitwiseAND(F.lit(ANCHOR - 1)) == 0)
+    out = out.select(*DOC, "h", F.when(n >= min_words, F.concat(F.array(F.lit(-1)), places)).otherwise(F.array().cast("array<int>")).alias("a"))
+
+    def with_gap(p: Column, j: Column) -> Column:
+        upto = F.coalesce(F.get("a", j + 1), n - GRAM + 1)
+        own = F.when(p >= 0, F.array(ranked(p, _hashed(p, GRAM).bitwiseOR(F.lit(FIRST_RANK))))).otherwise(none)
+        gap = F.transform(F.sequence(p + 1, upto - 1), lambda i: ranked(i, _hashed(i, GRAM).bitwiseAND(F.lit(SECOND_RANK))))
+        return F.when(upto - p > width, F.concat(own, gap)).otherwise(own)
+
+    out = out.select(*DOC, "h", F.flatten(F.transform("a", with_gap)).alias("e"))
+    crowded = F.filter("e", lambda x, j: _place(F.get("e", j + NEAR)) - _place(x) < width)
+    out = out.select(*DOC, "h", "e", F.when(F.size(crowded) > 0, F.lit(width)).otherwise(F.lit(NEAR)).alias("c"))
+
+    def span(x: Column, j: Column) -> Column:
+        c = F.col("c")
+        left = F.try_element_at(F.filter(F.slice("e", F.greatest(j - c, F.lit(0)) + 1, F.least(c, j)), lambda y: y < x), F.lit(-1))
+        right = F.get(F.filter(F.slice("e", j + 2, c), lambda y: y < x), 0)
+        first = F.greatest(F.coalesce(_place(left), F.lit(-1)) + 1, _place(x) - width + 1, F.lit(0))
+        last = F.least(_place(x), F.coalesce(_place(right), n - GRAM + 1) - width, n - min_words)
+        return F.struct(first.alias("first"), last.alias("last"), _place(x).alias("at"))
+
+    out = out.select(*DOC, "h", F.filter(F.transform("e", span), lambda s: s["first"] <= s["last"]).alias("s"))
+    spans = F.transform("s", lambda s: F.struct(s["first"], s["last"], _hashed(s["at"], GRAM).alias("print"), _hashed(s["first"], s["last"] - s["first"] + min_words).alias("key")))
     return out.select(*DOC, F.inline(spans))
 
 
@@ -90,11 +110,7 @@ def _origins(rows: DataFrame, on: list[str], *more: Column) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, text_hash, runs): for each document with any, its repeated runs as sorted words (first, last).
-
-    Equal spans are settled as a whole. Their first ones are compared window by window, where
-    a fingerprint has spans that differ.
-    """
+    """Rows (doc, text_hash, runs): for each document with any, its repeated runs as sorted words (first, last)."""
     if min_words < 2 * GRAM:
         raise ValueError(f"min_words must be at least {2 * GRAM}")
     at, place = F.struct(*DOC, "first", "last"), F.xxhash64(*DOC)
@@ -104,12 +120,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     origins = materialize(_origins(shared, ["print", "key"], F.first("mixed").alias("mixed")), "passage-origins")
     again = _salted(shared.drop("mixed").withColumn("place", place), origins.where("n > 1").drop("mixed", "n"), ["print", "key"]).where(at > F.col("origin"))
     reps = origins.where("mixed").groupBy(F.col("origin.doc").alias("doc"), F.col("origin.text_hash").alias("text_hash")).agg(F.collect_list("origin").alias("spans"))
-    met, g = _grams(docs.join(reps, DOC), min_words), F.col("g")
+    reps = materialize(reps, "passage-reps")
+    held = may_hold(docs, place, reps.select(place.alias("key")), "held").where("held").drop("held")
 
     def window(i: Column) -> Column:
-        return F.struct(i.alias("first"), i.alias("last"), _hashed(g, i, min_words).alias("key"), F.get(g, i).alias("print"))
+        return F.struct(i.alias("first"), i.alias("last"), _hashed(i, min_words).alias("key"), _hashed(i, GRAM).alias("print"))
 
-    wins = met.select(*DOC, F.inline(F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(s["first"], s["last"]), window)))))
+    wins = _hashes(held.join(reps, DOC)).select(*DOC, F.inline(F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(s["first"], s["last"]), window)))))
     wins = materialize(wins, "passage-windows")
     inner = _salted(wins.withColumn("place", place), _origins(wins, ["print", "key"]).where("n > 1").drop("n"), ["print", "key"]).where(at > F.col("origin"))
     found = again.select(*DOC, "first", "last").unionByName(inner.select(*DOC, "first", "last"))
@@ -140,14 +157,18 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     free = "__run"
     while any(c.startswith(free) for c in df.columns):  # names that no column of df has
         free += "_"
-    found = repeated_passages(_keys(df, id_col, text_col), min_words)
+    found = materialize(repeated_passages(_keys(df, id_col, text_col), min_words), "passage-runs")
     runs = found.select(F.col("doc").alias(f"{free}_doc"), F.col("text_hash").alias(f"{free}_hash"), F.col("runs").alias(f"{free}s"))
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col(f"{free}_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{free}_hash"))
-    gone, tokens = F.col(f"{free}s"), F.col(f"{free}_tokens")
-    met = df.join(runs, key, "left").withColumn(f"{free}_tokens", F.when(gone.isNotNull(), F.regexp_extract_all(text_col, F.lit(TOKEN), F.lit(0))))
+    doc, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = may_hold(df, F.xxhash64(doc, text_hash), found.select(F.xxhash64(*DOC).alias("key")), f"{free}_held")
+    held, gone, tokens = F.col(f"{free}_held"), F.col(f"{free}s"), F.col(f"{free}_tokens")
+    met = marked.where(held).join(runs, (doc == F.col(f"{free}_doc")) & (text_hash == F.col(f"{free}_hash")), "left")
+    met = met.withColumn(f"{free}_tokens", F.when(gone.isNotNull(), F.regexp_extract_all(text_col, F.lit(TOKEN), F.lit(0))))
     text = F.when(gone.isNotNull(), _without(F.col(text_col), tokens, gone)).otherwise(F.col(text_col))
+    more = [(runs_col, gone)] if runs_col else []
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return met.select(*columns, *([gone.alias(runs_col)] if runs_col else []))
+    straight = marked.where(~held).select(*[F.col(f"`{c}`") for c in df.columns], *[F.lit(None).cast(runs.dtypes[2][1]).alias(c) for c, _ in more])
+    return straight.union(met.select(*columns, *[x.alias(c) for c, x in more]))
 
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
