@@ -15,15 +15,17 @@ that it stands for.
 
 Join and extend. Only spans whose fingerprint lies at two places or more go on.
 Spans whose words are all equal are settled as a whole: all but the first are
-repeated. Where one fingerprint stands in different words, the first of each kind
-is extended both ways, window by window, and all but the first window with equal
-words are repeated. Repeated windows that touch or overlap make maximal runs.
+repeated. Where one fingerprint stands in different words, the first span of each
+kind is extended both ways, window by window, and all but the first window with
+equal words are repeated. Repeated windows that touch or overlap make maximal
+runs. What has no partner is dropped early by filters of bounded size, which may
+let some of it pass but never drop anything else.
 
 Delete. Texts are never shuffled for the search, but for those whose spans need
 the extension; and only texts that hold a run meet their runs, found by a filter
 of bounded size, while all others pass straight through. A fingerprint or key
-that a third of all rows have is counted with partial sums and joined in salted
-shares.
+that a third of all rows have is only counted, with partial sums; its rows are
+never brought together.
 
 Of the space around a deleted run the one before it stays if the run began a line
 or the text, else the one after it. Defined results: null texts stay null and
@@ -38,14 +40,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.llm.common import materialize, may_hold, table
-from helixloom.llm.line_dedup import BLANK, DOC, LAST_ID, MIN_WORDS, WORD, _salted
+from helixloom.llm.line_dedup import BLANK, DOC, LAST_ID, MIN_WORDS, WORD
 
 SPACES = r"[\x20\x09-\x0D]+"
 TOKEN = r"[\x20\x09-\x0D]*" + WORD
-GRAM, ANCHOR = 8, 8
-PLACE = (1 << 28) - 1  # more words than a text can have
-FIRST_RANK, SECOND_RANK = -(1 << 63), (1 << 63) - 1
-NEAR = 20  # a window rarely holds as many places
+GRAM, NEAR, SHARE, SEGMENT = 16, 9, 24, 512
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,84 +52,110 @@ def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``h``, the hashes of the words, for their text."""
-    words = F.split(F.btrim("text", F.lit(BLANK)), SPACES)
-    return docs.select(*[c for c in docs.columns if c != "text"], F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+def _word_list(text: Column) -> Column:
+    """The words of a text. Splitting at one plain character is several times as fast as at a pattern."""
+    for c in BLANK[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
-def _hashed(first: Column, words: Column | int) -> Column:
-    """One hash over ``words`` words from the word ``first`` on."""
-    return F.xxhash64(F.slice("h", first + 1, words))
+def _apart(c: Column) -> Column:
+    """``c`` in a step of its own: the optimizer neither repeats it in filters that it moves nor merges it into later steps."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def _place(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(PLACE)).cast("int")
+def _small_methods(c: Column) -> Column:
+    """``c`` through a lambda, which puts its step outside the one large method of a compiled stage, too large to be optimised."""
+    return F.get(F.transform(F.array(c), lambda v: v), 0)
 
 
-def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc, text_hash, first, last, print, key): the windows, first to last, whose least shingle is at one place; key is over all their words."""
-    width, n = min_words - GRAM + 1, F.size("h")
-    none = F.array().cast("array<bigint>")
+def _segments(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` with (base, h), for their text: hashes of the words from ``base`` on, so many that SEGMENT windows begin in them.
+
+    Only texts of min_words words have any. Rows with short arrays are cheap to copy and cut.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    out = docs.select(*rest, _apart(F.transform(_word_list(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
+    starts = F.when(F.size("h") >= min_words, F.sequence(F.lit(0), F.size("h") - min_words, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda k: F.struct(k.alias("base"), F.slice("h", k + 1, SEGMENT + min_words - 1).alias("h")))
+    return out.select(*rest, F.inline(_apart(cut)))
+
 
-    def ranked(at: Column, by: Column) -> Column:
-        # the place in the low bits: of equal shingles the first counts, and the place comes with the rank
-        return by.bitwiseAND(F.lit(~PLACE)).bitwiseOR(at.cast("long"))
+def _run(df: DataFrame, name: str, first: str, words: Column | int, most: int) -> DataFrame:
+    """``df`` with one hash, ``name``, of ``words`` words, ``most`` at most, from the word ``first`` on.
 
-    out = _hashes(docs)
-    places = F.filter(F.sequence(F.lit(0), n - GRAM), lambda i: F.get("h", i).bitwiseAND(F.lit(ANCHOR - 1)) == 0)
-    out = out.select(*DOC, "h", F.when(n >= min_words, F.concat(F.array(F.lit(-1)), places)).otherwise(F.array().cast("array<int>")).alias("a"))
+    Plain references to the array, in shares, keep the rows inside compiled code; a lambda over
+    the array would leave it, at thirty times the cost a word.
+    """
+    shares = []
+    for at in range(0, most, SHARE):
+        shares.append(f"__{name}_{at}")
+        here = range(at, min(most, at + SHARE))
+        df = df.withColumn(shares[-1], F.xxhash64(*[F.get("h", F.col(first) + k) if isinstance(words, int) else F.when(words > k, F.get("h", F.col(first) + k)) for k in here]))
+    return df.withColumn(name, _small_methods(F.xxhash64(*shares))).drop(*shares)
 
-    def with_gap(p: Column, j: Column) -> Column:
-        upto = F.coalesce(F.get("a", j + 1), n - GRAM + 1)
-        own = F.when(p >= 0, F.array(ranked(p, _hashed(p, GRAM).bitwiseOR(F.lit(FIRST_RANK))))).otherwise(none)
-        gap = F.transform(F.sequence(p + 1, upto - 1), lambda i: ranked(i, _hashed(i, GRAM).bitwiseAND(F.lit(SECOND_RANK))))
-        return F.when(upto - p > width, F.concat(own, gap)).otherwise(own)
 
-    out = out.select(*DOC, "h", F.flatten(F.transform("a", with_gap)).alias("e"))
-    crowded = F.filter("e", lambda x, j: _place(F.get("e", j + NEAR)) - _place(x) < width)
-    out = out.select(*DOC, "h", "e", F.when(F.size(crowded) > 0, F.lit(width)).otherwise(F.lit(NEAR)).alias("c"))
+def _nearest(step: int, steps: range) -> Column:
+    """The place of the nearest word with a lesser hash than ``x`` at ``p``, ``steps`` to one side; of equal ones the left counts as less."""
+    near = ((F.col("p") + step * k, F.get("h", F.col("p") + step * k)) for k in steps)
+    return F.coalesce(*[F.when(y <= F.col("x") if step < 0 else y < F.col("x"), at) for at, y in near])
 
-    def span(x: Column, j: Column) -> Column:
-        c = F.col("c")
-        left = F.try_element_at(F.filter(F.slice("e", F.greatest(j - c, F.lit(0)) + 1, F.least(c, j)), lambda y: y < x), F.lit(-1))
-        right = F.get(F.filter(F.slice("e", j + 2, c), lambda y: y < x), 0)
-        first = F.greatest(F.coalesce(_place(left), F.lit(-1)) + 1, _place(x) - width + 1, F.lit(0))
-        last = F.least(_place(x), F.coalesce(_place(right), n - GRAM + 1) - width, n - min_words)
-        return F.struct(first.alias("first"), last.alias("last"), _place(x).alias("at"))
 
-    out = out.select(*DOC, "h", F.filter(F.transform("e", span), lambda s: s["first"] <= s["last"]).alias("s"))
-    spans = F.transform("s", lambda s: F.struct(s["first"], s["last"], _hashed(s["at"], GRAM).alias("print"), _hashed(s["first"], s["last"] - s["first"] + min_words).alias("key")))
-    return out.select(*DOC, F.inline(spans))
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (doc, text_hash, first, last, print, key): the windows, first to last, whose least word hash is at one place; key is over all their words."""
+    width = min_words - GRAM + 1
+    out = _segments(docs, min_words).select(*DOC, "base", "h", F.size("h").alias("n"), F.posexplode("h").alias("p", "x")).where(F.col("p") <= F.col("n") - GRAM)
+    # most words have lesser ones near by on both sides, so that no window has its minimum there
+    out = out.withColumn("left", _apart(_nearest(-1, range(1, NEAR)))).withColumn("right", _apart(_nearest(1, range(1, NEAR)))).where(F.col("left").isNull() | F.col("right").isNull())
+    left, right = (F.coalesce(F.col(side), _nearest(step, range(NEAR, width))) for side, step in (("left", -1), ("right", 1)))
+    first = F.greatest(F.coalesce(left, F.lit(-1)) + 1, F.col("p") - (width - 1), F.lit(0))
+    last = F.least(F.col("p"), F.coalesce(right, F.col("n") - GRAM + 1) - width, F.col("n") - min_words)
+    out = out.select(*DOC, "base", "h", _small_methods(F.col("p")).alias("p"), _apart(first).alias("first"), _apart(last).alias("last")).where("first <= last")
+    out = _run(_run(out, "print", "p", GRAM, GRAM), "key", "first", F.col("last") - F.col("first") + min_words, width + min_words - 1)
+    return out.select(*DOC, (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"), "print", "key")
 
 
-def _origins(rows: DataFrame, on: list[str], *more: Column) -> DataFrame:
-    """For each key: ``origin``, the first of its rows, and ``n``, how many it has."""
-    return rows.groupBy(*on).agg(F.min(F.struct(*DOC, "first", "last")).alias("origin"), F.count(F.lit(1)).alias("n"), *more)
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` occurs once: counts, as narrow partial sums, make a filter of bounded size."""
+    twice = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("key")), f"repeated-{key}")
+    return may_hold(rows, F.col(key), twice, "held").where("held").drop("held")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, text_hash, runs): for each document with any, its repeated runs as sorted words (first, last)."""
+    """Rows (doc, text_hash, runs): for each document with any, its repeated runs as sorted words (first, last).
+
+    Of the rows with one key the least is its origin; all others are repeated. So a
+    document's repeated rows are its rows without its origins, and no row has to
+    meet the rows of its key: only (key, first place) is grouped, with partial sums.
+    """
     if min_words < 2 * GRAM:
         raise ValueError(f"min_words must be at least {2 * GRAM}")
-    at, place = F.struct(*DOC, "first", "last"), F.xxhash64(*DOC)
-    prints = materialize(fingerprints(docs, min_words), "passages")
-    twice = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), (F.min("key") != F.max("key")).alias("mixed")).where("n > 1").drop("n")
-    shared = materialize(_salted(prints.withColumn("place", place), twice, ["print"]).drop("place"), "passage-spans")
-    origins = materialize(_origins(shared, ["print", "key"], F.first("mixed").alias("mixed")), "passage-origins")
-    again = _salted(shared.drop("mixed").withColumn("place", place), origins.where("n > 1").drop("mixed", "n"), ["print", "key"]).where(at > F.col("origin"))
-    reps = origins.where("mixed").groupBy(F.col("origin.doc").alias("doc"), F.col("origin.text_hash").alias("text_hash")).agg(F.collect_list("origin").alias("spans"))
+    place, least = F.xxhash64(*DOC), F.min(F.struct(*DOC, "first", "last"))
+    spans = _repeated(materialize(fingerprints(docs, min_words), "passages"), "print")
+    origins = materialize(spans.groupBy("print", "key").agg(least.alias("origin")).select("print", "origin.*"), "passage-origins")
+    mixed = origins.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("print").alias("key"))
+    # by chance an origin of a print with one key is extended too, which finds nothing
+    reps = may_hold(origins, F.col("print"), materialize(mixed, "passage-mixed"), "held").where("held").groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     reps = materialize(reps, "passage-reps")
     held = may_hold(docs, place, reps.select(place.alias("key")), "held").where("held").drop("held")
 
-    def window(i: Column) -> Column:
-        return F.struct(i.alias("first"), i.alias("last"), _hashed(i, min_words).alias("key"), _hashed(i, GRAM).alias("print"))
-
-    wins = _hashes(held.join(reps, DOC)).select(*DOC, F.inline(F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(s["first"], s["last"]), window)))))
-    wins = materialize(wins, "passage-windows")
-    inner = _salted(wins.withColumn("place", place), _origins(wins, ["print", "key"]).where("n > 1").drop("n"), ["print", "key"]).where(at > F.col("origin"))
-    found = again.select(*DOC, "first", "last").unionByName(inner.select(*DOC, "first", "last"))
-    found = found.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"))
+    inside = F.filter("spans", lambda s: (s["first"] >= F.col("base")) & (s["first"] < F.col("base") + SEGMENT))  # a span lies in one segment
+    begins = F.flatten(F.transform(inside, lambda s: F.sequence(s["first"] - F.col("base"), s["last"] - F.col("base"))))
+    wins = _segments(held.join(reps, DOC), min_words).select(*DOC, "base", "h", F.explode(begins).alias("at"))
+    wins = _run(wins, "window", "at", min_words, min_words).select(*DOC, (F.col("base") + F.col("at")).alias("first"), "window")
+    wins = _repeated(materialize(wins, "passage-windows"), "window").withColumn("last", F.col("first"))
+    first_wins = wins.groupBy("window").agg(least.alias("origin")).select("origin.*")
+    parts = [(spans, False), (origins, True), (wins, False), (first_wins, True)]
+    rows = None
+    for k, (part, origin) in enumerate(parts):
+        part = part.select(*DOC, F.struct("first", "last").alias("at"), F.lit(k // 2).alias("kind"), F.lit(origin).alias("origin"))
+        rows = part if rows is None else rows.unionByName(part)
+
+    def picked(kind: int, origin: bool) -> Column:
+        return F.collect_set(F.when((F.col("kind") == kind) & (F.col("origin") == origin), F.col("at")))
+
+    found = rows.groupBy(*DOC).agg(*[picked(kind, origin).alias(f"{'o' if origin else 'r'}{kind}") for kind in (0, 1) for origin in (False, True)])
+    found = found.select(*DOC, F.array_sort(F.array_union(F.array_except("r0", "o0"), F.array_except("r1", "o1"))).alias("s")).where(F.size("s") > 0)
     s = F.col("s")
     firsts = F.filter(s, lambda x, j: (j == 0) | (x["first"] > F.get(s, F.greatest(j - 1, F.lit(0)))["last"] + min_words))
     lasts = F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1)["first"] > x["last"] + min_words, F.lit(True)))
