@@ -44,7 +44,10 @@ from helixloom.llm.line_dedup import BLANK, DOC, LAST_ID, MIN_WORDS, WORD
 
 SPACES = r"[\x20\x09-\x0D]+"
 TOKEN = r"[\x20\x09-\x0D]*" + WORD
-GRAM, NEAR, SHARE, SEGMENT = 16, 9, 24, 512
+GRAM, ANCHOR, SEGMENT = 8, 8, 2048
+PLACE = (1 << 28) - 1  # more words than a segment has
+FIRST_RANK, SECOND_RANK = -(1 << 63), (1 << 63) - 1
+NEAR = 20  # a window rarely holds as many places
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,11 +67,6 @@ def _apart(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def _small_methods(c: Column) -> Column:
-    """``c`` through a lambda, which puts its step outside the one large method of a compiled stage, too large to be optimised."""
-    return F.get(F.transform(F.array(c), lambda v: v), 0)
-
-
 def _segments(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs`` with (base, h), for their text: hashes of the words from ``base`` on, so many that SEGMENT windows begin in them.
 
@@ -81,38 +79,49 @@ def _segments(docs: DataFrame, min_words: int) -> DataFrame:
     return out.select(*rest, F.inline(_apart(cut)))
 
 
-def _run(df: DataFrame, name: str, first: str, words: Column | int, most: int) -> DataFrame:
-    """``df`` with one hash, ``name``, of ``words`` words, ``most`` at most, from the word ``first`` on.
-
-    Plain references to the array, in shares, keep the rows inside compiled code; a lambda over
-    the array would leave it, at thirty times the cost a word.
-    """
-    shares = []
-    for at in range(0, most, SHARE):
-        shares.append(f"__{name}_{at}")
-        here = range(at, min(most, at + SHARE))
-        df = df.withColumn(shares[-1], F.xxhash64(*[F.get("h", F.col(first) + k) if isinstance(words, int) else F.when(words > k, F.get("h", F.col(first) + k)) for k in here]))
-    return df.withColumn(name, _small_methods(F.xxhash64(*shares))).drop(*shares)
+def _hashed(first: Column, words: Column | int) -> Column:
+    """One hash over ``words`` words from the word ``first`` on."""
+    return F.xxhash64(F.slice("h", first + 1, words))
 
 
-def _nearest(step: int, steps: range) -> Column:
-    """The place of the nearest word with a lesser hash than ``x`` at ``p``, ``steps`` to one side; of equal ones the left counts as less."""
-    near = ((F.col("p") + step * k, F.get("h", F.col("p") + step * k)) for k in steps)
-    return F.coalesce(*[F.when(y <= F.col("x") if step < 0 else y < F.col("x"), at) for at, y in near])
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACE)).cast("int")
 
 
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc, text_hash, first, last, print, key): the windows, first to last, whose least word hash is at one place; key is over all their words."""
-    width = min_words - GRAM + 1
-    out = _segments(docs, min_words).select(*DOC, "base", "h", F.size("h").alias("n"), F.posexplode("h").alias("p", "x")).where(F.col("p") <= F.col("n") - GRAM)
-    # most words have lesser ones near by on both sides, so that no window has its minimum there
-    out = out.withColumn("left", _apart(_nearest(-1, range(1, NEAR)))).withColumn("right", _apart(_nearest(1, range(1, NEAR)))).where(F.col("left").isNull() | F.col("right").isNull())
-    left, right = (F.coalesce(F.col(side), _nearest(step, range(NEAR, width))) for side, step in (("left", -1), ("right", 1)))
-    first = F.greatest(F.coalesce(left, F.lit(-1)) + 1, F.col("p") - (width - 1), F.lit(0))
-    last = F.least(F.col("p"), F.coalesce(right, F.col("n") - GRAM + 1) - width, F.col("n") - min_words)
-    out = out.select(*DOC, "base", "h", _small_methods(F.col("p")).alias("p"), _apart(first).alias("first"), _apart(last).alias("last")).where("first <= last")
-    out = _run(_run(out, "print", "p", GRAM, GRAM), "key", "first", F.col("last") - F.col("first") + min_words, width + min_words - 1)
-    return out.select(*DOC, (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"), "print", "key")
+    """Rows (doc, text_hash, first, last, print, key): the windows, first to last, whose least shingle is at one place; key is over all their words."""
+    width, n = min_words - GRAM + 1, F.size("h")
+    none = F.array().cast("array<bigint>")
+
+    def ranked(at: Column, by: Column) -> Column:
+        # the place in the low bits: of equal shingles the first counts, and the place comes with the rank
+        return by.bitwiseAND(F.lit(~PLACE)).bitwiseOR(at.cast("long"))
+
+    out = _segments(docs, min_words)
+    places = F.filter(F.sequence(F.lit(0), n - GRAM), lambda i: F.get("h", i).bitwiseAND(F.lit(ANCHOR - 1)) == 0)
+    out = out.select(*DOC, "base", "h", F.concat(F.array(F.lit(-1)), places).alias("a"))
+
+    def with_gap(p: Column, j: Column) -> Column:
+        upto = F.coalesce(F.get("a", j + 1), n - GRAM + 1)
+        own = F.when(p >= 0, F.array(ranked(p, _hashed(p, GRAM).bitwiseOR(F.lit(FIRST_RANK))))).otherwise(none)
+        gap = F.transform(F.sequence(p + 1, upto - 1), lambda i: ranked(i, _hashed(i, GRAM).bitwiseAND(F.lit(SECOND_RANK))))
+        return F.when(upto - p > width, F.concat(own, gap)).otherwise(own)
+
+    out = out.select(*DOC, "base", "h", F.flatten(F.transform("a", with_gap)).alias("e"))
+    crowded = F.filter("e", lambda x, j: _place(F.get("e", j + NEAR)) - _place(x) < width)
+    out = out.select(*DOC, "base", "h", "e", F.when(F.size(crowded) > 0, F.lit(width)).otherwise(F.lit(NEAR)).alias("c"))
+
+    def span(x: Column, j: Column) -> Column:
+        c = F.col("c")
+        left = F.try_element_at(F.filter(F.slice("e", F.greatest(j - c, F.lit(0)) + 1, F.least(c, j)), lambda y: y < x), F.lit(-1))
+        right = F.get(F.filter(F.slice("e", j + 2, c), lambda y: y < x), 0)
+        first = F.greatest(F.coalesce(_place(left), F.lit(-1)) + 1, _place(x) - width + 1, F.lit(0))
+        last = F.least(_place(x), F.coalesce(_place(right), n - GRAM + 1) - width, n - min_words)
+        return F.struct(first.alias("first"), last.alias("last"), _place(x).alias("at"))
+
+    out = out.select(*DOC, "base", "h", F.filter(F.transform("e", span), lambda s: s["first"] <= s["last"]).alias("s"))
+    spans = F.transform("s", lambda s: F.struct((F.col("base") + s["first"]).alias("first"), (F.col("base") + s["last"]).alias("last"), _hashed(s["at"], GRAM).alias("print"), _hashed(s["first"], s["last"] - s["first"] + min_words).alias("key")))
+    return out.select(*DOC, F.inline(spans))
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -140,22 +149,27 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     held = may_hold(docs, place, reps.select(place.alias("key")), "held").where("held").drop("held")
 
     inside = F.filter("spans", lambda s: (s["first"] >= F.col("base")) & (s["first"] < F.col("base") + SEGMENT))  # a span lies in one segment
-    begins = F.flatten(F.transform(inside, lambda s: F.sequence(s["first"] - F.col("base"), s["last"] - F.col("base"))))
-    wins = _segments(held.join(reps, DOC), min_words).select(*DOC, "base", "h", F.explode(begins).alias("at"))
-    wins = _run(wins, "window", "at", min_words, min_words).select(*DOC, (F.col("base") + F.col("at")).alias("first"), "window")
+
+    def window(i: Column) -> Column:
+        return F.struct(i.alias("first"), _hashed(i - F.col("base"), min_words).alias("window"))
+
+    segments = _segments(held.join(reps, DOC), min_words).select(*DOC, "base", "h", inside.alias("spans"))
+    wins = segments.select(*DOC, F.inline(F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(s["first"], s["last"]), window)))))
     wins = _repeated(materialize(wins, "passage-windows"), "window").withColumn("last", F.col("first"))
     first_wins = wins.groupBy("window").agg(least.alias("origin")).select("origin.*")
     parts = [(spans, False), (origins, True), (wins, False), (first_wins, True)]
     rows = None
     for k, (part, origin) in enumerate(parts):
-        part = part.select(*DOC, F.struct("first", "last").alias("at"), F.lit(k // 2).alias("kind"), F.lit(origin).alias("origin"))
+        part = part.select(*DOC, (F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("at"), F.lit(k // 2).alias("kind"), F.lit(origin).alias("origin"))
         rows = part if rows is None else rows.unionByName(part)
 
     def picked(kind: int, origin: bool) -> Column:
         return F.collect_set(F.when((F.col("kind") == kind) & (F.col("origin") == origin), F.col("at")))
 
     found = rows.groupBy(*DOC).agg(*[picked(kind, origin).alias(f"{'o' if origin else 'r'}{kind}") for kind in (0, 1) for origin in (False, True)])
-    found = found.select(*DOC, F.array_sort(F.array_union(F.array_except("r0", "o0"), F.array_except("r1", "o1"))).alias("s")).where(F.size("s") > 0)
+    found = found.select(*DOC, F.array_sort(F.array_union(F.array_except("r0", "o0"), F.array_except("r1", "o1"))).alias("at")).where(F.size("at") > 0)
+    both = F.transform("at", lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last")))
+    found = found.select(*DOC, both.alias("s"))
     s = F.col("s")
     firsts = F.filter(s, lambda x, j: (j == 0) | (x["first"] > F.get(s, F.greatest(j - 1, F.lit(0)))["last"] + min_words))
     lasts = F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1)["first"] > x["last"] + min_words, F.lit(True)))
