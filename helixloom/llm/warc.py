@@ -19,13 +19,15 @@ ranges are read at once.
 Every file has a name of its own, and only files that a successful task reports
 are ever read, so a task that is run again after a lost executor does no harm.
 All intermediate tables stand in the shared folder. Only narrow rows are
-shuffled; payloads are shuffled only where the revisits are too many to
-broadcast.
+shuffled, and the payloads that may be revisits.
 
 Defined results: null html is an empty payload, null urls have an empty key; pages
-that repeat an id and payload have a record each of the same type; very long
-payloads are one record each; an empty table gives an empty result; other columns
-are never read.
+that repeat an id and payload have a record each of the same type; pages that
+share an id but not the payload are records of their own, each with the type that
+its payload asks for; a null id never owns a payload that a page with an id has
+(such a page is a revisit), and payloads of null ids alone are all responses; very
+long payloads are one record each; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -39,12 +41,11 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import fresh_path, materialize, table
+from helixloom.llm.common import fresh_path, materialize, may_hold, store, table
 
 MIN_REVISIT = 1000
 CAPTURE_DATE = "2026-01-01T00:00:00Z"
@@ -55,13 +56,6 @@ RECORDS = "key string, page_id long, archive string, offset long, length long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder of the cluster, and the folder's path in it."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def surt(url: str | None) -> str:
     """The reversed-host key of a URL: host labels from the right, then port, path and query, without fragment."""
     if not url:
@@ -162,17 +156,30 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
 
+def _salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the pages' records under ``folder``; rows (key, page_id, archive, offset, length)."""
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"))
+    """Write the pages' records under ``folder``; rows (key, page_id, archive, offset, length).
+
+    A page's type follows from its id and digest, so pages that share an id are told apart by
+    their payloads. Only payloads that a filter of bounded size takes for revisits meet the
+    decisions; all others are written as they are read.
+    """
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("digest"))
     narrow = materialize(rows.select("page_id", "digest", F.octet_length(F.coalesce("html", F.lit(""))).alias("size")), "digests").where(F.col("size") >= MIN_REVISIT)
-    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
-    met = narrow.withColumn("salt", F.pmod("page_id", F.lit(SALTS)).cast("int")).join(groups, ["digest", "salt"])
-    revisits = materialize(met.where("page_id <> refers_to").select("page_id", "refers_to").distinct(), "revisits")
-    decided = rows.join(revisits, "page_id", "left").select("page_id", "url", "html", "digest", "refers_to")
-    return materialize(decided.mapInArrow(_write(folder), RECORDS), "records")
+    met = narrow.withColumn("salt", _salt("page_id")).join(groups, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = materialize(met.select("page_id", "digest", "refers_to").distinct(), "revisits")
+    marked = may_hold(rows, F.xxhash64("page_id", "digest"), revisits.select(F.xxhash64("page_id", "digest").alias("key")), "held")
+    other = revisits.select(F.col("page_id").alias("other_id"), F.col("digest").alias("other_digest"), "refers_to")
+    decided = marked.where("held").join(other, F.col("page_id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other_digest")), "left")
+    straight = marked.where("not held").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ["page_id", "url", "html", "digest", "refers_to"]
+    return materialize(straight.select(*columns).unionByName(decided.select(*columns)).mapInArrow(_write(folder), RECORDS), "records")
 
 
 def _index(folder: str):
@@ -312,11 +319,12 @@ def read_records(places: DataFrame, folder: str, tasks: int) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the records at the places, revisits resolved."""
     ordered = places.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     found = materialize(ordered.mapInArrow(_fetch(folder), READ), "read")
-    responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
-    wanted = revisits.select(F.col("refers_to").alias("page_id")).distinct()
-    owners = responses.join(wanted, "page_id").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'").drop("payload_bytes")
+    # a response is known by its id and its digest: pages with one id may have several payloads
+    wanted = revisits.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    owners = responses.join(wanted, ["page_id", "payload_digest"]).groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    resolved = revisits.withColumn("salt", F.pmod("page_id", F.lit(SALTS)).cast("int")).join(owners, ["refers_to", "salt"], "left")
+    resolved = revisits.withColumn("salt", _salt("page_id")).join(owners, ["refers_to", "payload_digest", "salt"], "left")
     return responses.unionByName(resolved.select(*responses.columns))
 
 

@@ -358,6 +358,20 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_tells_pages_apart_that_share_an_id(spark):
+    a, b, c = "<p>" + "a" * 1500, "<p>" + "b" * 1500, "<p>" + "c" * 1500
+    made = [(5, "u", a), (5, "u", b), (9, "v", a), (10, "w", b), (None, "n", a), (None, "n", a), (None, "m", c), (None, "m", c), (9, "v", c), (9, "z", "tiny"), (5, None, None)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").repartition(3)
+    got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    expected = []
+    for k, _, html in made:
+        payload = (html or "").encode()
+        ids = [x for x, _, h in made if (h or "").encode() == payload and x is not None]
+        owner = max(ids) if ids and len(payload) >= 1000 else k
+        expected.append((k, len(payload), hashlib.sha1(payload).hexdigest(), "response" if owner == k else "revisit", None if owner == k else owner))
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, expected))
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com:80/A?b=1#c") == "com,example)/a?b=1"
     assert warc.surt("https://x.example.org:8443") == "org,example,x:8443)/"
