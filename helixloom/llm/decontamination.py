@@ -9,29 +9,37 @@ shorter one. The marked words cover the item wherever its parts stand, so
 reordered passages are found too. A document is contaminated by an item if the
 tiles cover at least COVERAGE of the item's words.
 
+Matches on one diagonal are found for whole texts at once, an array step for each
+word of the item, and matches of one item place and length are tiled as one
+group, so texts that repeat a word a million times take seconds.
+
 Every document is read once, without a shuffle, against an index of the
 benchmark of bounded size: a benchmark of more than MAX_INDEX_CHARS characters
 is dealt into blocks of items, and the documents are read once for each block.
+Tasks build the indexes and leave them in the shared folder; no item passes the
+driver.
 
 Defined results: null and empty texts match nothing, nor do items without words;
 ties go to the earlier place in the item, then in the document; repeated rows
-give repeated results; very long documents are matched whole; empty tables give
-an empty result; other columns are never read.
+give repeated results; very long and very repetitive documents are matched
+whole; empty tables give an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import table
+from helixloom.llm.common import fresh_path, materialize, store, table
 
 WORD = re.compile(r"\w+")
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -52,33 +60,80 @@ def rolling(numbers: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def tiling(matches: list[tuple[int, int, int]], item_length: int) -> list[tuple[int, int, int]]:
-    """Tiles (length, item place, document place) of maximal matches of the same form, longest first."""
+Group = tuple[int, int, np.ndarray]  # matches of one length at one item place, and where they are in the document
+
+
+def diagonals(item: np.ndarray, doc: np.ndarray, at: np.ndarray, least: int) -> list[Group]:
+    """The maximal matches of ``least`` words or more whose words lie at the document's places ``at``, in order."""
+    text, n = doc[at], len(at)
+    follows = np.append(False, np.diff(at) == 1)  # whether a place is the one after the place before it in ``at``
+    run, found = np.zeros(n, np.int64), []
+    for i in range(len(item) + 1):
+        longer = np.zeros(n, np.int64)
+        if i < len(item):
+            before = np.append(0, run[:-1]) * follows
+            longer = np.where(text == item[i], before + 1, 0)
+        goes_on = np.append(longer[1:] * follows[1:] > 1, False)
+        ended = np.flatnonzero((run >= least) & ~goes_on)
+        for length in np.unique(run[ended]).tolist():
+            found.append((length, i - length, at[ended[run[ended] == length]] - length + 1))
+        run = longer
+    return found
+
+
+def _free(tiles: list[tuple[int, int]], start: int, stop: int, least: int) -> list[tuple[int, int]]:
+    """What the tiles leave of the words start to stop, in parts of ``least`` words or more."""
+    out = []
+    for a, b in [*tiles, (stop, stop)]:  # the tiles are sorted and apart
+        if min(a, stop) - start >= least:
+            out.append((start, min(a, stop)))
+        start = max(start, b)
+    return out
+
+
+def tiling(groups: list[Group], item_length: int) -> list[tuple[int, int, int]]:
+    """Tiles (length, item place, document place) of maximal matches, longest first, then earliest in the item and the document."""
     least = min(MIN_MATCH, item_length)
-    heap = [(-n, i, j) for n, i, j in matches]
-    heapq.heapify(heap)
-    item, doc, tiles = bytearray(item_length), set(), []
+    waiting: dict[tuple[int, int], list[np.ndarray]] = {}
+    heap: list[tuple[int, int]] = []
+
+    def push(length: int, i: int, places: np.ndarray) -> None:
+        if (key := (-length, i)) not in waiting:
+            waiting[key] = []
+            heapq.heappush(heap, key)
+        waiting[key].append(places)
+
+    for group in groups:
+        push(*group)
+    in_item: list[tuple[int, int]] = []
+    in_doc: list[tuple[int, int]] = []
+    tiles = []
     while heap:
-        n, i, j = heapq.heappop(heap)
-        free = [not item[i + k] and j + k not in doc for k in range(-n)]
-        if all(free):
-            tiles.append((-n, i, j))
-            item[i : i - n] = b"\1" * -n
-            doc.update(range(j, j - n))
+        key = heapq.heappop(heap)
+        length, i = -key[0], key[1]
+        places = np.unique(np.concatenate(waiting.pop(key)))
+        parts = _free(in_item, i, i + length, least)
+        if parts != [(i, i + length)]:
+            for a, b in parts:
+                push(b - a, a, places + (a - i))
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, i + start, j + start))
-                start = None
+        met = np.zeros(len(places), bool)
+        for a, b in in_doc:
+            met |= (places < b) & (places + length > a)
+        clear = places[~met]
+        if len(clear):
+            j = int(clear[0])
+            tiles.append((length, i, j))
+            in_item, in_doc = sorted([*in_item, (i, i + length)]), sorted([*in_doc, (j, j + length)])
+            met, places = np.zeros(0, bool), places[:0]  # the item's words are taken for all others
+        for j in places[met].tolist():
+            for a, b in _free(in_doc, j, j + length, least):
+                push(b - a, i + a - j, np.array([a]))
     return tiles
 
 
 class Index:
-    """Seeds of the items: for each length, sorted hashes and where they occur."""
+    """Seeds of the items: for each length, sorted hashes and the items that have them."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.number: dict[str, int] = {}
@@ -86,21 +141,23 @@ class Index:
         for item_id, text in items:
             if found := words(text):
                 self.items.append((item_id, np.array([self.number.setdefault(w, len(self.number)) for w in found], np.int64)))
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        keys: dict[int, list[np.ndarray]] = {}
         for at, (_, numbers) in enumerate(self.items):
             n = min(MIN_MATCH, len(numbers))
-            for place, key in enumerate(rolling(numbers, n).tolist()):
-                places[n][key].append((at, place))
-        for n, found in places.items():
-            self.seeds[n] = np.array(sorted(found), np.uint64), dict(found)
+            own = np.unique(rolling(numbers, n))
+            keys.setdefault(n, []).append(np.stack([own, np.full(len(own), at, np.uint64)]))
+        self.seeds = {}
+        for n, parts in keys.items():
+            key, item = np.concatenate(parts, axis=1)
+            order = np.lexsort((item, key))
+            self.seeds[n] = key[order], item[order].astype(np.int64)
 
     def matches(self, text: str | None) -> Iterator[tuple[int, float, int, int, int]]:
         """Of each item that shares a seed: item_id, coverage, tiles, matched words, words."""
         get = self.number.get
         doc = np.array([get(w, -1) for w in words(text)], np.int64)
         known = doc >= 0
-        for n, (keys, places) in self.seeds.items():
+        for n, (keys, items) in self.seeds.items():
             if len(doc) < n:
                 continue
             whole = np.convolve(known, np.ones(n, np.int64), "valid") == n if n > 1 else known
@@ -111,27 +168,51 @@ class Index:
             key = np.zeros(len(at), np.uint64)
             for k in range(n):
                 key = key * BASE + doc[near[k::n]].astype(np.uint64) + np.uint64(1)
-            hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
-            seeds: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # item -> diagonal -> item places
-            for j, k in zip(at[hit].tolist(), key[hit].tolist(), strict=True):
-                for item, i in places[k]:
-                    if (self.items[item][1][i : i + n] == doc[j : j + n]).all():
-                        seeds[item][j - i].append(i)
-            for item, diagonals in seeds.items():
-                found = []
-                for shift, starts in diagonals.items():
-                    starts = np.array(sorted(starts))
-                    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                        found.append((len(run) + n - 1, int(run[0]), int(run[0]) + shift))
+            first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            hit = np.flatnonzero(last > first)
+            if not len(hit):
+                continue
+            shared, kind = np.unique(key[hit], return_inverse=True)  # a frequent seed counts once
+            spans = [items[a:b] for a, b in zip(np.searchsorted(keys, shared, "left"), np.searchsorted(keys, shared, "right"), strict=True)]
+            for item in np.unique(np.concatenate(spans)).tolist():
+                holds = np.array([item in span for span in spans])
+                seeds = at[hit[holds[kind]]]
+                places = np.unique(seeds[:, None] + np.arange(n))
                 item_id, numbers = self.items[item]
-                tiles = tiling(found, len(numbers))
-                covered = sum(t[0] for t in tiles)
-                yield item_id, covered / len(numbers), len(tiles), covered, len(numbers)
+                tiles = tiling(diagonals(numbers, doc, places, n), len(numbers))
+                if covered := sum(t[0] for t in tiles):
+                    yield item_id, covered / len(numbers), len(tiles), covered, len(numbers)
+
+
+def _build(folder: str):
+    """Of rows (block, item_id, text), one block after the other: the index of each block as a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = store(folder)
+        rows: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for block, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.setdefault(block, []).append((item_id, text))
+        for block, items in rows.items():
+            items.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+            files.create_dir(path, recursive=True)
+            name = f"{path}/index-{block}-{uuid.uuid4().hex}"  # of attempts that are run again, only the reported file is read
+            with files.open_output_stream(name) as out:
+                out.write(pickle.dumps(Index(items)))
+            yield pa.RecordBatch.from_pydict({"block": [block], "path": [name]}, schema=pa.schema([("block", pa.int32()), ("path", pa.string())]))
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _load(folder: str, name: str) -> Index:
+    with store(folder)[0].open_input_stream(name) as source:
+        return pickle.loads(source.read())  # written by this job's own tasks
 
 
-def _match(index, coverage: float):
+def _match(folder: str, name: str, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = index.value.matches
+        find = _load(folder, name).matches
         for batch in batches:
             rows = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in find(text.as_py()) if m[1] >= coverage]
             if rows:
@@ -141,20 +222,42 @@ def _match(index, coverage: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
-    """A row for each document and item whose words the document covers to at least ``coverage``."""
-    spark = docs.sparkSession
+def _clean(folder: str, name: str, text_at: int, coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _load(folder, name).matches
+        for batch in batches:
+            yield batch.filter(pa.array([not any(m[1] >= coverage for m in find(t.as_py())) for t in batch.column(text_at)], pa.bool_()))
+
+    return run
+
+
+def indexes(benchmark: DataFrame, max_index_chars: int) -> tuple[str, list[str]]:
+    """The folder of the indexes, and the path of each: blocks of about ``max_index_chars`` characters, built by tasks."""
     size = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // max_index_chars))
+    folder = fresh_path(benchmark.sparkSession, "benchmark")
+    items = benchmark.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("item_id").cast("long").alias("item_id"), "text")
+    built = materialize(items.repartition(blocks, "block").mapInArrow(_build(folder), "block int, path string"), "benchmark-blocks")
+    return folder, [r["path"] for r in built.orderBy("block").collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
+    """A row for each document and item whose words the document covers to at least ``coverage``."""
+    folder, names = indexes(benchmark, max_index_chars)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for k in range(blocks):
-        block = benchmark.select(F.col("item_id").cast("long"), "text")
-        if blocks > 1:
-            block = block.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()]))
-        found = texts.mapInArrow(_match(index, coverage), SCHEMA)
+    for name in names:
+        found = texts.mapInArrow(_match(folder, name, coverage), SCHEMA)
         out = found if out is None else out.unionByName(found)
+    return texts.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, whole; each is judged where it stands, so nothing is joined back."""
+    folder, names = indexes(benchmark, max_index_chars)
+    out = docs
+    for name in names:
+        out = out.mapInArrow(_clean(folder, name, docs.columns.index("text"), coverage), docs.schema)
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -279,6 +280,28 @@ def test_tiling_is_greedy_and_does_not_overlap():
         assert covered == brute_tiling(item, doc)
 
 
+def test_tiling_of_repetitive_text_is_exact_and_fast():
+    rng = np.random.default_rng(9)
+    for k in range(60):
+        item = np.tile(rng.integers(0, 2, k % 5 + 1), 12)[:24]
+        doc = np.concatenate([np.tile(rng.integers(0, 2, k % 4 + 1), 20)[:40], rng.integers(0, 2, 15)])
+        index = decontamination.Index([(0, " ".join(f"w{x}" for x in item))])
+        got = list(index.matches(" ".join(f"w{x}" for x in doc)))
+        assert (got[0][3] if got else 0) == brute_tiling(item, doc)
+    index = decontamination.Index([(0, "a " * 100), (1, "a " * 50 + " ".join(f"u{k}" for k in range(50))), (2, "b a " * 40)])
+    began = time.perf_counter()
+    found = {m[0]: m[3] for m in index.matches("a " * 1_000_000)}
+    assert found == {0: 100, 1: 50} and time.perf_counter() - began < 20
+
+
+def test_clean_rows_pass_whole(spark, docs):
+    bench = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
+    kept = decontamination.uncontaminated(docs, bench)
+    assert kept.columns == docs.columns
+    gone = {18, 19}
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if r.doc_id not in gone)
+
+
 def brute_tiling(item, doc, least=5):
     a, b, total = np.zeros(len(item), bool), np.zeros(len(doc), bool), 0
     while True:
