@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.session import fresh_path, materialize, scratch, shared_dir
 
-__all__ = ["bit", "bitmaps", "fresh_path", "held_out", "materialize", "may_hold", "scratch", "shared_dir", "store", "table"]
+__all__ = ["Appender", "bit", "bitmaps", "fresh_path", "held_out", "materialize", "may_hold", "scratch", "shared_dir", "store", "table"]
 
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
 BITMAP_SHIFT = 15  # bitmap_construct_agg makes bitmaps of 2**15 bits
+ROLL_BYTES = 256 << 20
 BITS_PER_KEY, MIN_BITS, MAX_BITS = 8, 1 << 16, 1 << 28
 
 
@@ -34,6 +37,29 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+class Appender:
+    """Files of a task that grow by whole members."""
+
+    def __init__(self, folder: str, suffix: str):
+        self.fs, self.folder = store(folder)
+        self.suffix, self.out, self.name, self.size = suffix, None, "", 0
+
+    def add(self, data: bytes) -> tuple[str, int, int]:
+        if self.out is None or self.size >= ROLL_BYTES:
+            self.close()
+            self.name, self.size = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}{self.suffix}", 0
+            self.fs.create_dir(self.folder, recursive=True)
+            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
+        at, self.size = self.size, self.size + len(data)
+        self.out.write(data)
+        return self.name, at, len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
 def bitmaps(slots: DataFrame) -> DataFrame:
     """Rows (bucket, bits): the bitmaps of the rows (slot)."""
     return slots.groupBy(F.shiftright("slot", BITMAP_SHIFT).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << BITMAP_SHIFT) - 1)).alias("bits"))

@@ -11,8 +11,10 @@ so a group of k near copies never makes k * k rows. Components over the forests
 give the same groups as all links.
 
 Equal fingerprints are one node, counted beforehand with partial sums. Tiles hold
-about TILE fingerprints; larger cells are split by a hash. The comparison is
-quadratic by the method; the counts of the halves leave about a fifth of it.
+about TILE fingerprints; larger cells are split by a hash. Tiles stand in files of
+the shared folder; the list of tile pairs is made and dealt by Spark, and tasks
+read the tiles that they compare. The comparison is quadratic by the method; the
+counts of the halves leave about a fifth of it.
 
 Defined results: a null or empty text, or one of white space only, has the
 fingerprint zero and links like any other; a text of one or two words is one
@@ -25,19 +27,22 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import materialize, table
+from helixloom.llm.common import Appender, fresh_path, materialize, may_hold, store, table
 from helixloom.operators.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
 TILE, BLOCK_ROWS, BLOCK_COLUMNS = 1 << 15, 64, 1 << 13
 HASHES = 1 << 16
+LAST_ID = (1 << 63) - 1
+TILES = "high int, low int, part int, file string, at long, size long"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -70,13 +75,18 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a signed long."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """Rows (doc_id, text_hash, fp): the fingerprint as a signed long."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -111,12 +121,34 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(radius: int):
+def _store_tiles(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = Appender(folder, ".tiles"), []
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (x.values.to_numpy().view(np.uint64) for x in (left, right))
-                if edges := forest(a, b, radius):
+            for high, low, part, fps in zip(*batch.columns, strict=True):
+                rows.append((high.as_py(), low.as_py(), part.as_py(), *out.add(fps.values.to_numpy().tobytes())))
+        out.close()  # places are reported only for files that are complete
+        if rows:
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in TILES.split(", ")])
+
+    return run
+
+
+def _links(folder: str, radius: int):
+    """Of rows (file, at, size, file_2, at_2, size_2): the forests of the tile pairs, whose tiles are read from the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = store(folder)
+
+        @lru_cache(maxsize=16)
+        def tile(name: str, at: int, size: int) -> np.ndarray:
+            with files.open_input_file(f"{base}/{name}") as source:
+                return np.frombuffer(source.read_at(size, at), np.uint64)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if edges := forest(tile(*row[:3]), tile(*row[3:]), radius):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["u", "v"])
 
     return run
@@ -131,36 +163,54 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     if not parts:
         return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     split = F.element_at(F.create_map(*[F.lit(x) for (h, lo), n in parts.items() for x in (h * 33 + lo, n)]), F.col("high") * 33 + F.col("low"))
-    tiles = halves.withColumn("part", F.pmod(F.xxhash64("fp"), split).cast("int"))
-    tiles = materialize(tiles.groupBy("high", "low", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
-    pairs = [
-        (h, lo, a, h + dh, lo + dl, b)
-        for (h, lo), n in parts.items()
-        for dh in range(-radius, radius + 1)
-        for dl in range(abs(dh) - radius, radius - abs(dh) + 1)
-        for a in range(n)
-        for b in range(parts.get((h + dh, lo + dl), 0))
-        if (h, lo, a) <= (h + dh, lo + dl, b)
-    ]
-    session = distinct.sparkSession
-    plan = session.createDataFrame(pairs, "high int, low int, part int, high_2 int, low_2 int, part_2 int")
-    other = tiles.select(F.col("high").alias("high_2"), F.col("low").alias("low_2"), F.col("part").alias("part_2"), F.col("fps").alias("fps_2"))
-    met = plan.join(tiles, ["high", "low", "part"]).join(other, ["high_2", "low_2", "part_2"])
-    spread = met.select("fps", "fps_2").repartition(max(12, min(len(pairs) // 4, 4096)))
-    return spread.mapInArrow(_links(radius), "u long, v long")
+    dealt = halves.withColumn("part", F.pmod(F.xxhash64("fp"), split).cast("int")).groupBy("high", "low", "part").agg(F.collect_list("fp").alias("fps"))
+    folder = fresh_path(distinct.sparkSession, "tiles")
+    tiles = materialize(dealt.mapInArrow(_store_tiles(folder), TILES), "tile-places")
+    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(abs(a) - radius, radius - abs(a) + 1)]
+    near = tiles.withColumn("step", F.explode(F.array(*steps))).withColumn("high_2", F.col("high") + F.col("step.a")).withColumn("low_2", F.col("low") + F.col("step.b"))
+    other = tiles.select(*[F.col(c).alias(f"{c}_2") for c in tiles.columns])
+    pairs = near.join(other, ["high_2", "low_2"]).where(F.struct("high", "low", "part") <= F.struct("high_2", "low_2", "part_2"))
+    pairs = materialize(pairs.select("file", "at", "size", "file_2", "at_2", "size_2"), "tile-pairs")  # narrow: places, not fingerprints
+    spread = pairs.repartition(max(12, min(pairs.count() // 8, 65536)))
+    return spread.mapInArrow(_links(folder, radius), "u long, v long")
+
+
+def _grouped(docs: DataFrame, radius: int, first: Column) -> DataFrame:
+    """Rows (fp, first): the least ``first`` of the group of each fingerprint of ``docs``."""
+    nodes = materialize(docs.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    roots = components(links(nodes, radius)).withColumnRenamed("u", "fp")
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = placed.groupBy("root").agg(F.min("first").alias("first"))
+    return materialize(placed.drop("first").join(named, "root").select("fp", "first"), "labels")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialize(nodes, "nodes")
-    roots = components(links(nodes, radius)).withColumnRenamed("u", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = materialize(placed.join(named, "root").select("fp", "component_id"), "labels")
+    labels = _grouped(docs, radius, F.col("doc_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return docs.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``df`` with one row of each group: that with the smallest id (null ids last), of equal ids the one with the least hash of its text.
+
+    Rows that share an id but not the text are rows of their own; of rows that repeat id and text one
+    stays, the least by its other columns. Only rows that a filter of bounded size takes for dropped
+    or repeated meet the decisions; all others pass as they are read.
+    """
+    docs = materialize(fingerprints(df, id_col, text_col), "fingerprints").withColumn("rank", F.coalesce("doc_id", F.lit(LAST_ID)))
+    key = F.struct("rank", "text_hash")
+    counted = docs.groupBy("rank", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
+    labels = _grouped(docs, radius, key)
+    marks = counted.join(labels, "fp").select("rank", "text_hash", (key != F.col("first")).alias("gone"), "n").where("gone or n > 1")
+    marks = materialize(marks.select(F.col("rank").alias("__rank"), F.col("text_hash").alias("__hash"), "gone"), "marks").withColumnRenamed("gone", "__gone")
+    rank, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), _text_hash(text_col)
+    marked = may_hold(df, F.xxhash64(rank, text_hash), marks.select(F.xxhash64("__rank", "__hash").alias("key")), "__held")
+    met = marked.where("__held").join(marks, (rank == F.col("__rank")) & (text_hash == F.col("__hash")), "left").where("__gone is null or not __gone")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    repeated = met.where("__gone is not null").groupBy("__rank", "__hash").agg(F.min(whole).alias("row")).select("row.*")
+    return marked.where("not __held").select(*df.columns).unionByName(met.where("__gone is null").select(*df.columns)).unionByName(repeated)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

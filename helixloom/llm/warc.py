@@ -35,22 +35,20 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import fresh_path, materialize, may_hold, store, table
+from helixloom.llm.common import Appender, fresh_path, materialize, may_hold, store, table
 
 MIN_REVISIT = 1000
 CAPTURE_DATE = "2026-01-01T00:00:00Z"
 BLOCK_LINES, PART_LINES, MAX_PARTS = 256, 8192, 4096
-ROLL_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 1 << 16
+READ_BYTES, GAP_BYTES = 8 << 20, 1 << 16
 LEVEL, SALTS = 4, 8
 RECORDS = "key string, page_id long, archive string, offset long, length long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -113,29 +111,6 @@ def parse(member: bytes) -> tuple[int | None, int, str, str, int | None]:
     return page("WARC-Record-ID"), len(payload), hashlib.sha1(payload).hexdigest(), "response", None
 
 
-class Appender:
-    """Files of a task that grow by whole members."""
-
-    def __init__(self, folder: str, suffix: str):
-        self.fs, self.folder = store(folder)
-        self.suffix, self.out, self.name, self.size = suffix, None, "", 0
-
-    def add(self, data: bytes) -> tuple[str, int, int]:
-        if self.out is None or self.size >= ROLL_BYTES:
-            self.close()
-            self.name, self.size = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}{self.suffix}", 0
-            self.fs.create_dir(self.folder, recursive=True)
-            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
-        at, self.size = self.size, self.size + len(data)
-        self.out.write(data)
-        return self.name, at, len(data)
-
-    def close(self) -> None:
-        if self.out is not None:
-            self.out.close()
-            self.out = None
-
-
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, rows = Appender(folder, ".warc.gz"), []
