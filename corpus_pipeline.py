@@ -2,14 +2,19 @@
 
 1. ``toxicity``: documents scored as toxic go.
 2. ``line_dedup``: repeated runs of words are taken out of the texts, wherever lines end.
-3. ``near_dedup``: of each SimHash group the document with the smallest id stays.
+3. ``near_dedup``: of each SimHash group one document stays, that with the smallest id.
 4. ``decontamination``: documents that cover a benchmark item go.
 5. ``packing``: the rest is packed into sequences.
 
 All but the last return the columns of ``documents``, with ``n_chars`` kept in step
-with the text. A null or empty text passes the first two stages unchanged, is in
-the group of texts without words in the third and packs as one end id. Rows
-that repeat an id all stay or all go. Empty tables give empty results.
+with the text. Each decision is about a row, not about its id: rows that share an
+id but not the text are documents of their own, and so are rows without an id
+(null ids come last in order). Of rows that repeat id and text one stays in the
+third stage. A null or empty text passes the first two stages unchanged, is in the
+group of texts without words in the third and packs as one end id. Empty tables
+give empty results; other columns are never read.
+
+``run`` deletes what a stage leaves behind as soon as the next table is written.
 """
 
 from __future__ import annotations
@@ -17,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import fresh_path, table
-from helixloom.llm.decontamination import contaminated
+from helixloom.llm.common import fresh_path, scratch, table
+from helixloom.llm.decontamination import uncontaminated
 from helixloom.llm.packing import pack
 from helixloom.llm.passage_dedup import passage_dedup
-from helixloom.llm.simhash import near_duplicates
+from helixloom.llm.simhash import one_of_each
 from helixloom.llm.toxicity import THRESHOLD, labelled_rows, learn, predict
-from helixloom.session import ensure_package
+from helixloom.session import delete, ensure_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,16 +47,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that name their group; only ids of the others are joined."""
     ensure_package(spark)
-    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_package(spark)
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return uncontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        before, path = path, fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
         docs = spark.read.parquet(path)
     return docs
