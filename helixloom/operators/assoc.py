@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import stats
 
+
 def _cells() -> list[Column]:
     here, case = F.col("present"), F.col("is_case")
     return [F.count_if(here & case).alias("a"), F.count_if(here & ~case).alias("b"), F.count_if(~here & case).alias("c"), F.count_if(~here & ~case).alias("d")]
 
 
+def one_row_a_sample(traits: DataFrame) -> DataFrame:
+    """Of rows that repeat a sample the later one counts: that with the largest ``row``, or without that column the largest by its values."""
+    values = [c for c in traits.columns if c != "sample"]
+    first = [F.col("row")] if "row" in values else []
+    last = F.max(F.struct(*first, *[F.col(f"`{c}`").alias(f"v{k}") for k, c in enumerate(values)]))
+    return traits.groupBy("sample").agg(last.alias("x")).select("sample", *[F.col(f"x.v{k}").alias(c) for k, c in enumerate(values)])
+
+
 def _with_traits(presence: DataFrame, traits: DataFrame) -> DataFrame:
-    """Samples without a case label count as controls."""
-    return presence.join(traits.withColumn("is_case", F.coalesce("is_case", F.lit(False))), "sample")
+    """Samples without a case label count as controls; each sample counts once."""
+    return presence.join(one_row_a_sample(traits).withColumn("is_case", F.coalesce("is_case", F.lit(False))), "sample")
 
 
 def contingency(presence: DataFrame, traits: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def binary_scan(presence: DataFrame, traits: DataFrame, with_strata: bool = True
 
 def continuous_scan(presence: DataFrame, traits: DataFrame) -> DataFrame:
     """One row a gene: Welch's test of the trait between carriers and others, with corrections."""
-    joined = presence.join(traits.where(F.col("value").isNotNull()), "sample")
+    joined = presence.join(one_row_a_sample(traits).where(F.col("value").isNotNull()), "sample")
     group = lambda here: [f(F.when(F.col("present") == here, F.col("value"))) for f in (F.count, F.avg, F.var_samp)]
     names = ["n1", "m1", "v1", "n2", "m2", "v2"]
     by = joined.groupBy("gene").agg(*[c.alias(n) for c, n in zip(group(True) + group(False), names, strict=True)])

@@ -6,7 +6,11 @@ Intervals are 0-based and half-open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,9 @@ from helixloom.functions import sequence as S
 
 #: IUPAC codes and the bases they stand for; the display order of feature types.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+DISPLAY = ("CDS", "tRNA", "rRNA", "tmRNA", "ncRNA")
 BIN = 512
+WINDOW_ROWS = 1 << 16
 MARK = "\x01"
 
 
@@ -43,19 +49,41 @@ def overlaps(features: DataFrame, same_strand: int = 60, opposite_strand: int =
     return met.select("contig", F.col("feature_id_a").alias("a"), F.col("feature_id_b").alias("b"), (stop - begin).alias("overlap"))
 
 
-def windows(contigs: DataFrame, win: Column, step: Column) -> DataFrame:
-    """Rows (contig, win, start, part): the whole windows of each contig."""
-    sized = contigs.select("contig", "seq", F.length("seq").alias("len"), win.cast("int").alias("win"), step.cast("int").alias("step")).where("len >= win")
-    placed = sized.select("contig", "seq", "win", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("win"), F.col("step"))).alias("start"))
-    return placed.select("contig", "win", "start", F.substring("seq", F.col("start") + 1, F.col("win")).alias("part"))
+def _window_counts(least: int, parts: int):
+    """Of rows (contig, seq): the counts of each window as differences of running sums, so each base is counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, seq in enumerate(batch.column(1)):
+                codes = np.frombuffer(seq.as_py().encode("utf-32-le"), np.uint32)
+                win = max(least, len(codes) // parts)
+                step = max(1, win // 2)
+                starts = np.arange(0, len(codes) - win + 1, step) if len(codes) >= win else np.zeros(0, np.int64)
+                upto = {x: np.append(0, np.cumsum(codes == ord(x), dtype=np.int32)) for x in "ACGT"}
+                for s in range(0, len(starts), WINDOW_ROWS):
+                    at = starts[s : s + WINDOW_ROWS]
+                    n = {x: u[at + win] - u[at] for x, u in upto.items()}
+                    columns = [np.full(len(at), win), at, n["G"], n["C"], sum(n.values())]
+                    contig = batch.column(0).take(pa.array(np.full(len(at), k)))
+                    yield pa.RecordBatch.from_arrays([contig, *[pa.array(c, pa.int32()) for c in columns]], names=["contig", "win", "start", "G", "C", "known"])
+
+    return run
+
+
+def windows(contigs: DataFrame, least: int, parts: int) -> DataFrame:
+    """Rows (contig, win, start, G, C, known): the whole windows of each contig, half a window apart.
+
+    A window is the contig's length over ``parts``, but ``least`` bases at least. Time grows with the
+    contig's length, not with its length times its windows, and only numbers leave the row.
+    """
+    kind = dict(contigs.dtypes)["contig"]
+    rows = contigs.select("contig", "seq").where(F.col("seq").isNotNull())
+    return rows.mapInArrow(_window_counts(least, parts), f"contig {kind}, win int, start int, G int, C int, known int")
 
 
 def skew_tracks(contigs: DataFrame) -> DataFrame:
     """contig, start, gc, skew over sliding windows; windows with under half known bases go."""
-    n = F.length("seq")
-    win = F.greatest(F.lit(32), F.floor(n / 1400))
-    parts = windows(contigs, win, F.greatest(F.lit(1), F.floor(win / 2)))
-    counted = parts.select("contig", "win", "start", *[S.count_of(F.col("part"), b).alias(b) for b in "GC"], S.count_of(F.col("part"), "ACGT").alias("known"))
+    counted = windows(contigs, 32, 1400)
     g, c = F.col("G"), F.col("C")
     return counted.where("known >= win * 0.5").select("contig", F.col("start").cast("long").alias("start"), F.when(F.col("known") > 0, (g + c) / F.col("known")).otherwise(0.0).alias("gc"), F.coalesce(F.try_divide(g - c, g + c), F.lit(0.0)).alias("skew"))
 
@@ -75,10 +103,15 @@ def circular_tracks(contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def gc_track(contigs: DataFrame) -> DataFrame:
     """contig, pos, gc: percent at the middle of windows a half window apart."""
-    win = F.greatest(F.lit(200), F.floor(F.length("seq") / 400))
-    parts = windows(contigs, win, F.floor(win / 2))
-    gc = S.quantized(S.count_of(F.col("part"), "GC") / F.col("win") * 100, 2)
-    return parts.select("contig", (F.col("start") + F.floor(F.col("win") / 2)).cast("long").alias("pos"), gc.alias("gc"))
+    counted = windows(contigs, 200, 400)
+    gc = S.quantized((F.col("G") + F.col("C")) / F.col("win") * 100, 2)
+    return counted.select("contig", (F.col("start") + F.floor(F.col("win") / 2)).cast("long").alias("pos"), gc.alias("gc"))
+
+
+def display_order(features: DataFrame) -> DataFrame:
+    """Features by start, then by the rank of their type: the order in which they are drawn."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(DISPLAY) for x in (kind, k)]), F.col("type"))
+    return features.orderBy("contig", "start", F.coalesce(rank, F.lit(len(DISPLAY))), "feature_id")
 
 
 def motif_pattern(motif: str) -> str:

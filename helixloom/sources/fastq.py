@@ -2,7 +2,9 @@
 
 A task reads one file, or with the option ``splitBytes`` one byte range of a plain file
 (well-formed four-line records are found again from their shape). Files are read in
-chunks, so memory is one record. Options: ``path`` (file, folder or glob),
+chunks, so memory is one record. ``read_idx`` is unique over all files of a load: the
+file's place by name in the high bits, then the range's first byte plus the number of the
+read in it. Paths with a scheme are read from the cluster's storage. Options: ``path`` (file, folder or glob),
 ``splitBytes`` (0: whole files), ``issues`` (true: rows on malformed records instead).
 """
 
@@ -10,16 +12,20 @@ from __future__ import annotations
 
 import glob
 import gzip
+import io
 import os
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 READS = "file string, read_idx long, id string, desc string, seq string, qual string, byte_start long, byte_len long"
+FILE_BITS = 44  # read_idx: which file, then a number that is unique in it; files are at most 16 TB
 ISSUES = "file string, byte_start long, message string"
 
 
@@ -28,13 +34,51 @@ class Part(InputPartition):
     file: str
     start: int
     end: int  # -1: to the end
+    ordinal: int  # which of the files it is
 
-    def __init__(self, file: str, start: int = 0, end: int = -1):
+    def __init__(self, file: str, start: int = 0, end: int = -1, ordinal: int = 0):
         super().__init__(file)
-        self.file, self.start, self.end = file, start, end
+        self.file, self.start, self.end, self.ordinal = file, start, end, ordinal
+
+
+def _store(path: str):
+    """The file system of a path that names one, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
+def _open(name: str):
+    """A file of the cluster's storage or a local one, unpacked if it is packed."""
+    if _remote(name):
+        files_of, inner = _store(name)
+        raw = io.BufferedReader(files_of.open_input_file(inner), 1 << 20)
+        return gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
+    return gzip.open(name, "rb") if name.endswith(".gz") else open(name, "rb")
+
+
+def _size(name: str) -> int:
+    if _remote(name):
+        files_of, inner = _store(name)
+        return files_of.get_file_info(inner).size
+    return os.path.getsize(name)
 
 
 def files(path: str) -> list[str]:
+    """The files of a folder, by name, in the cluster's storage (``scheme://...``) or locally."""
+    if _remote(path):
+        from pyarrow import fs
+
+        files_of, inner = _store(path)
+        if files_of.get_file_info(inner).type != fs.FileType.Directory:
+            return [path]
+        root = path[: len(path) - len(inner)] if path.endswith(inner) else path.split("://")[0] + "://"
+        found = files_of.get_file_info(fs.FileSelector(inner))
+        return sorted(root + f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
     path = path.removeprefix("file://")
     if os.path.isdir(path):
         return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith(("_", ".")))
@@ -68,8 +112,7 @@ def _resync(source, start: int) -> int:
 
 def parse(part: Part) -> Iterator[tuple[str, tuple]]:
     """("read", row) and ("issue", row) of a file or a range of it; an unfinished last record is dropped."""
-    opened = gzip.open if part.file.endswith(".gz") else open
-    with opened(part.file, "rb") as source:
+    with _open(part.file) as source:
         begin = _resync(source, part.start) if part.start else 0
         source.seek(begin)
         number, state, held = 0, 0, []
@@ -92,7 +135,7 @@ def parse(part: Part) -> Iterator[tuple[str, tuple]]:
                 if len(seq) != len(qual):
                     yield "issue", (part.file, held[0][0], f"{name}: {len(seq)} bases and {len(qual)} qualities")
                     continue
-                yield "read", (part.file, part.start + number, name, desc, seq, qual, held[0][0], end - held[0][0])
+                yield "read", (part.file, (part.ordinal << FILE_BITS) + part.start + number, name, desc, seq, qual, held[0][0], end - held[0][0])
                 number += 1
 
 
@@ -102,14 +145,14 @@ class _Reader:
         self.issues = options.get("issues", "false").lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", "0")))
 
-    def parts(self, names: list[str]) -> list[Part]:
+    def parts(self, names: list[str], first: int = 0) -> list[Part]:
         out = []
-        for name in names:
-            size = os.path.getsize(name)
+        for ordinal, name in enumerate(names, first):
+            size = _size(name)
             if self.split and size > self.split and not name.endswith(".gz"):
-                out += [Part(name, s, min(size, s + self.split)) for s in range(0, size, self.split)]
+                out += [Part(name, s, min(size, s + self.split), ordinal) for s in range(0, size, self.split)]
             else:
-                out.append(Part(name))
+                out.append(Part(name, ordinal=ordinal))
         return out
 
     def read(self, partition: Part) -> Iterator[tuple]:
@@ -132,7 +175,7 @@ class FastqStreamReader(_Reader, DataSourceStreamReader):
         return {"files": len(files(self.options["path"]))}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        return self.parts(files(self.options["path"])[start["files"] : end["files"]])
+        return self.parts(files(self.options["path"])[start["files"] : end["files"]], start["files"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -153,6 +196,29 @@ class FastqSource(DataSource):
         return FastqStreamReader(dict(self.options))
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name, source = None, None
+    for batch in batches:
+        rows = []
+        for file, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if file != name:
+                if source is not None:
+                    source.close()
+                name, source = file, _open(file)
+            source.seek(start)
+            head, seq, _, qual = (x.rstrip("\r") for x in source.read(length).decode("latin-1").split("\n")[:4])
+            title, _, desc = head[1:].partition(" ")
+            rows.append((file, start, title, desc, seq, qual))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "byte_start", "id", "desc", "seq", "qual"])
+
+
+def fetch(places: DataFrame) -> DataFrame:
+    """file, byte_start, id, desc, seq and qual of the records at rows (file, byte_start, byte_len), each read by its range."""
+    ordered = places.select("file", F.col("byte_start").cast("long"), F.col("byte_len").cast("long")).repartition("file").sortWithinPartitions("file", "byte_start")
+    return ordered.mapInArrow(_ranges, "file string, byte_start long, id string, desc string, seq string, qual string")
+
+
 def register(spark: SparkSession) -> None:
     """Make the format known. The source goes to Spark's planners by value, as they do not see the session's files."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -48,12 +48,15 @@ def presence(spark: SparkSession, path: str) -> DataFrame:
 
 
 def phenotypes(spark: SparkSession, path: str) -> DataFrame:
-    """sample and the trait columns as text; the sample column is the first, or a later one with the name of an id."""
+    """sample and the trait columns as text; the sample column is the first, or a later one with the name of an id.
+
+    ``row`` is the line's place in the file: of lines that repeat a sample the later one counts.
+    """
     rows = _table(spark, path)
     if len(rows.columns) < 2:
         raise ValueError("a phenotype table needs an id and a trait column")
     key = next((c for c in rows.columns if c.lower() in ID_COLUMNS), rows.columns[0])
-    return rows.select(F.col(f"`{key}`").alias("sample"), *[F.col(f"`{c}`") for c in rows.columns if c != key]).where("sample <> ''")
+    return rows.select(F.col(f"`{key}`").alias("sample"), *[F.col(f"`{c}`") for c in rows.columns if c != key], F.monotonically_increasing_id().alias("row")).where("sample <> ''")
 
 
 def pick_trait(kinds: dict[str, str]) -> str | None:
