@@ -6,11 +6,12 @@ code point. A trigram binds its letters, each permuted by its place:
 its trigrams; a language's prototype bundles the unit vectors of its texts. A
 text gets the language whose prototype has the largest cosine with it.
 
-Prototypes are learned from at most ``per_language`` texts of each of the
-``languages`` most frequent labels, drawn by a hash of the id from the rows that
-are not held out: a sample of bounded size, which is a parameter. All rows are
-predicted, whole texts, in one pass without a shuffle. Each task holds one block
-of texts and a cache of trigram vectors of bounded size.
+Prototypes are learned from at most ``per_language`` texts of each label, drawn by
+a hash of the id from the rows that are not held out: a sample of bounded size,
+which is a parameter. All labels are learned. All rows are predicted, whole texts,
+in one pass without a shuffle. Each task holds one block of texts, a cache of
+trigram vectors of 128 MB at most, and what it adds up for SLICE trigrams at a
+time, however many letters a script has.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; a very long text is counted in pieces, exactly; ties go to the first label in
@@ -29,11 +30,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import held_out, table
+from helixloom.llm.common import held_out, materialize, table
 
 UNDETERMINED = "und"
 DIMENSIONS, SEED = 1024, 17
-BLOCK_DOCS, BLOCK_LETTERS, CACHED_GRAMS = 128, 1 << 19, 1 << 15
+BLOCK_DOCS, BLOCK_LETTERS, CACHED_GRAMS, SLICE, COUNTS = 128, 1 << 19, 1 << 15, 1 << 12, 1 << 22
 GAP = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -53,34 +54,52 @@ def letters(text: str | None) -> np.ndarray | None:
 
 
 class Grams:
-    """Trigram vectors, bound on demand and cached for later blocks."""
+    """Trigram vectors, bound on demand and kept for later blocks, CACHED_GRAMS at most."""
 
     def __init__(self):
-        self.keys = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, DIMENSIONS), np.float32)
+        self.keys, self.slots, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.vectors = np.empty((CACHED_GRAMS, DIMENSIONS), np.float32)  # takes memory as it fills
 
     def _bind(self, keys: np.ndarray) -> np.ndarray:
         codes, place = np.unique(np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF]), return_inverse=True)
         base = np.stack([letter(int(c)) for c in codes])
         a, b, c = place.reshape(3, -1)
-        return (np.roll(base, 2, 1)[a] * np.roll(base, 1, 1)[b] * base[c]).astype(np.float32)
+        return np.roll(base, 2, 1)[a] * np.roll(base, 1, 1)[b] * base[c]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """The vectors of sorted distinct keys."""
+        """The vectors of sorted distinct keys, SLICE at most."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = keys[self.keys[at] != keys] if len(self.keys) else keys
-        if not len(new):
-            return self.vectors[at]
-        if len(self.keys) + len(new) > CACHED_GRAMS:
-            self.keys, self.vectors = self.keys[:0], self.vectors[:0]
-            if len(keys) > CACHED_GRAMS:
-                return self._bind(keys)
-            new = keys
-        merged = np.concatenate([self.keys, new])
-        order = np.argsort(merged)
-        self.vectors = np.concatenate([self.vectors, self._bind(new)])[order]
-        self.keys = merged[order]
-        return self.vectors[np.searchsorted(self.keys, keys)]
+        if self.used + len(new) > CACHED_GRAMS:
+            self.keys, self.slots, self.used, new = self.keys[:0], self.slots[:0], 0, keys
+        if len(new):
+            self.vectors[self.used : self.used + len(new)] = self._bind(new)
+            merged = np.concatenate([self.keys, new])
+            order = np.argsort(merged)
+            self.keys, self.slots = merged[order], np.concatenate([self.slots, np.arange(self.used, self.used + len(new))])[order]
+            self.used += len(new)
+        return self.vectors[self.slots[np.searchsorted(self.keys, keys)]]
+
+
+def add_up(row: np.ndarray, gram: np.ndarray, rows: int, found: np.ndarray, grams: Grams) -> np.ndarray:
+    """For each row the sum of the vectors of its trigrams (row, place in ``found``), a slice of trigrams at a time."""
+    out = np.zeros((rows, DIMENSIONS))
+    whole = rows * len(found) <= COUNTS
+    if whole:
+        table = np.bincount(row * len(found) + gram, minlength=rows * len(found)).reshape(rows, -1)
+    else:  # many scripts: the counts of all at once would not fit
+        order = np.argsort(gram)
+        row, gram = row[order], gram[order]
+        cuts = np.searchsorted(gram, np.arange(0, len(found) + SLICE, SLICE))
+    for k, s in enumerate(range(0, len(found), SLICE)):
+        keys = found[s : s + SLICE]
+        if whole:
+            counts = table[:, s : s + SLICE]
+        else:
+            a, b = cuts[k], cuts[k + 1]
+            counts = np.bincount(row[a:b] * len(keys) + gram[a:b] - s, minlength=rows * len(keys)).reshape(rows, -1)
+        out += counts.astype(np.float32) @ grams.of(keys)
+    return out
 
 
 def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +135,7 @@ def bundle(texts: list[str | None], grams: Grams) -> np.ndarray:
             found, gram = distinct(keys)
             docs = np.unique([r[0] for r in rows])
             row = np.searchsorted(docs, np.concatenate(rows))
-            counts = np.bincount(row * len(found) + gram, minlength=len(docs) * len(found)).reshape(len(docs), -1)
-            out[docs] += counts.astype(np.float32) @ grams.of(found)
+            out[docs] += add_up(row, gram, len(docs), found, grams)
         keys, rows, held = [], [], 0
 
     for k, text in enumerate(texts):
@@ -148,17 +166,18 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": list(sums), "bundle": [v.tolist() for v in sums.values()]})
 
 
-def learn(labelled: DataFrame, per_language: int = 4000, languages: int = 256) -> tuple[list[str], np.ndarray]:
-    """Labels in order and their unit prototypes, from a bounded sample of rows (doc_id, lang, text)."""
+def learn(labelled: DataFrame, per_language: int = 4000) -> tuple[list[str], np.ndarray]:
+    """Labels in order and their unit prototypes, from at most about ``per_language`` rows (doc_id, lang, text) of each label."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not counts:
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    rows = counts.agg(F.sum(F.least("n", F.lit(per_language)))).first()[0]
+    if not rows:
         return [], np.zeros((0, DIMENSIONS))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    parts = max(1, min(64, sum(min(n, per_language) for n in counts.values()) // 500))
-    sums = sample.select("lang", "text").repartition(parts).mapInArrow(_bundles, "lang string, bundle array<double>").collect()
+    sample = known.join(counts, "lang").where(draw < F.lit(per_language) / F.col("n"))
+    parts = max(1, min(64, rows // 500))
+    dealt = sample.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("share")).repartition(parts, "lang", "share")
+    sums = dealt.select("lang", "text").mapInArrow(_bundles, "lang string, bundle array<double>").collect()  # a few rows a label
     labels = sorted({r["lang"] for r in sums})
     total = np.zeros((len(labels), DIMENSIONS))
     for r in sorted(sums, key=lambda r: (r["lang"], r["bundle"])):  # one order of summing for any order of tasks
@@ -168,7 +187,7 @@ def learn(labelled: DataFrame, per_language: int = 4000, languages: int = 256) -
 
 def predict(df: DataFrame, labels: list[str], prototypes: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred and score of rows (doc_id, held_out, text)."""
-    model = df.sparkSession.sparkContext.broadcast((labels, prototypes))  # labels x DIMENSIONS, bounded by ``languages``
+    model = df.sparkSession.sparkContext.broadcast((labels, prototypes))  # 8 KB a label
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, target = model.value
@@ -187,9 +206,9 @@ def predict(df: DataFrame, labels: list[str], prototypes: np.ndarray) -> DataFra
     return df.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(score, SCHEMA)
 
 
-def identify(df: DataFrame, per_language: int = 4000, languages: int = 256) -> DataFrame:
+def identify(df: DataFrame, per_language: int = 4000) -> DataFrame:
     rows = df.select("doc_id", held_out().alias("held_out"), "lang", "text")
-    return predict(rows, *learn(rows.where(~F.col("held_out")), per_language, languages))
+    return predict(rows, *learn(rows.where(~F.col("held_out")), per_language))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,6 @@ SECOND_PERSON = frozenset("you your yours yourself u ya tu te toi ton ta tes vou
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that the learned lexicon may hold
 NEAR = 5
 MIN_TOXIC, STRONG, WEAK = 5, 0.8, 0.5
-MAX_STEMS = 20_000
 WORD = re.compile(r"\w+")
 OBFUSCATED = re.compile(r"(?<!\S)\w*[^\W\d_][0-9@$*!.\-_]+[^\W\d_]\w*", re.ASCII)
 LEET = str.maketrans("013457@$", "oieastas", "*.-_!")
@@ -141,10 +140,10 @@ def _counted(wanted: frozenset[str] | None):
 
 
 def _counts(sample: DataFrame, wanted: frozenset[str] | None) -> dict[str, int]:
-    """The most frequent grams of the sample, at most MAX_STEMS, and their texts."""
+    """The grams of the sample and in how many texts each is; without ``wanted``, those in MIN_TOXIC texts or more."""
     counted = sample.select("toxic", "text").mapInArrow(_counted(wanted), "gram string, toxic int, n long")
     total = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= (MIN_TOXIC if wanted is None else 1))
-    return {r["gram"]: r["n"] for r in total.orderBy(F.desc("n"), "gram").limit(MAX_STEMS).collect()}
+    return {r["gram"]: r["n"] for r in total.collect()}
 
 
 def learned_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -157,7 +156,7 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
 
 def _featured(df: DataFrame, learned: dict[str, float], keep: list[str]) -> DataFrame:
     """``keep`` and the features of rows with a text."""
-    lexicon = df.sparkSession.sparkContext.broadcast(learned)  # at most MAX_STEMS entries
+    lexicon = df.sparkSession.sparkContext.broadcast(learned)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(lexicon.value)

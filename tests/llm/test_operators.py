@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import defaultdict
@@ -95,6 +97,56 @@ def test_language_bundle_is_exact_in_blocks(monkeypatch):
     assert np.allclose(whole, language_id.bundle([EN * 40, DE, "日本語 テスト"], language_id.Grams()))
 
 
+def brute_bundle(text):
+    """The sum of the bound trigrams of a text, one by one."""
+    codes, total = language_id.letters(text), np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        total += np.roll(language_id.letter(int(a)), 2).astype(int) * np.roll(language_id.letter(int(b)), 1) * language_id.letter(int(c))
+    return total / np.linalg.norm(total)
+
+
+def test_language_bundle_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    many = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 300)) for _ in range(4)]
+    made = [EN, DE, "a", *many]
+    expected = np.array([brute_bundle(t) for t in made])
+    assert np.allclose(language_id.bundle(made, language_id.Grams()), expected, atol=1e-5)
+    monkeypatch.setattr(language_id, "SLICE", 64)
+    monkeypatch.setattr(language_id, "COUNTS", 100)
+    monkeypatch.setattr(language_id, "CACHED_GRAMS", 256)
+    assert np.allclose(language_id.bundle(made, language_id.Grams()), expected, atol=1e-5)
+
+
+def test_language_memory_is_bounded_for_many_letters():
+    code = """
+import resource, numpy as np
+from helixloom.llm import language_id
+rng = np.random.default_rng(1)
+grams = language_id.Grams()
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+language_id.bundle(["warm up"], grams)
+before = peak()
+language_id.bundle(["".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 1500)) for _ in range(128)], grams)
+language_id.bundle(["".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 300_000))], grams)
+print(peak() - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1])
+    assert grown < 400
+
+
+def test_languages_are_those_of_the_brute_force(spark, docs):
+    learned = defaultdict(lambda: np.zeros(language_id.DIMENSIONS))
+    for r in rows():
+        if r[1] is not None and r[2] is not None and language_id.letters(r[1]) is not None and not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2):
+            learned[r[2]] += brute_bundle(r[1]) if len(r[1]) < 5000 else language_id.bundle([r[1]], language_id.Grams())[0]
+    names = sorted(learned)
+    found = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for k, text in enumerate(texts()):
+        if text and len(text) < 5000 and language_id.letters(text) is not None:
+            cosine = [brute_bundle(text) @ learned[n] / np.linalg.norm(learned[n]) for n in names]
+            assert found[k].lang_pred == names[int(np.argmax(cosine))] and abs(found[k].score - max(0, max(cosine))) < 1e-4
+
+
 def test_quality(spark, docs, none):
     found = quality.quality(docs, labels(spark)).collect()
     assert len(found) == len(rows()) and all(0 <= r.score <= 1 for r in found)
