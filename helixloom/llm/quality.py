@@ -2,46 +2,48 @@
 
 The text view is boosted trees over dense statistics of the text; the metadata
 view is a logistic regression over length, language and source as the table
-states them. Both start from the labelled rows. In each round, each view labels
-the unlabelled rows of a pool of which it is confident, in the proportion of the
-labels, and hands them to the other view, which is then fitted anew. At the end
-each view is calibrated isotonically on labelled rows that neither view has seen,
-and a logistic regression over both calibrated log odds gives the score.
-
-Fitting uses at most about ``max_labelled`` labelled rows and a pool of
-``max_pool`` unlabelled ones, both drawn by a hash of the id from the rows that are
-not held out; the bounds are parameters. Only their features reach the driver.
-All rows are scored, whole texts, in one pass without a shuffle.
+states them. Both start from the labelled rows. In each round, each view looks
+at all unlabelled rows that are not held out and hands the other view the
+``per_round`` different rows of which it is most sure, in the proportion of the
+labels; the other view is then fitted anew. A view may only hand labels beyond
+the score from which it was right, by a lower confidence bound, on labelled rows
+held back from both views; a view without signal hands nothing. At the end each
+view is calibrated isotonically on those rows, and a logistic regression over
+both calibrated log odds gives the score.
+
+The features of all rows are written once, whole texts, and both the rounds and
+the scoring read that narrow table. Fitting uses at most about ``max_labelled``
+labelled rows, a parameter; only they and the handed rows reach the driver.
 
 Defined results: a null or empty text has all text features zero, null metadata
-has a category of its own, and both get a score; repeated rows get equal scores;
-without labels of both kinds the score is the share of good labels (0.5 with
-none); an empty table gives an empty result; other columns are never read.
+has a category of its own, and both get a score; repeated rows get equal scores
+and are handed once; without labels of both kinds the score is the share of good
+labels (0.5 with none); an empty table gives an empty result; other columns are
+never read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.llm.boosting import Forest, Isotonic, fit_forest, fit_isotonic, fit_logistic, sigmoid
-from helixloom.llm.common import held_out, table
+from helixloom.llm.common import held_out, materialize, table
 
 SYMBOLS = "#$%&*+<=>@[]^_{|}~\\"
 SENTENCE_END = re.compile(r"[.!?](?=\s|$)")
 TEXT_FEATURES = 18
 LANG_BUCKETS, SOURCE_BUCKETS = 16, 64
 META_FEATURES = 2 + LANG_BUCKETS + SOURCE_BUCKETS
-CONFIDENT, ROUNDS, PER_ROUND = 0.9, 3, 600
+CONFIDENT, BOUND, ROUNDS, PER_ROUND = 0.9, 1.64, 3, 600
 
 
 def text_features(text: str | None) -> list[float]:
@@ -64,12 +66,13 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    row = [0.0] * META_FEATURES
-    row[0], row[1] = math.log1p(max(0, n_chars or 0)), float(n_chars is None)
-    row[2 + zlib.crc32((lang or "\0").encode()) % LANG_BUCKETS] = 1.0
-    row[2 + LANG_BUCKETS + zlib.crc32((source or "\0").encode()) % SOURCE_BUCKETS] = 1.0
-    return row
+def meta_matrix(chars: np.ndarray, lang_at: np.ndarray, source_at: np.ndarray) -> np.ndarray:
+    """Of lengths (NaN where unknown) and the buckets of language and source."""
+    m, rows = np.zeros((len(chars), META_FEATURES)), np.arange(len(chars))
+    m[:, 0], m[:, 1] = np.log1p(np.maximum(0, np.nan_to_num(chars))), np.isnan(chars)
+    m[rows, 2 + lang_at] = 1
+    m[rows, 2 + LANG_BUCKETS + source_at] = 1
+    return m
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -86,8 +89,12 @@ class Model:
     meta_map: Isotonic | None = None
     mix: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
+    def raw(self, x: np.ndarray, m: np.ndarray) -> dict[str, np.ndarray]:
+        return {"text": self.forest(x), "meta": np.column_stack([m, np.ones(len(m))]) @ self.linear}
+
     def views(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.text_map(self.forest(x)), self.meta_map(np.column_stack([m, np.ones(len(m))]) @ self.linear)
+        raw = self.raw(x, m)
+        return self.text_map(raw["text"]), self.meta_map(raw["meta"])
 
     def score(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text_map is None:
@@ -97,8 +104,39 @@ class Model:
         return a, b, sigmoid(np.column_stack([_log_odds(a), _log_odds(b), np.ones(len(a))]) @ self.mix)
 
 
-def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """From features of both views and labels (1, 0, or -1 for the pool)."""
+def bar(sure: np.ndarray, right: np.ndarray) -> float:
+    """The lowest score from which a view was right on enough held-back rows; infinite if there is none."""
+    order = np.argsort(-sure, kind="stable")
+    n = np.arange(1, len(sure) + 1)
+    share = (np.cumsum(right[order]) + 1) / (n + 2)
+    good = (share - BOUND * np.sqrt(share * (1 - share) / n) >= CONFIDENT) & (np.diff(sure[order], append=-np.inf) < 0)  # ends of equal scores only
+    return float(sure[order][np.flatnonzero(good)[-1]]) if good.any() else float("inf")
+
+
+#: What one view hands to another: who gets it, the label, how sure, and both feature rows.
+Hand = tuple[str, int, float, np.ndarray, np.ndarray]
+KINDS = [("meta", "text", 1), ("meta", "text", 0), ("text", "meta", 1), ("text", "meta", 0)]  # to, from, label
+
+
+def surest(model: Model, bars: dict[tuple[str, int], float], most: dict[int, int], x: np.ndarray, m: np.ndarray) -> list[Hand]:
+    """The different rows of which each view is most sure, ``most`` for each label."""
+    raw, out = model.raw(x, m), []
+    for to, view, label in KINDS:
+        sure = raw[view] if label else -raw[view]
+        at = np.flatnonzero(sure >= bars[view, label])
+        rows = np.ascontiguousarray(np.column_stack([x[at], m[at]]))
+        _, first = np.unique(rows, axis=0, return_index=True)  # in the order of the features
+        at = at[first]
+        at = at[np.argsort(-sure[at], kind="stable")][: most[label]]
+        out += [(to, label, float(sure[k]), x[k], m[k]) for k in at]
+    return out
+
+
+Pool = Callable[[Model, dict[tuple[str, int], float], dict[int, int]], list[Hand]]
+
+
+def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, pool: Pool | None = None) -> Model:
+    """From features of both views and labels (1, 0, or -1 for unlabelled rows, unless ``pool`` looks them up)."""
     known = np.flatnonzero(y >= 0)
     if not len(known):
         return Model()
@@ -107,76 +145,119 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS,
     train = known[np.arange(len(known)) % 4 != 3]
     if len(set(y[train])) < 2 or len(set(y[check])) < 2:
         return Model(prior)
-    pool = np.flatnonzero(y < 0)
-    given = {"text": np.where(y >= 0, y, -1), "meta": np.where(y >= 0, y, -1)}  # labels that each view may use
-    for labels in given.values():
-        labels[check] = -1
-    model = Model(prior)
-    with_one = np.column_stack([m, np.ones(len(m))])
+    if pool is None:
+        free = np.flatnonzero(y < 0)
+        pool = lambda model, bars, most: surest(model, bars, most, x[free], m[free])
+    given = {v: (x[train], m[train], y[train].astype(float)) for v in ("text", "meta")}  # the rows that each view learns from
+    model, most, handed = Model(prior), {1: max(1, round(per_round * prior)), 0: max(1, round(per_round * (1 - prior)))}, set()
     for turn in range(rounds + 1):
-        t, u = np.flatnonzero(given["text"] >= 0), np.flatnonzero(given["meta"] >= 0)
-        model.forest = fit_forest(x[t], given["text"][t], trees=40)
-        model.linear = fit_logistic(m[u], given["meta"][u].astype(float), ridge=2.0)
-        if turn == rounds or not len(pool):
+        model.forest = fit_forest(given["text"][0], given["text"][2], trees=40)
+        model.linear = fit_logistic(given["meta"][1], given["meta"][2], ridge=2.0)
+        raw = model.raw(x[check], m[check])
+        bars = {(v, label): bar(raw[v] if label else -raw[v], y[check] == label) for v in raw for label in (0, 1)}
+        if turn == rounds or all(np.isinf(b) for b in bars.values()):
             break
-        p_text, p_meta = sigmoid(model.forest(x[pool])), sigmoid(with_one[pool] @ model.linear)
-        for sure, to in ((p_text, "meta"), (p_meta, "text")):
-            for label, p, share in ((1, sure, prior), (0, 1 - sure, 1 - prior)):
-                free = (given[to][pool] < 0) & (p >= CONFIDENT)
-                best = np.flatnonzero(free)[np.argsort(-p[free], kind="stable")][: max(1, round(per_round * share))]
-                given[to][pool[best]] = label
-    model.text_map = fit_isotonic(model.forest(x[check]), y[check])
-    model.meta_map = fit_isotonic(with_one[check] @ model.linear, y[check])
+        fresh = []
+        for to, label, _, a, b in pool(model, bars, {k: n * (turn + 1) for k, n in most.items()}):  # earlier rows may lead again
+            key = (to, a.tobytes(), b.tobytes())
+            if key not in handed and sum(f[:2] == (to, label) for f in fresh) < most[label]:
+                handed.add(key)
+                fresh.append((to, label, a, b))
+        for to in given:
+            new = [f for f in fresh if f[0] == to]
+            if new:
+                old = given[to]
+                given[to] = (np.vstack([old[0], [f[2] for f in new]]), np.vstack([old[1], [f[3] for f in new]]), np.append(old[2], [f[1] for f in new]))
+    model.text_map = fit_isotonic(raw["text"], y[check])
+    model.meta_map = fit_isotonic(raw["meta"], y[check])
     a, b = model.views(x[check], m[check])
     model.mix = fit_logistic(np.column_stack([_log_odds(a), _log_odds(b)]), y[check].astype(float), ridge=0.1)
     return model
 
 
-INPUTS = ["text", "lang", "source", "n_chars"]
-
-
-def _matrices(batch: pa.RecordBatch, first: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    text, lang, source, chars = (batch.column(first + k).slice(start, n).to_pylist() for k in range(4))
-    x = np.array([text_features(t) for t in text], np.float32).reshape(len(text), TEXT_FEATURES)
-    return x, np.array([meta_features(*r) for r in zip(lang, source, chars, strict=True)]).reshape(len(text), META_FEATURES)
+PASSED = ["doc_id", "held_out", "draw", "label", "chars", "lang_at", "source_at"]
+FEATURES = "doc_id long, held_out boolean, draw long, label int, chars double, lang_at int, source_at int, x array<float>"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, m = _matrices(batch, 2, 0, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32())), pa.array(list(m), pa.list_(pa.float64()))], names=["draw", "label", "x", "m"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 8000) -> Model:
-    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    open_rows = docs.where(~held_out()).select("doc_id", *INPUTS).withColumn("draw", F.xxhash64(F.lit(3), "doc_id"))
-    ids = open_rows.select("doc_id", "draw").join(known, "doc_id", "left")
-    n, n_known = ids.agg(F.count(F.lit(1)), F.count("label")).first()
-    at = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("label").isNotNull(), F.lit(min(1.0, max_labelled / max(1, n_known)))).otherwise(F.lit(min(1.0, max_pool / max(1, n - n_known))))
-    drawn = ids.where(at < share).select("doc_id", F.coalesce("label", F.lit(-1)).alias("label")).distinct()
-    sample = open_rows.join(F.broadcast(drawn), "doc_id")  # at most about max_labelled + max_pool ids
-    rows = sample.select("draw", "label", *INPUTS).repartition(max(1, min(64, min(n, max_labelled + max_pool) // 500))).mapInArrow(_features, "draw long, label int, x array<float>, m array<double>").collect()
-    if not rows:
+        for s in range(0, batch.num_rows, 512):
+            part = batch.slice(s, 512)
+            x = pa.array([text_features(t.as_py()) for t in part.column("text")], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in PASSED), x], names=[*PASSED, "x"])
+
+
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The narrow table of both views' inputs: whole texts are read once, and only the ids meet the labels."""
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
+    bucket = lambda c, n: (F.crc32(F.coalesce(c, F.lit("\0"))) % n).cast("int")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.xxhash64(F.lit(3), "doc_id").alias("draw"), F.lit(None).cast("int").alias("label"),
+        F.col("n_chars").cast("double").alias("chars"), bucket("lang", LANG_BUCKETS).alias("lang_at"), bucket("source", SOURCE_BUCKETS).alias("source_at"), "text",
+    )
+    made = rows.mapInArrow(_text_columns, FEATURES).drop("label").join(known, "doc_id", "left")
+    return materialize(made.select(*PASSED, "x"), "quality")
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    chars, lang_at, source_at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "lang_at", "source_at"))
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, TEXT_FEATURES)
+    return x, meta_matrix(chars.astype(float), lang_at.astype(np.int64), source_at.astype(np.int64))
+
+
+def _pool(rows: DataFrame) -> Pool:
+    """Looks all unlabelled rows up on the executors; a bounded number of rows comes back."""
+    context = rows.sparkSession.sparkContext
+
+    def look_up(model: Model, bars: dict[tuple[str, int], float], most: dict[int, int]) -> list[Hand]:
+        shared = context.broadcast((model, bars, most))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, m, found = np.zeros((0, TEXT_FEATURES), np.float32), np.zeros((0, META_FEATURES)), []
+            for batch in batches:
+                more_x, more_m = _views(batch)
+                found = surest(*shared.value, np.vstack([x, more_x]), np.vstack([m, more_m]))
+                if found:  # a task carries only its best rows on
+                    x, m = np.stack([h[3] for h in found]), np.stack([h[4] for h in found])
+            columns = [[h[k] for h in found] for k in range(5)]
+            kinds = [pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float32()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["to", "label", "sure", "x", "m"])
+
+        found = rows.mapInArrow(run, "to string, label int, sure double, x array<float>, m array<double>").distinct()
+        rank = F.row_number().over(Window.partitionBy("to", "label").orderBy(F.desc("sure"), "x", "m"))
+        best = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).where(F.col("rank") <= max(most.values())).collect()
+        best.sort(key=lambda r: (KINDS.index(next(k for k in KINDS if (k[0], k[2]) == (r["to"], r["label"]))), r["rank"]))
+        shared.unpersist()
+        return [(r["to"], r["label"], r["sure"], np.array(r["x"], np.float32), np.array(r["m"])) for r in best]
+
+    return look_up
+
+
+def learn(rows: DataFrame, max_labelled: int = 8000, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
+    """From the table of ``features``; rows that are held out take no part."""
+    rows = rows.where(~F.col("held_out"))
+    known, unknown = rows.where(F.col("label").isNotNull()), rows.where(F.col("label").isNull())
+    share = min(1.0, max_labelled / max(1, known.count()))
+    drawn = known.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share).select(*PASSED[2:], "x").distinct().toArrow()
+    batch = drawn.sort_by([("draw", "ascending"), ("label", "ascending"), ("chars", "ascending"), ("lang_at", "ascending"), ("source_at", "ascending")]).combine_chunks()
+    if not batch.num_rows:
         return Model()
-    rows.sort(key=lambda r: (r["draw"], r["label"], r["x"], r["m"]))
-    return co_train(np.array([r["x"] for r in rows], np.float32), np.array([r["m"] for r in rows]), np.array([r["label"] for r in rows]))
+    return co_train(*_views(batch.to_batches()[0]), batch.column("label").to_numpy().astype(np.int64), rounds, per_round, _pool(unknown))
 
 
 SCHEMA = "doc_id long, held_out boolean, p_text double, p_meta double, score double"
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 8000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> DataFrame:
     """doc_id, held_out, the calibrated views p_text and p_meta, score and predicted of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, max_labelled, max_pool))
+    rows = features(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(learn(rows, max_labelled, rounds, per_round))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.value.score(*_matrices(batch, 2, s, 512)) for s in range(0, batch.num_rows, 512)]
-            found = [pa.array(np.concatenate([[], *p]), pa.float64()) for p in (zip(*parts, strict=True) if parts else [[], [], []])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["doc_id", "held_out", "p_text", "p_meta", "score"])
+            scores = model.value.score(*_views(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(p, pa.float64()) for p in scores)], names=["doc_id", "held_out", "p_text", "p_meta", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *INPUTS)
     return rows.mapInArrow(run, SCHEMA).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -450,3 +450,46 @@ def test_warc_tells_pages_apart_that_share_an_id(spark):
 def test_surt():
     assert warc.surt("http://www.Example.com:80/A?b=1#c") == "com,example)/a?b=1"
     assert warc.surt("https://x.example.org:8443") == "org,example,x:8443)/"
+
+
+def plain_meta(lang, source, n):
+    row = [0.0] * quality.META_FEATURES
+    row[0], row[1] = np.log1p(max(0, n or 0)), float(n is None)
+    row[2 + zlib.crc32((lang or "\0").encode()) % quality.LANG_BUCKETS] = 1.0
+    row[2 + quality.LANG_BUCKETS + zlib.crc32((source or "\0").encode()) % quality.SOURCE_BUCKETS] = 1.0
+    return row
+
+
+def test_quality_equals_plain_co_training(spark):
+    rng = np.random.default_rng(5)
+    made, marks = [], []
+    for k in range(1600):
+        good = int(rng.integers(2))
+        words = rng.choice([f"w{j}" for j in range(200 if good else 6)], int(rng.integers(5, 60)))
+        made.append((k, " ".join(words) if k % 97 else None, "en" if k % 31 else None, f"s{good if rng.random() < 0.95 else 1 - good}", int(rng.integers(1000)) if k % 13 else None))
+        if k % 3 == 0:
+            marks.append((k, good))
+    made += [made[7], made[8], made[8]]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    found = {r.doc_id: r for r in quality.quality(docs, spark.createDataFrame(marks, "doc_id long, quality int"), per_round=60).collect()}
+    draw = {r.doc_id: r.d for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("d")).collect()}
+    label = dict(marks)
+    rows = sorted({r for r in made if zlib.crc32(str(r[0]).encode()) % 4 != 2}, key=lambda r: draw[r[0]])
+    x = np.array([quality.text_features(r[1]) for r in rows], np.float32)
+    m = np.array([plain_meta(*r[2:]) for r in rows])
+    model = quality.co_train(x, m, np.array([label.get(r[0], -1) for r in rows]), per_round=60)
+    alone = quality.co_train(x, m, np.array([label.get(r[0], -1) for r in rows]), rounds=0)
+    assert not np.array_equal(alone.linear, model.linear)  # labels were exchanged
+    for r in made[::7]:
+        p = model.score(np.array([quality.text_features(r[1])], np.float32), np.array([plain_meta(*r[2:])]))
+        assert np.allclose([found[r[0]].p_text, found[r[0]].p_meta, found[r[0]].score], np.ravel(p), atol=1e-9)
+
+
+def test_a_view_without_signal_hands_nothing():
+    rng = np.random.default_rng(6)
+    right = rng.random(2000) < 0.8
+    assert quality.bar(rng.normal(size=2000), right) == np.inf
+    sure = np.where(right, 1.0, 0.0) + rng.normal(0, 0.2, 2000)
+    at = quality.bar(sure, right)
+    assert right[sure >= at].mean() >= quality.CONFIDENT
+    assert quality.bar(np.zeros(50), np.ones(50, bool)) == 0.0 and quality.bar(np.zeros(0), np.zeros(0, bool)) == np.inf
