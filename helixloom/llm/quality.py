@@ -105,12 +105,16 @@ class Model:
 
 
 def bar(sure: np.ndarray, right: np.ndarray) -> float:
-    """The lowest score from which a view was right on enough held-back rows; infinite if there is none."""
+    """The lowest score that is calibrated as confident and from which a view was right on enough held-back rows; infinite if there is none."""
+    if not len(sure):
+        return float("inf")
     order = np.argsort(-sure, kind="stable")
-    n = np.arange(1, len(sure) + 1)
-    share = (np.cumsum(right[order]) + 1) / (n + 2)
-    good = (share - BOUND * np.sqrt(share * (1 - share) / n) >= CONFIDENT) & (np.diff(sure[order], append=-np.inf) < 0)  # ends of equal scores only
-    return float(sure[order][np.flatnonzero(good)[-1]]) if good.any() else float("inf")
+    sure, right, n = sure[order], right[order], np.arange(1, len(sure) + 1)
+    share = (np.cumsum(right) + 1) / (n + 2)
+    good = share - BOUND * np.sqrt(share * (1 - share) / n) >= CONFIDENT
+    good &= np.diff(sure, append=-np.inf) < 0  # ends of equal scores only
+    good &= fit_isotonic(sure, right.astype(float))(sure) >= CONFIDENT
+    return float(sure[good][-1]) if good.any() else float("inf")
 
 
 #: What one view hands to another: who gets it, the label, how sure, and both feature rows.
