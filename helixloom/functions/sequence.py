@@ -94,24 +94,32 @@ def encoded(seq: Column, rna: bool = False) -> Column:
     return F.regexp_replace(F.upper(seq) if rna else seq, "[^ACGT]", "-")
 
 
-def formatted_bases(n: Column) -> Column:
-    """1234 as '1.23 kb' and so on, up to Gb; two decimals, rounded half up from the whole number."""
-    label = F.concat(n.cast("string"), F.lit(" bp"))
-    for unit, name in ((10**3, " kb"), (10**6, " Mb"), (10**9, " Gb")):
-        hundredths = F.floor((n + unit // 200) / F.lit(unit // 100)).cast("long")
-        text = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(name))
+def _scaled(n: Column, names: tuple[str, str, str, str]) -> Column:
+    """In units of 1, 10^3 (one decimal), 10^6 and 10^9 (two decimals), rounded half up from the whole number."""
+    label = F.concat(n.cast("string"), F.lit(f" {names[0]}"))
+    for unit, digits, name in ((10**3, 1, names[1]), (10**6, 2, names[2]), (10**9, 2, names[3])):
+        step = unit // 10**digits
+        parts = F.floor((n + step // 2) / F.lit(step)).cast("long")
+        text = F.concat(F.floor(parts / 10**digits).cast("string"), F.lit("."), F.lpad((parts % 10**digits).cast("string"), digits, "0"), F.lit(f" {name}"))
         label = F.when(n >= unit, text).otherwise(label)
     return label
 
 
+def formatted_bases(n: Column) -> Column:
+    """1234 as '1.2 kb', 1234567 as '1.23 Mb' and so on, up to Gb."""
+    return _scaled(n, ("bp", "kb", "Mb", "Gb"))
+
+
 def formatted_bytes(n: Column) -> Column:
-    """1536 as '1.5 KB' and so on, up to GB; one decimal."""
-    label = F.concat(n.cast("string"), F.lit(" B"))
-    for power, name in ((1, " KB"), (2, " MB"), (3, " GB")):
-        unit = 1024**power
-        tenths = F.floor((n * 10 + unit // 2) / unit).cast("long")
-        label = F.when(n >= unit, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))).otherwise(label)
-    return label
+    """1536 as '1.5 KB', 3145728 as '3.15 MB' and so on, up to GB; units are decimal."""
+    return _scaled(n, ("B", "KB", "MB", "GB"))
+
+
+def bin_label(start: Column) -> Column:
+    """The label of a histogram bin by its start: 500, 1k, 1.5k."""
+    tenths = F.floor((start + 50) / 100).cast("long")
+    decimal = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))
+    return F.when(start < 1000, start.cast("string")).when(start % 1000 == 0, F.concat(F.floor(start / 1000).cast("string"), F.lit("k"))).otherwise(decimal)
 
 
 def mulberry32(seed: int, draw: Column) -> Column:

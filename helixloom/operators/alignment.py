@@ -38,6 +38,12 @@ def variable_sites(stats: DataFrame) -> DataFrame:
     return stats.where("class_bits & 2 > 0").select(F.col("col").alias("pos"), F.col("plurality").alias("consensus"), alleles.alias("alleles"), (F.col("class_bits").bitwiseAND(4) > 0).alias("informative"), (F.col("gaps") > 0).alias("indel"))
 
 
+def variant_list(sites: DataFrame, most: int = 5000) -> DataFrame:
+    """The first variable sites by column, with the total of all: a top-k."""
+    total = sites.agg(F.count(F.lit(1)).alias("total"))
+    return sites.orderBy("pos").limit(most).crossJoin(F.broadcast(total))  # one row
+
+
 def gap_stats(alignment: DataFrame) -> DataFrame:
     return alignment.groupBy("seq_idx").agg(F.avg((~F.col("base").isin(*"ACGT")).cast("int")).alias("gap_share"))
 

@@ -90,6 +90,12 @@ def volcano(rows: DataFrame) -> DataFrame:
     return rows.select("gene", x.alias("x"), (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("y"))
 
 
+def ranked_bars(rows: DataFrame, p: str = "p", most: int = 400) -> DataFrame:
+    """gene, y (-log10 p) of the tests with a finite p, by p: a top-k."""
+    finite = rows.where(F.col(p).isNotNull() & ~F.isnan(p))
+    return finite.orderBy(p, "gene").limit(most).select("gene", (-F.log10(F.greatest(F.col(p), F.lit(1e-300)))).alias("y"))
+
+
 def ranked(rows: DataFrame, most: int = 150) -> DataFrame:
     """Rows by p, tests that failed last: a top-k."""
     return rows.orderBy(F.col("p").asc_nulls_last(), "gene").limit(most)

@@ -21,6 +21,8 @@ IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "GC"
 DISPLAY = ("CDS", "tRNA", "rRNA", "tmRNA", "ncRNA")
 BIN = 512
 WINDOW_ROWS = 1 << 16
+#: How many features, search results and motif hits a list shows.
+MOST_FEATURES, MOST_FOUND, MOST_HITS = 300, 60, 120
 MARK = "\x01"
 
 
@@ -114,6 +116,14 @@ def display_order(features: DataFrame) -> DataFrame:
     return features.orderBy("contig", "start", F.coalesce(rank, F.lit(len(DISPLAY))), "feature_id")
 
 
+def feature_list(features: DataFrame, contig, query: str = "", most: int = MOST_FEATURES) -> DataFrame:
+    """The features of a contig in display order, with the text in their tag or product: a top-k."""
+    q = query.strip().lower()
+    rows = features.where(F.col("contig") == contig)
+    found = [F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)) for c in ("tag", "product")]
+    return display_order(rows.where(found[0] | found[1]) if q else rows).limit(most)
+
+
 def motif_pattern(motif: str) -> str:
     letters = [c for c in motif.upper() if "A" <= c <= "Z"]
     return "".join(f"[{IUPAC.get(c, 'N')}]" for c in letters)
@@ -134,6 +144,11 @@ def motif_hits(contigs: DataFrame, motif: str) -> DataFrame:
     )
 
 
+def motif_list(contigs: DataFrame, contig, motif: str, most: int = MOST_HITS) -> DataFrame:
+    """The first hits on a contig by start, those of the forward strand first: a top-k."""
+    return motif_hits(contigs.where(F.col("contig") == contig), motif).orderBy("start", "strand").limit(most)
+
+
 def search(features: DataFrame, query: str) -> DataFrame:
     """Features whose tag or product holds the text, or whose type it is, in any case."""
     q = query.strip().lower()

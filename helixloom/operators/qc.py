@@ -83,6 +83,14 @@ def gc_histogram(metrics: DataFrame, step: int = 5) -> DataFrame:
     return _binned(metrics, "gc", metrics.sparkSession.range(1).select(F.array(*[F.lit(e) for e in edges]).alias("edges")))
 
 
+def n50_point(metrics: DataFrame) -> DataFrame:
+    """n50, n50_cumulative_bases: the bases of the reads up to and with the first that is no longer than N50, longest first."""
+    at = n_statistics(metrics, {"n50": 0.5})
+    met = metrics.select("length").crossJoin(F.broadcast(at))  # one row
+    longer, first = F.sum(F.when(F.col("length") > F.col("n50"), F.col("length"))), F.max(F.when(F.col("length") <= F.col("n50"), F.col("length")))
+    return met.agg(F.max("n50").cast("long").alias("n50"), (F.coalesce(longer, F.lit(0)) + F.coalesce(first, F.lit(0))).cast("long").alias("n50_cumulative_bases"))
+
+
 def yield_by_length(metrics: DataFrame, points: int = 400) -> DataFrame:
     """Bases in the reads at least as long as each sampled read, longest first, ties by read.
 

@@ -35,8 +35,10 @@ def filter_genes(genes: DataFrame, query: str = "", membrane: bool = False, sign
 
 
 def sorted_tests(rows: DataFrame, key: str = "p", search: str = "", most: int = 150) -> DataFrame:
-    """Association rows by p, q or the size of the log odds ratio, with a search on the gene: a top-k."""
-    rows = rows.where(F.contains(F.lower("gene"), F.lit(search.lower()))) if search else rows
+    """Association rows by p, q or the size of the log odds ratio, with a search on the gene and its product: a top-k."""
+    q = search.strip().lower()
+    named = [F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)) for c in ("gene", "product") if c in rows.columns]
+    rows = rows.where(named[0] | named[-1]) if q else rows
     order = F.abs(F.log2("odds_ratio")).desc_nulls_last() if key == "odds_ratio" else F.col(key).asc_nulls_last()
     return rows.orderBy(order, "gene").limit(most)
 
@@ -82,3 +84,12 @@ def runnable(traits: DataFrame, binary: bool = True) -> None:
 def merge_by_contig(left: DataFrame, right: DataFrame) -> DataFrame:
     """Features of both sides; a contig that the right side has comes from there."""
     return left.join(right.select("contig").distinct(), "contig", "left_anti").unionByName(right, allowMissingColumns=True)
+
+
+def named_alike(contigs: DataFrame, features: DataFrame) -> DataFrame:
+    """Features; where there is exactly one contig and all features are on one, they take the contig's name."""
+    ours = contigs.agg(F.count(F.lit(1)).alias("__n"), F.min("contig").alias("__name"))
+    theirs = features.agg(F.min("contig").alias("__low"), F.max("contig").alias("__high"))
+    met = features.crossJoin(F.broadcast(ours.crossJoin(theirs)))  # one row
+    alike = (F.col("__n") == 1) & (F.col("__low") == F.col("__high"))
+    return met.withColumn("contig", F.when(alike, F.col("__name")).otherwise(F.col("contig"))).select(*features.columns)

@@ -61,11 +61,12 @@ def assoc_scan(spark, sf_dir):
 
 
 def assoc_scan_stratified(spark, sf_dir):
-    return assoc.binary_scan(*_inputs(spark, sf_dir)).select("gene", "p", "q", "cmh_p", "or_mh", "strata_used")
+    return _rounded(assoc.binary_scan(*_inputs(spark, sf_dir)).select("gene", "p", "q", "cmh_p", "or_mh", "strata_used"), "p", "q", "cmh_p", "or_mh")
 
 
 def assoc_scan_continuous(spark, sf_dir):
-    return assoc.continuous_scan(*_inputs(spark, sf_dir))
+    rows = _rounded(assoc.continuous_scan(*_inputs(spark, sf_dir)), "mean_present", "mean_absent", "mean_diff", digits=8)  # few ties: values are cents
+    return _rounded(_rounded(rows, "t", "df", digits=4), "p", "q", "q_bonf")
 
 
 def volcano_points(spark, sf_dir):
@@ -116,6 +117,14 @@ FISHER = f"""v_k AS (SELECT *, unnest(range(greatest(0, (a + b) - (b + d)), leas
              FROM (SELECT *, row_number() OVER (ORDER BY p, gene) AS rank, count(*) OVER () AS m FROM v_or))"""
 V = (PRESENCE, TRAITS, TABLES)
 Z = "1.959963984540054"
+WELCH = """v_groups AS (SELECT gene, count(*) FILTER (present) AS n1, avg(value) FILTER (present) AS m1, var_samp(value) FILTER (present) AS v1,
+        count(*) FILTER (NOT present) AS n2, avg(value) FILTER (NOT present) AS m2, var_samp(value) FILTER (NOT present) AS v2 FROM v_pa JOIN v_trait USING (sample) GROUP BY gene),
+    v_t AS (SELECT *, (m1 - m2) / sqrt(s1 + s2) AS t, (s1 + s2) * (s1 + s2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)) AS df FROM (SELECT *, v1 / n1 AS s1, v2 / n2 AS s2 FROM v_groups)),
+    v_y AS (SELECT *, t * t / (df + t * t) AS y FROM v_t),
+    v_series AS (SELECT gene, sum(exp(lgamma(0.5 + df / 2 + k) - lgamma(0.5 + df / 2) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(y))) AS total
+        FROM (SELECT gene, df, y, unnest(range(400)) AS k FROM v_y WHERE y > 0) GROUP BY gene),
+    v_p AS (SELECT v_y.*, CASE WHEN y > 0 THEN 1 - 2 * exp(lgamma(0.5 + df / 2) - lgamma(0.5) - lgamma(df / 2) + 0.5 * ln(y) + df / 2 * ln(1 - y)) * total WHEN y = 0 THEN 1 END AS p FROM v_y LEFT JOIN v_series USING (gene)),
+    v_adjusted AS (SELECT *, least(1.0, min(p * m / rank) OVER (ORDER BY rank DESC)) AS q, least(1.0, p * m) AS q_bonf FROM (SELECT *, row_number() OVER (ORDER BY p, gene) AS rank, count(p) OVER () AS m FROM v_p))"""
 CI = f"{_q('exp(lor)')} AS odds_ratio, {_q(f'exp(lor - {Z} * se)')} AS ci_lo, {_q(f'exp(lor + {Z} * se)')} AS ci_hi"
 ORACLES = {
     "contingency": with_views("SELECT * FROM v_tab", *V),
@@ -137,6 +146,21 @@ ORACLES = {
         SELECT gene, {_q("(pow(abs(sa - se) - CASE WHEN abs(sa - se) >= 0.5 THEN 0.5 ELSE 0 END, 2) / sv)")} AS chi2, {_q("(num / den)")} AS or_mh, used AS strata_used FROM s""",
         PRESENCE, TRAITS, STRATA,
     ),
+    "assoc_scan_stratified": with_views(
+        f"""WITH h AS (SELECT *, (a + b + c + d)::DOUBLE AS n, (a + b)::DOUBLE AS r1, (a + c)::DOUBLE AS c1 FROM v_strata),
+        s AS (SELECT gene, sum(a) AS sa, sum(r1 * c1 / n) AS se, sum(r1 * c1 * (n - r1) * (n - c1) / (n * n * (n - 1))) AS sv, sum(a * d / n) AS num, sum(b * c / n) AS den, count(*) AS used
+              FROM h WHERE n > 0 AND c1 > 0 AND c1 < n AND r1 > 0 AND r1 < n GROUP BY gene),
+        z AS (SELECT gene, sqrt(pow(abs(sa - se) - CASE WHEN abs(sa - se) >= 0.5 THEN 0.5 ELSE 0 END, 2) / sv / 2) AS z, num / den AS or_mh, used FROM s),
+        e AS (SELECT gene, sum(exp((2 * k + 1) * ln(z) + 2 * k * ln(2) + lgamma(k + 1.0) - lgamma(2 * k + 2.0))) AS total FROM (SELECT gene, z, unnest(range(400)) AS k FROM z WHERE z > 0) GROUP BY gene)
+        SELECT gene, {_q("p")} AS p, {_q("q")} AS q, {_q("CASE WHEN z > 0 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * total WHEN z = 0 THEN 1 END")} AS cmh_p, {_q("or_mh")} AS or_mh, coalesce(used, 0) AS strata_used
+        FROM v_bh LEFT JOIN z USING (gene) LEFT JOIN e USING (gene)""",
+        *V, STRATA, FISHER,
+    ),
+    "assoc_scan_continuous": with_views(
+        f"""SELECT gene, n1 AS n_present, {_q("m1", 8)} AS mean_present, n2 AS n_absent, {_q("m2", 8)} AS mean_absent, {_q("(m1 - m2)", 8)} AS mean_diff, {_q("t", 4)} AS t, {_q("df", 4)} AS df,
+               {_q("p")} AS p, {_q("q")} AS q, {_q("q_bonf")} AS q_bonf FROM v_adjusted""",
+        PRESENCE, TRAITS, WELCH,
+    ),
     "bh_fdr": with_views(f"SELECT gene, {_q('q')} AS q FROM v_bh", *V, FISHER),
     "bonferroni": with_views(f"SELECT gene, {_q('q_bonf')} AS q_bonf FROM v_bh", *V, FISHER),
     "assoc_scan": with_views(f"SELECT gene, a, b, c, d, {_q('p')} AS p, {_q('q')} AS q, {_q('q_bonf')} AS q_bonf, {CI} FROM v_bh", *V, FISHER),

@@ -246,7 +246,8 @@ ORACLES = {
         READS,
     ),
     "format_bases": with_views(
-        """SELECT read_idx, CASE WHEN length(seq) >= 1000 THEN ((length(seq) + 5) // 10 // 100) || '.' || lpad(((length(seq) + 5) // 10 % 100)::VARCHAR, 2, '0') || ' kb' ELSE length(seq) || ' bp' END AS label FROM v_reads""",
+        """SELECT read_idx, CASE WHEN length(seq) >= 1000000 THEN ((length(seq) + 5000) // 1000000) || '.' || lpad(((length(seq) + 5000) // 10000 % 100)::VARCHAR, 2, '0') || ' Mb'
+        WHEN length(seq) >= 1000 THEN ((length(seq) + 50) // 1000) || '.' || ((length(seq) + 50) // 100 % 10) || ' kb' ELSE length(seq) || ' bp' END AS label FROM v_reads""",
         READS,
     ),
 }

@@ -13,6 +13,8 @@ BINARY = r"(?i)^([01]|true|false|yes|no|present|absent)?$"
 PRESENT = "(?i)^true|yes|present$"
 ID_COLUMNS = ("id", "sample", "isolate", "strain", "name")
 SNIFFED_ROWS = 20
+#: What labels of cases read like.
+CASE_HINTS = "(?i)resist|case|positive|^pos$|yes|surviv|pathog|sympt|high"
 
 
 def delimiter(header: str) -> str:
@@ -62,3 +64,11 @@ def phenotypes(spark: SparkSession, path: str) -> DataFrame:
 def pick_trait(kinds: dict[str, str]) -> str | None:
     """The first binary column, else the first numeric one."""
     return next((c for kind in ("binary", "numeric") for c, k in kinds.items() if k == kind), None)
+
+
+def case_label(table: DataFrame, column: str, row: str = "row") -> str | None:
+    """The label of the cases of a binary column: the first to appear that reads like one, else the last in order; blank ones do not count."""
+    v = F.trim(F.col(f"`{column}`"))
+    seen = table.select(v.alias("v"), F.col(row).alias("at")).where("v <> ''")
+    hinted = F.min(F.when(F.col("v").rlike(CASE_HINTS), F.struct("at", "v")))
+    return seen.agg(F.coalesce(hinted["v"], F.max("v")).alias("v")).first()["v"]

@@ -32,7 +32,7 @@ def test_sequence_functions(spark):
     assert one(spark, S.reverse_complement(S.reverse_complement(F.lit("AACCGGTTN")))) == "AACCGGTTN"
     assert one(spark, S.translated(F.lit("ATGGCNTAAT"))) == "MX"
     assert one(spark, S.encoded(F.lit("acgU"), rna=True)) == "ACGT"
-    assert one(spark, S.formatted_bases(F.lit(1234))) == "1.23 kb"
+    assert one(spark, S.formatted_bases(F.lit(1234))) == "1.2 kb"
 
 
 def test_fisher_odds_welch(spark):
@@ -220,7 +220,7 @@ def test_matching_is_greedy(spark):
 
 
 def test_byte_labels(spark):
-    assert [one(spark, S.formatted_bytes(F.lit(n))) for n in (12, 1536, 3 << 20)] == ["12 B", "1.5 KB", "3.0 MB"]
+    assert [one(spark, S.formatted_bytes(F.lit(n))) for n in (12, 1536, 3 << 20)] == ["12 B", "1.5 KB", "3.15 MB"]
 
 
 def test_stream_progress_is_kept(spark, sf_dir):
