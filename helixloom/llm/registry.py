@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "exact_dedup", "quality", "warc", "packing", "line_dedup", "passage_dedup", "toxicity", "decontamination", "secrets", "simhash", "personal", "collocations")
+MODULES = ("language_id", "exact_dedup", "quality", "warc", "packing", "line_dedup", "passage_dedup", "toxicity", "decontamination", "secrets", "simhash", "personal", "collocations", "spelling")
 
 
 def _modules():
