@@ -2,17 +2,28 @@
 
 A task reads one file, or with the option ``splitBytes`` one byte range of a plain file
 (well-formed four-line records are found again from their shape). Files are read in
-chunks, so memory is one record. ``read_idx`` is unique over all files of a load: the
-file's place by name in the high bits, then the range's first byte plus the number of the
-read in it. Paths with a scheme are read from the cluster's storage. Options: ``path`` (file, folder or glob),
-``splitBytes`` (0: whole files), ``issues`` (true: rows on malformed records instead).
+chunks, so memory is one record. ``read_idx`` is unique over all files of a load and the same
+for any ``splitBytes``: the file's ordinal in the high bits, then the byte at which the record
+starts. Ordinals are places by name in a batch, and places in the log in a stream.
+
+A stream keeps a log of the files that it has seen (name, size, time), in the order in which it
+saw them. New files are appended before an offset names them, and an offset is a length of the
+log, so a file that sorts before others but comes later is read once, no file is read twice, and a
+restart finds the same files under the same ordinals. Streams with one log share it. A file counts
+with the size that it had when it was seen; files must not change afterwards.
+
+Paths with a scheme are read from the cluster's storage. Options: ``path`` (file, folder or glob),
+``splitBytes`` (0: whole files), ``issues`` (true: rows on malformed records instead), ``log`` (the
+folder of a stream's log; ``stream`` puts it into the shared folder, else it is ``_fastq_log`` beside the files).
 """
 
 from __future__ import annotations
 
 import glob
 import gzip
+import hashlib
 import io
+import json
 import os
 import sys
 from collections.abc import Iterator
@@ -24,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from helixloom.session import shared_dir
+
 READS = "file string, read_idx long, id string, desc string, seq string, qual string, byte_start long, byte_len long"
 FILE_BITS = 44  # read_idx: which file, then a number that is unique in it; files are at most 16 TB
 ISSUES = "file string, byte_start long, message string"
@@ -61,11 +74,78 @@ def _open(name: str):
     return gzip.open(name, "rb") if name.endswith(".gz") else open(name, "rb")
 
 
-def _size(name: str) -> int:
+def _stat(name: str) -> tuple[int, float]:
+    """Size and time of a file."""
     if _remote(name):
         files_of, inner = _store(name)
-        return files_of.get_file_info(inner).size
-    return os.path.getsize(name)
+        info = files_of.get_file_info(inner)
+        return info.size, (info.mtime_ns or 0) / 1e9
+    found = os.stat(name)
+    return found.st_size, found.st_mtime
+
+
+class SeenLog:
+    """The files that a stream has seen, as segments of JSON lines named by the ordinal of their first file.
+
+    A segment is written in whole beside the log and then moved into place under a name that only one
+    writer can take, so streams that share a log agree on it.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.entries = folder, []
+
+    def _names(self) -> list[str]:
+        if _remote(self.folder):
+            from pyarrow import fs
+
+            files_of, inner = _store(self.folder)
+            files_of.create_dir(inner, recursive=True)
+            names = [f.base_name for f in files_of.get_file_info(fs.FileSelector(inner))]
+        else:
+            os.makedirs(self.folder.removeprefix("file://"), exist_ok=True)
+            names = os.listdir(self.folder.removeprefix("file://"))
+        return sorted(x for x in names if x.endswith(".json") and x[0].isdigit())
+
+    def load(self) -> list[dict]:
+        """All entries; only segments past those that are known are read."""
+        for name in self._names():
+            if int(name[:-5]) == len(self.entries):
+                with _open(f"{self.folder.removeprefix('file://')}/{name}") as source:
+                    self.entries += [json.loads(line) for line in source.read().splitlines()]
+        return self.entries
+
+    def _take(self, data: bytes) -> bool:
+        """Write the next segment, unless another writer has it by now."""
+        name, temporary = f"{len(self.entries):012d}.json", f"_{os.getpid()}-{os.urandom(8).hex()}"
+        if _remote(self.folder):
+            files_of, inner = _store(self.folder)
+            if files_of.get_file_info(f"{inner}/{name}").is_file:
+                return False
+            with files_of.open_output_stream(f"{inner}/{temporary}") as out:
+                out.write(data)
+            files_of.move(f"{inner}/{temporary}", f"{inner}/{name}")
+            return True
+        folder = self.folder.removeprefix("file://")
+        with open(f"{folder}/{temporary}", "wb") as out:
+            out.write(data)
+            out.flush()
+            os.fsync(out.fileno())
+        try:
+            os.link(f"{folder}/{temporary}", f"{folder}/{name}")
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(f"{folder}/{temporary}")
+        return True
+
+    def append(self, names: list[str]) -> list[dict]:
+        """The log with the files that it did not have yet, by time and name."""
+        while True:
+            known = {e["name"] for e in self.load()}
+            new = sorted((time, name, size) for name in names if name not in known for size, time in [_stat(name)])
+            rows = [{"name": name, "size": size, "time": time} for time, name, size in new]
+            if not rows or self._take("".join(json.dumps(r) + "\n" for r in rows).encode()):
+                return self.load()
 
 
 def files(path: str) -> list[str]:
@@ -85,6 +165,11 @@ def files(path: str) -> list[str]:
     return sorted(glob.glob(path)) or [path]
 
 
+def _exists(name: str) -> bool:
+    """Whether the name is a file: a pattern that nothing matches stands for itself."""
+    return _remote(name) or os.path.isfile(name)
+
+
 def lines(source, start: int) -> Iterator[tuple[int, int, bytes]]:
     """Offset, end and content of each line; one carriage return goes, but not from an unfinished last line."""
     at = start
@@ -115,7 +200,7 @@ def parse(part: Part) -> Iterator[tuple[str, tuple]]:
     with _open(part.file) as source:
         begin = _resync(source, part.start) if part.start else 0
         source.seek(begin)
-        number, state, held = 0, 0, []
+        state, held = 0, []
         for at, end, line in lines(source, begin):
             if state == 0:
                 if part.end >= 0 and at >= part.end:
@@ -135,8 +220,7 @@ def parse(part: Part) -> Iterator[tuple[str, tuple]]:
                 if len(seq) != len(qual):
                     yield "issue", (part.file, held[0][0], f"{name}: {len(seq)} bases and {len(qual)} qualities")
                     continue
-                yield "read", (part.file, (part.ordinal << FILE_BITS) + part.start + number, name, desc, seq, qual, held[0][0], end - held[0][0])
-                number += 1
+                yield "read", (part.file, (part.ordinal << FILE_BITS) + held[0][0], name, desc, seq, qual, held[0][0], end - held[0][0])
 
 
 class _Reader:
@@ -145,14 +229,13 @@ class _Reader:
         self.issues = options.get("issues", "false").lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", "0")))
 
-    def parts(self, names: list[str], first: int = 0) -> list[Part]:
+    def parts(self, sized: list[tuple[str, int]], first: int = 0) -> list[Part]:
         out = []
-        for ordinal, name in enumerate(names, first):
-            size = _size(name)
+        for ordinal, (name, size) in enumerate(sized, first):
             if self.split and size > self.split and not name.endswith(".gz"):
                 out += [Part(name, s, min(size, s + self.split), ordinal) for s in range(0, size, self.split)]
             else:
-                out.append(Part(name, ordinal=ordinal))
+                out.append(Part(name, 0, -1 if name.endswith(".gz") else size, ordinal))
         return out
 
     def read(self, partition: Part) -> Iterator[tuple]:
@@ -162,20 +245,27 @@ class _Reader:
 
 class FastqReader(_Reader, DataSourceReader):
     def partitions(self) -> list[Part]:
-        return self.parts(files(self.options["path"]))
+        return self.parts([(name, _stat(name)[0]) for name in files(self.options["path"])])
 
 
 class FastqStreamReader(_Reader, DataSourceStreamReader):
-    """New files, by name; an offset is the number of files taken."""
+    """New files as the log has them; an offset is a length of the log."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        path = options["path"]
+        beside = path if _remote(path) or os.path.isdir(path.removeprefix("file://")) else os.path.dirname(path) or "."
+        self.log = SeenLog(options.get("log") or f"{beside.rstrip('/')}/_fastq_log")
 
     def initialOffset(self) -> dict:
         return {"files": 0}
 
     def latestOffset(self) -> dict:
-        return {"files": len(files(self.options["path"]))}
+        return {"files": len(self.log.append([f for f in files(self.options["path"]) if _exists(f)]))}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        return self.parts(files(self.options["path"])[start["files"] : end["files"]], start["files"])
+        entries = self.log.load()[start["files"] : end["files"]]
+        return self.parts([(e["name"], e["size"]) for e in entries], start["files"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -219,6 +309,12 @@ def fetch(places: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_ranges, "file string, byte_start long, id string, desc string, seq string, qual string")
 
 
+def stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The files of a folder or pattern as a stream whose log is in the shared folder, under a name that follows from the path."""
+    log = f"{shared_dir(spark)}/fastq-log-{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    return spark.readStream.format("fastq").options(log=log, **options).load(path)
+
+
 def register(spark: SparkSession) -> None:
     """Make the format known. The source goes to Spark's planners by value, as they do not see the session's files."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,10 +9,14 @@ from helixloom.plans.inputs import features, reads
 QUERIES = catalogue.queries()
 
 
-def test_every_feature_is_inspected(spark, sf_dir):
-    known = reads(spark, sf_dir).select(F.col("read_idx").alias("contig"))
-    wanted = features(spark, sf_dir).join(known, "contig").agg(F.count(F.lit(1)), F.count_if(F.col("start") >= 2000)).first()
-    assert wanted[1] > 0 and QUERIES["feature_inspector_all"](spark, sf_dir).count() == wanted[0]
+def test_every_feature_is_inspected(spark, tmp_path):
+    """Lines on both sides of 2000, the start from which feature_inspector leaves features out."""
+    spark.createDataFrame([(k, "ACGTTGCA" * 900) for k in range(1, 4)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    lines = [(o, 1, part, 1 + o % 3, 20.0, "O", "N") for o, part in enumerate([5, 190, 200, 201, 650, 719, 5000], 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_linestatus string, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r.feature_id for r in QUERIES["feature_inspector_all"](spark, str(tmp_path)).collect()}
+    assert found == {r.feature_id for r in features(spark, str(tmp_path)).collect()} and len(found) == len(lines)
+    assert QUERIES["feature_inspector"](spark, str(tmp_path)).count() == 2
 
 
 def test_union_takes_whole_sides(spark, sf_dir):
