@@ -87,6 +87,23 @@ def attributes(raw: str | None) -> dict[str, str]:
 GFF = "file string, ord long, contig string, type string, start long, end long, strand string, phase string, circular boolean, attrs map<string,string>"
 
 
+def gff_line(line: str) -> tuple | None:
+    """contig, type, start, end, strand, phase, circular, attrs of a line with nine columns or a region line."""
+    line = line.strip()
+    if region := re.match(r"##sequence-region\s+(\S+)\s+(\d+)\s+(\d+)", line, re.I):
+        start, end = int(region[2]), int(region[3])
+        return (region[1], "sequence-region", start - 1, end, ".", ".", False, {}) if end >= start else None
+    cells = line.split("\t")
+    if line.startswith("#") or len(cells) < 9 or not (cells[3].strip().isdigit() and cells[4].strip().isdigit()):
+        return None
+    start, end = int(cells[3]), int(cells[4])
+    if end < start:
+        return None
+    kind, attrs = cells[2].strip(), attributes(cells[8])
+    ring = attrs.get("Is_circular") or attrs.get("is_circular") or attrs.get("circular") or ""
+    return cells[0].strip() or "sequence", TYPE_NAMES.get(kind.lower(), kind), start - 1, end, "-" if cells[6].strip() == "-" else "+", cells[7].strip(), bool(re.search("true|yes|circular", ring, re.I)), attrs
+
+
 def gff_rows(sources: DataFrame) -> DataFrame:
     """The lines of GFF3 or GTF texts with nine columns, and ``##sequence-region`` lines as type ``sequence-region``."""
 
@@ -94,21 +111,8 @@ def gff_rows(sources: DataFrame) -> DataFrame:
         for rows in batches:
             out = []
             for file, text in zip(rows["file"], rows["text"], strict=True):
-                for k, line in enumerate(re.split(r"(?im)^##FASTA\s*$", text or "")[0].splitlines()):
-                    line = line.strip()
-                    if region := re.match(r"##sequence-region\s+(\S+)\s+(\d+)\s+(\d+)", line, re.I):
-                        start, end = int(region[2]), int(region[3])
-                        if end >= start:
-                            out.append((file, k, region[1], "sequence-region", start - 1, end, ".", ".", False, {}))
-                        continue
-                    cells = line.split("\t")
-                    if line.startswith("#") or len(cells) < 9 or not (cells[3].strip().isdigit() and cells[4].strip().isdigit()):
-                        continue
-                    start, end = int(cells[3]), int(cells[4])
-                    if end >= start:
-                        kind, attrs = cells[2].strip(), attributes(cells[8])
-                        ring = attrs.get("Is_circular") or attrs.get("is_circular") or attrs.get("circular") or ""
-                        out.append((file, k, cells[0].strip() or "sequence", TYPE_NAMES.get(kind.lower(), kind), start - 1, end, "-" if cells[6].strip() == "-" else "+", cells[7].strip(), bool(re.search("true|yes|circular", ring, re.I)), attrs))
+                lines = re.split(r"(?im)^##FASTA\s*$", text or "")[0].splitlines()
+                out += [(file, k, *row) for k, line in enumerate(lines) if (row := gff_line(line))]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in GFF.replace("map<string,string>", "map").split(", ")])
 
     return sources.select("file", "text").mapInPandas(run, GFF)
