@@ -3,8 +3,9 @@ r"""Spelling variants by composing finite-state machines: vocabulary, one edit,
 The vocabulary's words form an acceptor. Composed with a transducer that replaces, inserts or deletes one letter, and with
 the acceptor again, it accepts exactly the pairs of words that are one edit apart. Before its edit a path of the composed
 machine is in the same state on both sides; after it, the rest of both words must be the same, so it walks what the two
-states reached have in common. In a minimised acceptor equal sets of endings are one state, so this is found once for
-each pair of states.
+states reached have in common. In a minimised acceptor equal sets of endings are one state, so a pair of states stands for
+many pairs of prefixes. Each state carries a mask of sums over the letters of its endings; states whose masks are
+disjoint have nothing in common, and the walk does not enter them, so its time follows what it finds.
 
 The work is dealt by initial state: the state that a prefix reaches. A prefix that more than ``block`` words have is
 split by one letter more, so a task composes at most ``block`` words at a time, and a hot prefix is many tasks. Edits
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from helixloom.llm.common import materialize, table
 
 MIN_LETTERS, MIN_COUNT, RATIO = 6, 5, 5
-LOSES, BLOCK, PREFIXES = 199, 1 << 14, 4096
-HELD, PAIRS = 400_000, 100_000
+LOSES, BLOCK, PREFIXES = 199, 1 << 13, 4096
+HELD, PAIRS, KNOWN, SUMS = 400_000, 100_000, 10_000, 4093
 RUNS = "[a-zÀ-ÿ]"
 PAIR = "word string, near string, near_n long"
 
@@ -106,15 +107,33 @@ def acceptor(words: list[str]) -> tuple[list[tuple[bool, dict[str, int]]], int]:
     return states, settle(path[0][0][0], path[0][1])
 
 
+def masks(states: list[tuple[bool, dict[str, int]]]) -> list[int]:
+    """For each state the sums, modulo SUMS, of its endings' letters, as a set of bits; an ending adds its letter to what follows it."""
+    out: list[int] = []
+    full = (1 << SUMS) - 1
+    for final, arcs in states:  # states come after those that they lead to
+        bits = int(final)
+        for letter, to in arcs.items():
+            by = ord(letter) * 2971 % SUMS
+            bits |= (out[to] << by | out[to] >> (SUMS - by)) & full
+        out.append(bits)
+    return out
+
+
 def composed(words: list[str]) -> Iterator[tuple[str, str]]:
     """The pairs of sorted words that acceptor, one edit and acceptor accept, each pair once."""
     states, root = acceptor(words)
+    sums = masks(states)
     found: dict[tuple[int, int], list[str]] = {}
 
     def common(p: int, q: int) -> list[str]:
         """The endings that lead from both states to a final one."""
+        if not sums[p] & sums[q]:
+            return []
         key = (p, q) if p < q else (q, p)
         if key not in found:
+            if len(found) >= KNOWN:
+                found.clear()
             out, todo = [], [(*key, "")]
             while todo:
                 a, b, ending = todo.pop()
@@ -123,7 +142,7 @@ def composed(words: list[str]) -> Iterator[tuple[str, str]]:
                     out.append(ending)
                 if len(arcs_a) > len(arcs_b):
                     arcs_a, arcs_b = arcs_b, arcs_a
-                todo += [(to, arcs_b[letter], ending + letter) for letter, to in arcs_a.items() if letter in arcs_b]
+                todo += [(to, arcs_b[letter], ending + letter) for letter, to in arcs_a.items() if letter in arcs_b and sums[to] & sums[arcs_b[letter]]]
             found[key] = out
         return found[key]
 
