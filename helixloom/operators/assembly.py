@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from helixloom.functions import sequence as S
 from helixloom.operators.components import components
 from helixloom.session import materialize
 
+EXPANDED = 1 << 21
 K, W, MAX_READS = 10, 5, 40
 DRIFT, MIN_MATCHES, MIN_OVERLAP = 60, 4, 200
 UNKNOWN = np.int64(1) << 40
@@ -70,34 +72,116 @@ def index(sketches: DataFrame, most: int = MAX_READS) -> DataFrame:
     return sketches.join(kept, "hash")
 
 
-def candidate_matches(indexed: DataFrame) -> DataFrame:
-    """a, b, pos_a, pos_b, strand_a, strand_b, seen: shared minimizers of reads a < b."""
-    a = indexed.select("hash", "seen", F.col("read_idx").alias("a"), F.col("pos").alias("pos_a"), F.col("strand").alias("strand_a"))
-    b = indexed.select("hash", F.col("read_idx").alias("b"), F.col("pos").alias("pos_b"), F.col("strand").alias("strand_b"))
+def postings(indexed: DataFrame) -> DataFrame:
+    """hash, read_idx, seen, places: one row for each read with a hash. A place is twice its position, plus one on the other strand."""
+    place = F.col("pos") * 2 + F.when(F.col("strand") < 0, 1).otherwise(0)
+    return indexed.groupBy("hash", "read_idx", "seen").agg(F.array_sort(F.collect_list(place)).alias("places"))
+
+
+def _sides(posted: DataFrame, *kept: str) -> DataFrame:
+    """Pairs of reads a < b that share a hash; a hash has at most as many reads as ``index`` lets it have."""
+    a, b = (posted.select("hash", F.col("read_idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "ab")
     return a.join(b, "hash").where("a < b")
 
 
-def overlaps(matches: DataFrame, lengths: DataFrame, k: int = K, w: int = W, drift: int = DRIFT, min_matches: int = MIN_MATCHES, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+def pair_counts(posted: DataFrame) -> DataFrame:
+    """a, b, matches: how many pairs of places two reads share, from the numbers of places alone."""
+    counted = posted.select("hash", "read_idx", F.size("places").cast("long").alias("n"))
+    return _sides(counted, "n").groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("matches"))
+
+
+def chained(places_a: list[np.ndarray], places_b: list[np.ndarray], turn: int, drift: int) -> list[tuple[int, int, int, int, int]]:
+    """Of two reads' places for each shared hash: the longest chain (count, least and last place on a and on b) on the same strand and on the other.
+
+    Matches come in the order of their places on a, then on b: each place on a meets the sorted places of its hash on b. They are
+    never all held, only EXPANDED at a time; ``turn`` takes a place on b to the other strand.
+    """
+    group = lambda places: np.repeat(np.arange(len(places)), [len(p) for p in places])
+    a, b = np.concatenate(places_a).astype(np.int64), np.concatenate(places_b).astype(np.int64)
+    key_a, key_b = group(places_a) * 2 + (a & 1), group(places_b) * 2 + (b & 1)
+    order_a, order_b = np.argsort(a >> 1, kind="stable"), np.argsort(key_b, kind="stable")
+    key_a, at_a, at_b = key_a[order_a], a[order_a] >> 1, b[order_b] >> 1
+    sizes = np.bincount(key_b, minlength=2 * len(places_a))
+    firsts = np.cumsum(sizes) - sizes
+    out = []
+    for other in (0, 1):
+        keys, on_b = key_a ^ other, turn - at_b if other else at_b
+        n = sizes[keys]
+        some = n > 0
+        keys, n, on_a = keys[some], n[some], at_a[some]
+        upto = np.cumsum(n)
+        best, open_, last, row = (0, 0, 0, 0, 0), None, 0, 0
+
+        def chain(x: np.ndarray, y: np.ndarray, before: tuple | None) -> tuple[int, int, int, int, int]:
+            found = (len(x), int(x[0]), int(x[-1]), int(y.min()), int(y.max()))
+            return found if before is None else (before[0] + found[0], before[1], found[2], min(before[3], found[3]), max(before[4], found[4]))
+
+        while row < len(n):
+            done = upto[row] - n[row]
+            stop = max(row + 1, int(np.searchsorted(upto, done + EXPANDED, "right")))
+            m = n[row:stop]
+            total = int(m.sum())
+            y = on_b[np.arange(total) + np.repeat(firsts[keys[row:stop]] - (np.cumsum(m) - m), m)]
+            x = np.repeat(on_a[row:stop], m)
+            diagonal = x - y
+            cuts = np.flatnonzero(np.abs(np.diff(diagonal)) > drift) + 1
+            bounds = np.concatenate([[0], cuts, [total]])
+            if open_ is not None and abs(int(diagonal[0]) - last) > drift:
+                best, open_ = max(best, open_, key=lambda c: c[0]), None
+            whole = np.diff(bounds)
+            first = chain(x[: bounds[1]], y[: bounds[1]], open_)
+            if len(whole) == 1:
+                open_ = first
+            else:
+                best = max(best, first, key=lambda c: c[0])
+                if len(whole) > 2:
+                    k = 1 + int(np.argmax(whole[1:-1]))
+                    if whole[k] > best[0]:
+                        best = chain(x[bounds[k] : bounds[k + 1]], y[bounds[k] : bounds[k + 1]], None)
+                open_ = chain(x[bounds[-2] :], y[bounds[-2] :], None)
+            last, row = int(diagonal[-1]), stop
+        out.append(max(best, open_, key=lambda c: c[0]) if open_ is not None else best)
+    return out
+
+
+CHAIN = "a long, b long, len_a int, len_b int, found_at struct<seen:struct<read_idx:long,pos:int>,a:long,pos_a:int,b:long,pos_b:int>, orientation string, match_count long, a_min int, a_max int, b_min int, b_max int"
+
+
+def _chains(k: int, drift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i in range(batch.num_rows):
+                lists = [x.flatten() for x in batch.column(5)[i].values.flatten()]
+                ends = [np.cumsum(pc.list_value_length(x).to_numpy())[:-1] for x in batch.column(5)[i].values.flatten()]
+                places = [np.split(x.to_numpy(), e) for x, e in zip(lists, ends, strict=True)]
+                for name, (n, a0, a1, b0, b1) in zip(("same", "rev"), chained(*places, batch.column(3)[i].as_py() - k, drift), strict=True):
+                    if n:
+                        rows.append(i)
+                        found.append((name, n, a0, a1 + k, b0, b1 + k))
+            if rows:
+                kept = batch.select([0, 1, 2, 3, 4]).take(pa.array(rows))
+                types = (pa.string(), pa.int64(), *[pa.int32()] * 4)
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, "orientation", "match_count", "a_min", "a_max", "b_min", "b_max"])
+
+    return run
+
+
+def overlaps(posted: DataFrame, lengths: DataFrame, k: int = K, w: int = W, drift: int = DRIFT, min_matches: int = MIN_MATCHES, min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """Chains along diagonals, the longest for each pair and orientation, classified by where it ends.
 
-    A chain breaks where the diagonal jumps by more than ``drift``. Chains are islands of a
-    window over one pair and orientation.
+    A chain breaks where the diagonal jumps by more than ``drift``. Pairs with too few matches are known from counts and
+    go before any place is joined; the places of a pair are a few arrays in one row, whatever number of matches they make.
     """
-    enough = matches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_matches).select("a", "b")
+    enough = pair_counts(posted).where(F.col("matches") >= min_matches).select("a", "b")
+    shared = _sides(posted.select("hash", "read_idx", "places", "seen"), "places", "seen").join(enough, ["a", "b"], "left_semi")
+    at = lambda s: F.shiftright(F.col(f"places_{s}")[0], 1)
+    found_at = F.struct(F.col("seen_a").alias("seen"), "a", at("a").alias("pos_a"), "b", at("b").alias("pos_b"))
+    pairs = shared.groupBy("a", "b").agg(F.min(found_at).alias("found_at"), F.collect_list(F.struct("places_a", "places_b")).alias("places"))
     size = lambda s: lengths.select(F.col("read_idx").alias(s), F.col("length").alias(f"len_{s}"))
-    m = matches.join(enough, ["a", "b"], "left_semi").join(size("a"), "a").join(size("b"), "b")
-    same = F.col("strand_a") == F.col("strand_b")
-    m = m.withColumn("orientation", F.when(same, "same").otherwise("rev")).withColumn("pos_bt", F.when(same, F.col("pos_b")).otherwise(F.col("len_b") - F.col("pos_b") - k))
-    pair = Window.partitionBy("a", "b", "orientation").orderBy("pos_a", "pos_b")
-    m = m.withColumn("diagonal", F.col("pos_a") - F.col("pos_bt"))
-    jump = F.coalesce((F.abs(F.col("diagonal") - F.lag("diagonal").over(pair)) > drift).cast("int"), F.lit(0))
-    m = m.withColumn("jump", jump).withColumn("chain", F.sum("jump").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("seen", "a", "pos_a", "b", "pos_b")).alias("found_at")
-    chains = m.groupBy("a", "b", "orientation", "chain", "len_a", "len_b").agg(
-        F.count(F.lit(1)).alias("match_count"), F.min("pos_a").alias("a_min"), (F.max("pos_a") + k).alias("a_max"), F.min("pos_bt").alias("b_min"), (F.max("pos_bt") + k).alias("b_max"), first
-    )
-    longest = Window.partitionBy("a", "b", "orientation").orderBy(F.desc("match_count"), "chain")
-    best = chains.withColumn("rank", F.row_number().over(longest)).withColumn("found_at", F.min("found_at").over(Window.partitionBy("a", "b"))).where((F.col("rank") == 1) & (F.col("match_count") >= min_matches))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "len_a", "len_b", "found_at", "places")
+    best = sized.mapInArrow(_chains(k, drift), CHAIN).where(F.col("match_count") >= min_matches)
     span = F.greatest(F.col("a_max") - F.col("a_min"), F.col("b_max") - F.col("b_min"))
     best = best.withColumn("overlap_len", span + 2 * w).where(F.col("overlap_len") >= min_overlap)
     best = best.withColumn("score", F.least(F.lit(1.0), F.col("match_count") / F.greatest(F.lit(1.0), span / float(w))))
@@ -232,7 +316,7 @@ def contigs(reads: DataFrame, found: DataFrame) -> DataFrame:
 
 def assemble(reads: DataFrame, k: int = K, w: int = W, most: int = MAX_READS) -> tuple[DataFrame, DataFrame]:
     """Contigs and overlaps of reads (read_idx, seq)."""
-    found = materialize(overlaps(candidate_matches(index(minimizers(reads, k, w), most)), reads.select("read_idx", F.length("seq").alias("length")), k, w), "overlaps")
+    found = materialize(overlaps(materialize(postings(index(minimizers(reads, k, w), most)), "postings"), reads.select("read_idx", F.length("seq").alias("length")), k, w), "overlaps")
     return contigs(reads, found), found
 
 

@@ -20,6 +20,8 @@ from helixloom.functions import sequence as S
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 DISPLAY = ("CDS", "tRNA", "rRNA", "tmRNA", "ncRNA")
 BIN = 512
+#: The least window and the number of windows in a contig's length, of the skew and the GC track.
+SKEW_WINDOWS, GC_WINDOWS = (32, 1400), (200, 400)
 WINDOW_ROWS = 1 << 16
 #: How many features, search results and motif hits a list shows.
 MOST_FEATURES, MOST_FOUND, MOST_HITS = 300, 60, 120
@@ -52,20 +54,25 @@ def overlaps(features: DataFrame, same_strand: int = 60, opposite_strand: int =
 
 
 def _window_counts(least: int, parts: int):
-    """Of rows (contig, seq): the counts of each window as differences of running sums, so each base is counted once."""
+    """Of rows (contig, seq): the counts of each window, from those of cells of half a window; a base takes a few bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from helixloom.operators.chunked import cell_counts
+
         for batch in batches:
             for k, seq in enumerate(batch.column(1)):
-                codes = np.frombuffer(seq.as_py().encode("utf-32-le"), np.uint32)
+                codes = np.frombuffer(seq.as_py().encode("ascii", "replace"), np.uint8)
                 win = max(least, len(codes) // parts)
-                step = max(1, win // 2)
-                starts = np.arange(0, len(codes) - win + 1, step) if len(codes) >= win else np.zeros(0, np.int64)
-                upto = {x: np.append(0, np.cumsum(codes == ord(x), dtype=np.int32)) for x in "ACGT"}
-                for s in range(0, len(starts), WINDOW_ROWS):
-                    at = starts[s : s + WINDOW_ROWS]
-                    n = {x: u[at + win] - u[at] for x, u in upto.items()}
-                    columns = [np.full(len(at), win), at, n["G"], n["C"], sum(n.values())]
+                step = win // 2
+                if len(codes) < win:
+                    continue
+                _, counts, heads = cell_counts(codes, 0, step)
+                n = (len(codes) - win) // step + 1
+                odd = [np.append(h, 0)[2 : n + 2] if win % 2 else 0 for h in heads]
+                G, C, known = (c[:n] + c[1 : n + 1] + h for c, h in zip(counts, odd, strict=True))
+                for s in range(0, n, WINDOW_ROWS):
+                    at = np.arange(s, min(n, s + WINDOW_ROWS))
+                    columns = [np.full(len(at), win), at * step, G[at], C[at], known[at]]
                     contig = batch.column(0).take(pa.array(np.full(len(at), k)))
                     yield pa.RecordBatch.from_arrays([contig, *[pa.array(c, pa.int32()) for c in columns]], names=["contig", "win", "start", "G", "C", "known"])
 
@@ -85,7 +92,10 @@ def windows(contigs: DataFrame, least: int, parts: int) -> DataFrame:
 
 def skew_tracks(contigs: DataFrame) -> DataFrame:
     """contig, start, gc, skew over sliding windows; windows with under half known bases go."""
-    counted = windows(contigs, 32, 1400)
+    return skews(windows(contigs, *SKEW_WINDOWS))
+
+
+def skews(counted: DataFrame) -> DataFrame:
     g, c = F.col("G"), F.col("C")
     return counted.where("known >= win * 0.5").select("contig", F.col("start").cast("long").alias("start"), F.when(F.col("known") > 0, (g + c) / F.col("known")).otherwise(0.0).alias("gc"), F.coalesce(F.try_divide(g - c, g + c), F.lit(0.0)).alias("skew"))
 
@@ -105,7 +115,10 @@ def circular_tracks(contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def gc_track(contigs: DataFrame) -> DataFrame:
     """contig, pos, gc: percent at the middle of windows a half window apart."""
-    counted = windows(contigs, 200, 400)
+    return gc_percents(windows(contigs, *GC_WINDOWS))
+
+
+def gc_percents(counted: DataFrame) -> DataFrame:
     gc = S.quantized((F.col("G") + F.col("C")) / F.col("win") * 100, 2)
     return counted.select("contig", (F.col("start") + F.floor(F.col("win") / 2)).cast("long").alias("pos"), gc.alias("gc"))
 

@@ -47,9 +47,14 @@ def inspect_feature(features: DataFrame, contigs: DataFrame) -> DataFrame:
     """Sequence of each feature in its direction, GC, protein of coding ones, and whether the contig is a placeholder."""
     met = features.join(contigs.select("contig", "seq", F.length("seq").alias("len")), "contig")
     part = F.substring("seq", F.greatest(F.lit(0), F.col("start")).cast("int") + 1, (F.least("len", F.col("end")) - F.greatest(F.lit(0), F.col("start"))).cast("int"))
-    met = met.select(*features.columns, part.alias("part")).withColumn("dna", F.when(F.col("strand") == "-", S.reverse_complement(F.col("part"))).otherwise(F.col("part")))
+    return described(met.select(*features.columns, part.alias("dna")), features.columns)
+
+
+def described(sliced: DataFrame, columns: list[str]) -> DataFrame:
+    """Features whose ``dna`` is a slice of the contig, turned into their direction, with what it says."""
+    met = sliced.withColumn("dna", F.when(F.col("strand") == "-", S.reverse_complement(F.col("dna"))).otherwise(F.col("dna")))
     coding = F.col("type").isin("CDS", "gene")
-    return met.select(*features.columns, "dna", region_gc(F.col("dna")).alias("gc"), F.when(coding, S.translated(F.col("dna"))).alias("protein"), (F.length(F.translate("dna", "N", "")) == 0).alias("placeholder"))
+    return met.select(*columns, "dna", region_gc(F.col("dna")).alias("gc"), F.when(coding, S.translated(F.col("dna"))).alias("protein"), (F.length(F.translate("dna", "N", "")) == 0).alias("placeholder"))
 
 
 def region_gc(seq: Column) -> Column:

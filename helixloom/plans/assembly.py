@@ -17,7 +17,7 @@ def _sketches(spark, sf_dir):
 
 def _overlaps(spark, sf_dir):
     rows = reads(spark, sf_dir)
-    return A.overlaps(A.candidate_matches(A.index(A.minimizers(rows))), rows.select("read_idx", F.length("seq").alias("length")))
+    return A.overlaps(materialize(A.postings(A.index(A.minimizers(rows))), "postings"), rows.select("read_idx", F.length("seq").alias("length")))
 
 
 def minimizers(spark, sf_dir):
@@ -30,7 +30,7 @@ def minimizer_index(spark, sf_dir):
 
 
 def candidate_pairs(spark, sf_dir):
-    return A.candidate_matches(A.index(_sketches(spark, sf_dir))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"))
+    return A.pair_counts(A.postings(A.index(_sketches(spark, sf_dir))))
 
 
 def overlap_chains(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixloom.plans import alignment, annotation, assembly, assoc, explorer, phylo, qc, streams, tables, views
+from helixloom.plans import alignment, annotation, assembly, assoc, explorer, formats, phylo, qc, streams, tables, views
 
-MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation, tables, streams, views)
+MODULES = (qc, assoc, explorer, alignment, assembly, phylo, annotation, tables, streams, views, formats)
 
 
 def queries() -> dict:

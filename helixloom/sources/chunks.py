@@ -40,10 +40,6 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     return cut.repartition(max(1, min(cut.count(), 10_000)), "file", "first")
 
 
-def _local(file: str) -> str:
-    return re.sub("^file:/*", "/", file)
-
-
 SPACE = b" \t\x0b\x0c\r\n"
 
 
@@ -52,7 +48,7 @@ def _events(file: str, first: int, last: int) -> Iterator[tuple[str, bytes]]:
 
     At most BLOCK bytes are held at a time, so lines may be as long as a file. A header that passes the range's end is read to its own.
     """
-    with _open(_local(file)) as source:
+    with _open(file) as source:
         source.seek(max(0, first - 1))
         begins = not first or source.read(1) == b"\n"
         kind, at = "seq" if begins else "part", first
@@ -251,7 +247,7 @@ def _genbank(size: int):
 
 def _records(file: str, first: int, last: int) -> Iterator[str]:
     """The lines of the records whose LOCUS line begins in a range, which may end past it."""
-    with _open(_local(file)) as source:
+    with _open(file) as source:
         at = first
         if first:
             source.seek(first - 1)

@@ -25,6 +25,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,7 @@ from helixloom.session import shared_dir
 
 READS = "file string, read_idx long, id string, desc string, seq string, qual string, byte_start long, byte_len long"
 FILE_BITS = 44  # read_idx: which file, then a number that is unique in it; files are at most 16 TB
+FETCHED = 64 << 20  # records in so many bytes of a file are fetched by one task
 ISSUES = "file string, byte_start long, message string"
 
 
@@ -62,7 +64,12 @@ def _store(path: str):
 
 
 def _remote(path: str) -> bool:
-    return "://" in path and not path.startswith("file://")
+    return "://" in path and not path.startswith("file:")
+
+
+def _plain(path: str) -> str:
+    """A local path, without its scheme."""
+    return re.sub("^file:/*", "/", path)
 
 
 def _open(name: str):
@@ -71,6 +78,7 @@ def _open(name: str):
         files_of, inner = _store(name)
         raw = io.BufferedReader(files_of.open_input_file(inner), 1 << 20)
         return gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
+    name = _plain(name)
     return gzip.open(name, "rb") if name.endswith(".gz") else open(name, "rb")
 
 
@@ -80,7 +88,7 @@ def _stat(name: str) -> tuple[int, float]:
         files_of, inner = _store(name)
         info = files_of.get_file_info(inner)
         return info.size, (info.mtime_ns or 0) / 1e9
-    found = os.stat(name)
+    found = os.stat(_plain(name))
     return found.st_size, found.st_mtime
 
 
@@ -92,7 +100,7 @@ class SeenLog:
     """
 
     def __init__(self, folder: str):
-        self.folder, self.entries = folder, []
+        self.folder, self.entries = folder if _remote(folder) else _plain(folder), []
 
     def _names(self) -> list[str]:
         if _remote(self.folder):
@@ -102,15 +110,15 @@ class SeenLog:
             files_of.create_dir(inner, recursive=True)
             names = [f.base_name for f in files_of.get_file_info(fs.FileSelector(inner))]
         else:
-            os.makedirs(self.folder.removeprefix("file://"), exist_ok=True)
-            names = os.listdir(self.folder.removeprefix("file://"))
+            os.makedirs(self.folder, exist_ok=True)
+            names = os.listdir(self.folder)
         return sorted(x for x in names if x.endswith(".json") and x[0].isdigit())
 
     def load(self) -> list[dict]:
         """All entries; only segments past those that are known are read."""
         for name in self._names():
             if int(name[:-5]) == len(self.entries):
-                with _open(f"{self.folder.removeprefix('file://')}/{name}") as source:
+                with _open(f"{self.folder}/{name}") as source:
                     self.entries += [json.loads(line) for line in source.read().splitlines()]
         return self.entries
 
@@ -125,7 +133,7 @@ class SeenLog:
                 out.write(data)
             files_of.move(f"{inner}/{temporary}", f"{inner}/{name}")
             return True
-        folder = self.folder.removeprefix("file://")
+        folder = self.folder
         with open(f"{folder}/{temporary}", "wb") as out:
             out.write(data)
             out.flush()
@@ -159,7 +167,7 @@ def files(path: str) -> list[str]:
         root = path[: len(path) - len(inner)] if path.endswith(inner) else path.split("://")[0] + "://"
         found = files_of.get_file_info(fs.FileSelector(inner))
         return sorted(root + f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
-    path = path.removeprefix("file://")
+    path = _plain(path)
     if os.path.isdir(path):
         return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith(("_", ".")))
     return sorted(glob.glob(path)) or [path]
@@ -167,7 +175,7 @@ def files(path: str) -> list[str]:
 
 def _exists(name: str) -> bool:
     """Whether the name is a file: a pattern that nothing matches stands for itself."""
-    return _remote(name) or os.path.isfile(name)
+    return _remote(name) or os.path.isfile(_plain(name))
 
 
 def lines(source, start: int) -> Iterator[tuple[int, int, bytes]]:
@@ -254,7 +262,7 @@ class FastqStreamReader(_Reader, DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         super().__init__(options)
         path = options["path"]
-        beside = path if _remote(path) or os.path.isdir(path.removeprefix("file://")) else os.path.dirname(path) or "."
+        beside = path if _remote(path) or os.path.isdir(_plain(path)) else os.path.dirname(path) or "."
         self.log = SeenLog(options.get("log") or f"{beside.rstrip('/')}/_fastq_log")
 
     def initialOffset(self) -> dict:
@@ -305,7 +313,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fetch(places: DataFrame) -> DataFrame:
     """file, byte_start, id, desc, seq and qual of the records at rows (file, byte_start, byte_len), each read by its range."""
-    ordered = places.select("file", F.col("byte_start").cast("long"), F.col("byte_len").cast("long")).repartition("file").sortWithinPartitions("file", "byte_start")
+    ordered = places.select("file", F.col("byte_start").cast("long"), F.col("byte_len").cast("long")).repartition("file", F.floor(F.col("byte_start") / FETCHED)).sortWithinPartitions("file", "byte_start")
     return ordered.mapInArrow(_ranges, "file string, byte_start long, id string, desc string, seq string, qual string")
 
 
