@@ -6,10 +6,13 @@ states them. Both start from the labelled rows. In each round, each view looks
 at all unlabelled rows that are not held out and hands the other view the
 ``per_round`` different rows of which it is most sure, in the proportion of the
 labels; the other view is then fitted anew. A view may only hand labels beyond
-the score from which it was right, by a lower confidence bound, on labelled rows
-held back from both views; a view without signal hands nothing. At the end each
-view is calibrated isotonically on those rows, and a logistic regression over
-both calibrated log odds gives the score.
+the score from which it was right, by an exact test on labelled rows held back
+for this alone: more often than CONFIDENT and than the label's share among all of
+them. The test is made for TESTS scores and corrected for their number, so a view
+without signal gets to hand a label in under one percent of all cases. At the end
+each view is calibrated isotonically on other rows held back from both views, and
+a logistic regression over both calibrated log odds gives the score; it is fitted
+on what maps say of rows from which they were not fitted.
 
 The features of all rows are written once, whole texts, and both the rounds and
 the scoring read that narrow table. Fitting uses at most about ``max_labelled``
@@ -43,7 +46,7 @@ SENTENCE_END = re.compile(r"[.!?](?=\s|$)")
 TEXT_FEATURES = 18
 LANG_BUCKETS, SOURCE_BUCKETS = 16, 64
 META_FEATURES = 2 + LANG_BUCKETS + SOURCE_BUCKETS
-CONFIDENT, BOUND, ROUNDS, PER_ROUND = 0.9, 1.64, 3, 600
+CONFIDENT, CHANCE, TESTS, ROUNDS, PER_ROUND = 0.9, 0.0075, 20, 3, 600
 
 
 def text_features(text: str | None) -> list[float]:
@@ -104,17 +107,31 @@ class Model:
         return a, b, sigmoid(np.column_stack([_log_odds(a), _log_odds(b), np.ones(len(a))]) @ self.mix)
 
 
+def _at_least(n: int, right: int, p: float) -> float:
+    """The chance that of n tries ``right`` or more succeed, each with chance p."""
+    k = np.arange(right, n + 1)
+    factorial = np.cumsum(np.log(np.maximum(1, np.arange(n + 1))))
+    logs = factorial[n] - factorial[k] - factorial[n - k] + k * math.log(p) + (n - k) * math.log1p(-p)
+    return float(np.exp(logs).sum())
+
+
 def bar(sure: np.ndarray, right: np.ndarray) -> float:
-    """The lowest score that is calibrated as confident and from which a view was right on enough held-back rows; infinite if there is none."""
+    """The lowest score that is calibrated as confident and from which a view was right on enough held-back rows; infinite if there is none.
+
+    Tried are at most TESTS scores, at even places in their order. Where all rows have the label, only CONFIDENT is tested.
+    """
     if not len(sure):
         return float("inf")
     order = np.argsort(-sure, kind="stable")
-    sure, right, n = sure[order], right[order], np.arange(1, len(sure) + 1)
-    share = (np.cumsum(right) + 1) / (n + 2)
-    good = share - BOUND * np.sqrt(share * (1 - share) / n) >= CONFIDENT
-    good &= np.diff(sure, append=-np.inf) < 0  # ends of equal scores only
-    good &= fit_isotonic(sure, right.astype(float))(sure) >= CONFIDENT
-    return float(sure[good][-1]) if good.any() else float("inf")
+    sure, right = sure[order], right[order]
+    ends = np.flatnonzero(np.diff(sure, append=-np.inf) < 0) + 1  # ends of equal scores only
+    wanted = np.ceil(np.arange(1, TESTS + 1) * len(sure) / TESTS)
+    tried = np.unique(ends[np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)])
+    share = right.mean()
+    chance = max(CONFIDENT, share) if share < 1 else CONFIDENT
+    upto, calibrated = np.cumsum(right), fit_isotonic(sure, right.astype(float))(sure)
+    good = [n for n in tried.tolist() if calibrated[n - 1] >= CONFIDENT and _at_least(n, int(upto[n - 1]), chance) <= CHANCE / len(tried)]
+    return float(sure[good[-1] - 1]) if good else float("inf")
 
 
 #: What one view hands to another: who gets it, the label, how sure, and both feature rows.
@@ -147,6 +164,7 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS,
     prior = float(y[known].mean())
     check = known[np.arange(len(known)) % 4 == 3]
     train = known[np.arange(len(known)) % 4 != 3]
+    judge, check = check[::2], check[1::2]
     if len(set(y[train])) < 2 or len(set(y[check])) < 2:
         return Model(prior)
     if pool is None:
@@ -157,8 +175,8 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS,
     for turn in range(rounds + 1):
         model.forest = fit_forest(given["text"][0], given["text"][2], trees=40)
         model.linear = fit_logistic(given["meta"][1], given["meta"][2], ridge=2.0)
-        raw = model.raw(x[check], m[check])
-        bars = {(v, label): bar(raw[v] if label else -raw[v], y[check] == label) for v in raw for label in (0, 1)}
+        raw = model.raw(x[judge], m[judge])
+        bars = {(v, label): bar(raw[v] if label else -raw[v], y[judge] == label) for v in raw for label in (0, 1)}
         if turn == rounds or all(np.isinf(b) for b in bars.values()):
             break
         fresh = []
@@ -172,10 +190,12 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS,
             if new:
                 old = given[to]
                 given[to] = (np.vstack([old[0], [f[2] for f in new]]), np.vstack([old[1], [f[3] for f in new]]), np.append(old[2], [f[1] for f in new]))
-    model.text_map = fit_isotonic(raw["text"], y[check])
-    model.meta_map = fit_isotonic(raw["meta"], y[check])
-    a, b = model.views(x[check], m[check])
-    model.mix = fit_logistic(np.column_stack([_log_odds(a), _log_odds(b)]), y[check].astype(float), ridge=0.1)
+    raw, half = model.raw(x[check], m[check]), np.arange(len(check)) % 2 == 0
+    model.text_map, model.meta_map = (fit_isotonic(raw[v], y[check]) for v in ("text", "meta"))
+    seen = {v: np.zeros(len(check)) for v in raw}
+    for v, part in ((v, part) for v in raw for part in (half, ~half)):  # each half is mapped by the other
+        seen[v][part] = fit_isotonic(raw[v][~part], y[check][~part])(raw[v][part]) if (~part).any() else prior
+    model.mix = fit_logistic(np.column_stack([_log_odds(seen["text"]), _log_odds(seen["meta"])]), y[check].astype(float), ridge=0.1)
     return model
 
 
