@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are word sequences. Runs of MIN_MATCH shared words
-(an item's whole length, if it has fewer) are seeds, found by a rolling
-Karp-Rabin hash of word numbers and checked word by word. Along a diagonal,
+are seeds, found by a rolling Karp-Rabin hash of word numbers and checked word by
+word. An item of fewer words contaminates nothing, as any text may name it, unless
+``min_words`` lets such items in; they then match by their whole length. Along a diagonal,
 seeds grow to maximal matches. The longest match free of marked words is marked,
 again and again; what is left of a match beside marked words comes back as a
 shorter one. The marked words cover the item wherever its parts stand, so
@@ -15,7 +16,8 @@ group, so texts that repeat a word a million times take seconds.
 
 Every document is read once, without a shuffle, against an index of the
 benchmark of bounded size: a benchmark of more than MAX_INDEX_CHARS characters
-is dealt into blocks of items, and the documents are read once for each block.
+is dealt into blocks of items, and a task looks some documents at a time up in one
+block after the other.
 Tasks build the indexes and leave them in the shared folder; no item passes the
 driver.
 
@@ -45,6 +47,7 @@ WORD = re.compile(r"\w+")
 MIN_MATCH, COVERAGE = 5, 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MAX_INDEX_CHARS = 16_000_000
+GROUP_BYTES = 32 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, tiles int, matched_words int, item_words int"
 
 
@@ -135,11 +138,11 @@ def tiling(groups: list[Group], item_length: int) -> list[tuple[int, int, int]]:
 class Index:
     """Seeds of the items: for each length, sorted hashes and the items that have them."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], min_words: int = MIN_MATCH):
         self.number: dict[str, int] = {}
         self.items = []
         for item_id, text in items:
-            if found := words(text):
+            if len(found := words(text)) >= max(1, min_words):
                 self.items.append((item_id, np.array([self.number.setdefault(w, len(self.number)) for w in found], np.int64)))
         keys: dict[int, list[np.ndarray]] = {}
         for at, (_, numbers) in enumerate(self.items):
@@ -184,7 +187,7 @@ class Index:
                     yield item_id, covered / len(numbers), len(tiles), covered, len(numbers)
 
 
-def _build(folder: str):
+def _build(folder: str, min_words: int):
     """Of rows (block, item_id, text), one block after the other: the index of each block as a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,7 @@ def _build(folder: str):
             files.create_dir(path, recursive=True)
             name = f"{path}/index-{block}-{uuid.uuid4().hex}"  # of attempts that are run again, only the reported file is read
             with files.open_output_stream(name) as out:
-                out.write(pickle.dumps(Index(items)))
+                out.write(pickle.dumps(Index(items, min_words)))
             yield pa.RecordBatch.from_pydict({"block": [block], "path": [name]}, schema=pa.schema([("block", pa.int32()), ("path", pa.string())]))
 
     return run
@@ -210,55 +213,66 @@ def _load(folder: str, name: str) -> Index:
         return pickle.loads(source.read())  # written by this job's own tasks
 
 
-def _match(folder: str, name: str, coverage: float):
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Some batches at a time, so that a block is loaded once for all of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _match(folder: str, names: list[str], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _load(folder, name).matches
-        for batch in batches:
-            rows = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in find(text.as_py()) if m[1] >= coverage]
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        for group in _grouped(batches):
+            for name in names:
+                find = _load(folder, name).matches
+                rows = [(doc_id, *m) for batch in group for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in find(text.as_py()) if m[1] >= coverage]
+                if rows:
+                    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
 
-def _clean(folder: str, name: str, text_at: int, coverage: float):
+def _clean(folder: str, names: list[str], text_at: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _load(folder, name).matches
-        for batch in batches:
-            yield batch.filter(pa.array([not any(m[1] >= coverage for m in find(t.as_py())) for t in batch.column(text_at)], pa.bool_()))
+        for group in _grouped(batches):
+            kept = [np.ones(batch.num_rows, bool) for batch in group]
+            for name in names:
+                find = _load(folder, name).matches
+                for batch, keep in zip(group, kept, strict=True):
+                    for k in np.flatnonzero(keep).tolist():
+                        keep[k] = not any(m[1] >= coverage for m in find(batch.column(text_at)[k].as_py()))
+            yield from (batch.filter(pa.array(keep)) for batch, keep in zip(group, kept, strict=True))
 
     return run
 
 
-def indexes(benchmark: DataFrame, max_index_chars: int) -> tuple[str, list[str]]:
+def indexes(benchmark: DataFrame, max_index_chars: int, min_words: int = MIN_MATCH) -> tuple[str, list[str]]:
     """The folder of the indexes, and the path of each: blocks of about ``max_index_chars`` characters, built by tasks."""
     size = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // max_index_chars))
     folder = fresh_path(benchmark.sparkSession, "benchmark")
     items = benchmark.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("item_id").cast("long").alias("item_id"), "text")
-    built = materialize(items.repartition(blocks, "block").mapInArrow(_build(folder), "block int, path string"), "benchmark-blocks")
+    built = materialize(items.repartition(blocks, "block").mapInArrow(_build(folder, min_words), "block int, path string"), "benchmark-blocks")
     return folder, [r["path"] for r in built.orderBy("block").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
-    """A row for each document and item whose words the document covers to at least ``coverage``."""
-    folder, names = indexes(benchmark, max_index_chars)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for name in names:
-        found = texts.mapInArrow(_match(folder, name, coverage), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return texts.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS, min_words: int = MIN_MATCH) -> DataFrame:
+    """A row for each document and item whose words the document covers to at least ``coverage``; items of under ``min_words`` words take no part."""
+    folder, names = indexes(benchmark, max_index_chars, min_words)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_match(folder, names, coverage), SCHEMA)
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_index_chars: int = MAX_INDEX_CHARS, min_words: int = MIN_MATCH) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, whole; each is judged where it stands, so nothing is joined back."""
-    folder, names = indexes(benchmark, max_index_chars)
-    out = docs
-    for name in names:
-        out = out.mapInArrow(_clean(folder, name, docs.columns.index("text"), coverage), docs.schema)
-    return out
+    folder, names = indexes(benchmark, max_index_chars, min_words)
+    return docs.mapInArrow(_clean(folder, names, docs.columns.index("text"), coverage), docs.schema)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
