@@ -39,6 +39,7 @@ from helixloom.llm.common import Appender, fresh_path, materialize, may_hold, st
 from helixloom.operators.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
+SALTS = 8
 TILE, BLOCK_ROWS, BLOCK_COLUMNS = 1 << 15, 64, 1 << 13
 HASHES = 1 << 16
 LAST_ID = (1 << 63) - 1
@@ -189,7 +190,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     labels = _grouped(docs, radius, F.col("doc_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one fingerprint may be a third of all rows
+    docs = docs.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return docs.join(salted, ["fp", "salt"]).select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
