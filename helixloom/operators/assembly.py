@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators.components import components
+from helixloom.operators import layout
 from helixloom.session import materialize
 
 EXPANDED = 1 << 21
@@ -233,85 +232,22 @@ def greedy_matching(edges: DataFrame) -> DataFrame:
     return (taken if taken is not None else left).drop("p", "q", "order")
 
 
-def _walk(nodes: list[int], edges: dict[tuple[int, str], tuple[int, str, bool, dict]]) -> Iterator[tuple[list[tuple[int, int, dict | None]], bool, dict | None]]:
-    """Paths, then cycles, as steps (read, strand, overlap with the step before), circular, closing overlap."""
-    other = {"L": "R", "R": "L"}
-    seen: set[int] = set()
-    ordered = sorted(nodes)
-    ends_first = [n for n in ordered if sum((n, e) in edges for e in "LR") < 2] + ordered
-    for start in ends_first:
-        if start in seen:
-            continue
-        seen.add(start)
-        steps: list[tuple[int, int, dict | None]] = [(start, 1, None)]
-        at, strand, leave = start, 1, "R" if (start, "R") in edges else "L"
-        closing = None
-        while (at, leave) in edges:
-            to, enter, flip, ov = edges[at, leave]
-            if to == start and len(steps) > 1:
-                closing = ov
-                break
-            if to in seen:
-                break
-            seen.add(to)
-            at, strand, leave = to, -strand if flip else strand, other[enter]
-            steps.append((at, strand, ov))
-        yield steps, closing is not None, closing
-
-
-def _range(ov: dict, read: int, length: int, strand: int) -> tuple[int, int]:
-    """The overlap on a read, in the direction in which the read stands in the contig."""
-    low, high = (ov["a_min"], ov["a_max"]) if read == ov["a"] else (ov["b_min"], ov["b_max"])
-    turned = (strand == -1) != (read != ov["a"] and ov["orientation"] == "rev")
-    return (length - high, length - low) if turned else (low, high)
-
-
-def _layout(rows: pd.DataFrame) -> pd.DataFrame:
-    """Contigs of one component: rows of reads (seq) and rows of matched edges (overlap)."""
-    reads = rows[rows["seq"].notna()]
-    seqs = dict(zip(reads["read_idx"].astype("int64").tolist(), reads["seq"], strict=True))
-    edges: dict[tuple[int, str], tuple[int, str, bool, dict]] = {}
-    numbers = ["a", "b", "a_min", "a_max", "b_min", "b_max"]
-    for e in rows[rows["seq"].isna()].astype(dict.fromkeys(numbers, "int64")).to_dict("records"):
-        edges[e["a"], e["end_a"]] = (e["b"], e["end_b"], bool(e["flip"]), e)
-        edges[e["b"], e["end_b"]] = (e["a"], e["end_a"], bool(e["flip"]), e)
-    turn = str.maketrans(S.BASES, S.COMPLEMENTS)
-    out = []
-    for steps, circular, closing in _walk(list(seqs), edges):
-        text, members = "", []
-        for read, strand, ov in steps:
-            seq = seqs[read] if strand == 1 else seqs[read].translate(turn)[::-1]
-            cut = 0 if ov is None else max(0, min(_range(ov, read, len(seq), strand)[1], len(seq)))
-            members.append({"read_idx": read, "strand": strand, "contig_start": len(text), "contig_end": len(text) + len(seq) - cut})
-            text += seq[cut:]
-        if circular:
-            read, strand, ov = steps[-1]
-            length = len(seqs[read])
-            trimmed = max(0, min(_range(ov, read, length, strand)[1], length)) if ov is not None else 0
-            end = members[-1]["contig_start"] + _range(closing, read, length, strand)[0] - trimmed
-            if members[-1]["contig_start"] < end < len(text):
-                text, members[-1]["contig_end"] = text[:end], end
-            else:
-                circular = False
-        out.append((steps[0][0], text, len(text), circular, len(steps), members))
-    return pd.DataFrame(out, columns=["first_read", "seq", "length", "circular", "read_count", "members"])
-
-
-CONTIG = "first_read long, seq string, length int, circular boolean, read_count int, members array<struct<read_idx:long,strand:int,contig_start:int,contig_end:int>>"
-
-
 def contigs(reads: DataFrame, found: DataFrame) -> DataFrame:
-    """contig_id and layout of each path or cycle, longest first; a component of the matched graph is one group."""
+    """contig_id, first_read, seq, length, circular, read_count and members of each path or cycle, longest first, then by first read.
+
+    The layout is ``layout.placements``; ``layout.contig_chunks`` has the same contigs where a row should not hold one.
+    """
     matched = materialize(greedy_matching(dovetails(found)), "matching")
-    roots = components(matched.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "read_idx")
-    used = reads.select("read_idx", "seq").join(contained(found), "read_idx", "left_anti")
-    placed = used.join(roots, "read_idx", "left").select(F.coalesce("root", "read_idx").alias("part"), "read_idx", "seq")
-    ends = ["a", "b", "end_a", "end_b", "flip", "orientation", "a_min", "a_max", "b_min", "b_max"]
-    edges = matched.join(roots.withColumnRenamed("read_idx", "a"), "a", "left").select(F.coalesce("root", "a").alias("part"), *ends)
-    rows = placed.unionByName(edges, allowMissingColumns=True)
-    built = rows.groupBy("part").applyInPandas(_layout, CONTIG)
-    number = F.row_number().over(Window.orderBy(F.desc("length"), "first_read"))  # one row a contig
-    return built.select(F.concat(F.lit("contig_"), number.cast("string")).alias("contig_id"), *[c.split()[0] for c in CONTIG.split(", ")][:5], "members")
+    used = materialize(reads.select("read_idx", "seq").join(contained(found), "read_idx", "left_anti"), "used")
+    placed = materialize(layout.placements(used.select("read_idx", F.length("seq").alias("length")), matched), "placed")
+    members = F.array_sort(F.collect_list(F.struct("rank", "read_idx", "strand", F.col("contig_start").cast("int").alias("contig_start"), F.col("contig_end").cast("int").alias("contig_end"))))
+    described = placed.groupBy("start").agg(F.first("length").cast("int").alias("length"), F.first("circular").alias("circular"), F.count(F.lit(1)).cast("int").alias("read_count"), members.alias("members"))
+    numbered = described.select("start", "length").withColumn("number", F.row_number().over(Window.orderBy(F.desc("length"), "start"))).select("start", "number")  # two numbers a contig
+    texts = layout.pieces(placed, used).groupBy("start").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "piece")))["piece"], "").alias("seq"))
+    member = lambda m: F.struct(m["read_idx"].alias("read_idx"), m["strand"].alias("strand"), m["contig_start"].alias("contig_start"), m["contig_end"].alias("contig_end"))
+    return described.join(numbered, "start").join(texts, "start").select(
+        F.concat(F.lit("contig_"), F.col("number").cast("string")).alias("contig_id"), F.col("start").alias("first_read"), "seq", "length", "circular", "read_count", F.transform("members", member).alias("members")
+    )
 
 
 def assemble(reads: DataFrame, k: int = K, w: int = W, most: int = MAX_READS) -> tuple[DataFrame, DataFrame]:
