@@ -5,7 +5,6 @@ Table: contigs (contig, seq), contig being a long.
 
 from __future__ import annotations
 
-import bisect
 from collections import Counter
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from helixloom.functions import genes as G
 from helixloom.functions import protein as P
 from helixloom.functions import sequence as S
-from helixloom.operators import explorer
+from helixloom.operators import clusters, explorer
 from helixloom.session import materialize, spread
 
 MIN_GENE, SPARE = 90, 60
@@ -102,31 +101,9 @@ def call_genes(contigs: DataFrame, model: G.CodingModel, min_gene: int = MIN_GEN
     return orf_scan(contigs, min_gene).mapInPandas(run, CALL)
 
 
-def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Best scores first; a gene that overlaps an accepted one by more than the allowance goes.
-
-    Accepted genes are kept by start; none is longer than the longest so far, so only a
-    stretch of them can overlap.
-    """
-    order = rows.sort_values(["score", "strand", "start"], ascending=[False, True, True], kind="stable")
-    starts: list[int] = []
-    taken: list[tuple[int, int, str]] = []
-    longest, keep = 0, []
-    for k, (start, end, strand) in zip(order.index, order[["start", "end", "strand"]].itertuples(index=False), strict=True):
-        low, high = bisect.bisect_left(starts, start - longest), bisect.bisect_left(starts, end)
-        if any(min(e, end) - max(s, start) > (SAME_STRAND if t == strand else OPPOSITE_STRAND) for s, e, t in taken[low:high]):
-            continue
-        at = bisect.bisect_left(starts, start)
-        starts.insert(at, start)
-        taken.insert(at, (start, end, strand))
-        longest = max(longest, end - start)
-        keep.append(k)
-    return rows.loc[sorted(keep)]
-
-
 def resolve_overlaps(calls: DataFrame) -> DataFrame:
-    """Accepted genes; a contig is one group, as acceptance depends on all better genes of it."""
-    return calls.groupBy("contig").applyInPandas(_resolve, CALL)
+    """Accepted genes: best scores first; one that overlaps an accepted one by more than the allowance goes."""
+    return clusters.resolved(calls, SAME_STRAND, OPPOSITE_STRAND)
 
 
 PROTEIN = "length_aa int, mw double, pi double, gravy double, aromaticity double, tm_segments array<struct<start:int,end:int>>, signal struct<score:double,cleavage_after:int,note:string>, localization string"
@@ -155,7 +132,7 @@ def protein_properties(proteins: DataFrame, key: str) -> DataFrame:
 def annotate(contigs: DataFrame, min_gene: int = MIN_GENE, use_rbs: bool = True, prefix: str = "GE", allowed: tuple[str, ...] = tuple(G.STARTS)) -> DataFrame:
     """Genes with locus tags, proteins and their properties."""
     clean = materialize(cleaned(contigs, min_gene), "contigs")
-    accepted = resolve_overlaps(call_genes(clean, train(clean), min_gene, use_rbs, allowed))
+    accepted = resolve_overlaps(materialize(call_genes(clean, train(clean), min_gene, use_rbs, allowed), "calls"))
     tagged = explorer.locus_tags(accepted.withColumn("feature_id", F.xxhash64("strand", "end")), prefix).drop("feature_id")
     tagged = materialize(tagged.withColumn("protein", S.translated(F.col("dna"))), "genes")
     gc = S.quantized(S.count_of(F.col("dna"), "GC") / F.length("dna") * 100, 1)

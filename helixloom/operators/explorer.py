@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
+from helixloom.operators import clusters
 
 #: IUPAC codes and the bases they stand for; the display order of feature types.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 DISPLAY = ("CDS", "tRNA", "rRNA", "tmRNA", "ncRNA")
-BIN = 512
+SHIFTS = (9, 12, 15, 18, 21, 24, 27, 30)  # bins of 512 bases, and eight times as many on each further level
 #: The least window and the number of windows in a contig's length, of the skew and the GC track.
 SKEW_WINDOWS, GC_WINDOWS = (32, 1400), (200, 400)
 WINDOW_ROWS = 1 << 16
@@ -38,19 +38,32 @@ def stabbing(features: DataFrame, contig, position: int) -> DataFrame:
     return features.where((F.col("contig") == contig) & (F.col("start") <= position) & (F.col("end") >= position))
 
 
+def _bin(level: int):
+    """The bin of a level in which an interval starts; the last level is one bin."""
+    return F.shiftright("start", SHIFTS[level]) if level < len(SHIFTS) else F.lit(0).cast("long")
+
+
 def overlaps(features: DataFrame, same_strand: int = 60, opposite_strand: int = 25) -> DataFrame:
     """Pairs (contig, a, b, overlap) that overlap by more than the allowance of their strands.
 
-    Intervals meet in bins; a pair is reported in the bin where its overlap begins, once. The
-    bin is a join key, so a long or crowded contig is spread over many tasks.
+    Bins are nested, eight of a level in one of the next. An interval is kept once, in the smallest bin that holds it whole, and
+    looks for others there and in the bins around that one, on levels that have intervals; so however long it is, it is a
+    few rows, and a pair meets once.
     """
-    cut = features.select("contig", "feature_id", "start", "end", "strand", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))).alias("bin")).where("end > start")
-    a = cut.select("contig", "bin", *[F.col(c).alias(f"{c}_a") for c in ("feature_id", "start", "end", "strand")])
-    b = cut.select("contig", "bin", *[F.col(c).alias(f"{c}_b") for c in ("feature_id", "start", "end", "strand")])
+    rows = features.select("contig", "feature_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand").where("end > start")
+    top = len(SHIFTS)
+    level = F.coalesce(*[F.when(F.shiftright("start", s) == F.shiftright(F.col("end") - 1, s), k) for k, s in enumerate(SHIFTS)], F.lit(top))
+    own = rows.withColumn("level", level)
+    used = own.agg(F.collect_set("level").alias("used"))  # one row of at most nine numbers
+    at = F.array(*[F.struct(F.lit(k).alias("level"), _bin(k).alias("bin")) for k in range(top + 1)])
+    a = own.withColumn("bin", at[F.col("level")]["bin"]).select("contig", "level", "bin", *[F.col(c).alias(f"{c}_a") for c in ("feature_id", "start", "end", "strand")])
+    looks = own.withColumn("at", at).crossJoin(F.broadcast(used)).select("contig", F.col("level").alias("low"), "feature_id", "start", "end", "strand", F.explode(F.filter("at", lambda x: (x["level"] >= F.col("level")) & F.array_contains("used", x["level"]))).alias("x"))
+    b = looks.select("contig", "x.level", "x.bin", "low", *[F.col(c).alias(f"{c}_b") for c in ("feature_id", "start", "end", "strand")])
     begin, stop = F.greatest("start_a", "start_b"), F.least("end_a", "end_b")
     limit = F.when(F.col("strand_a") == F.col("strand_b"), same_strand).otherwise(opposite_strand)
-    met = a.join(b, ["contig", "bin"]).where((F.col("feature_id_a") < F.col("feature_id_b")) & (stop - begin > limit) & (F.floor(begin / BIN) == F.col("bin")))
-    return met.select("contig", F.col("feature_id_a").alias("a"), F.col("feature_id_b").alias("b"), (stop - begin).alias("overlap"))
+    once = F.when(F.col("level") == F.col("low"), F.col("feature_id_a") < F.col("feature_id_b")).otherwise(F.col("feature_id_a") != F.col("feature_id_b"))
+    met = a.join(b, ["contig", "level", "bin"]).where(once & (stop - begin > limit))
+    return met.select("contig", F.least("feature_id_a", "feature_id_b").alias("a"), F.greatest("feature_id_a", "feature_id_b").alias("b"), (stop - begin).alias("overlap"))
 
 
 def _window_counts(least: int, parts: int):
@@ -206,20 +219,9 @@ def locus_tags(features: DataFrame, prefix: str = "GE") -> DataFrame:
     return features.withColumn("k", within).join(before, "contig").withColumn("locus_tag", F.concat(F.lit(f"{prefix}_"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n))).drop("k", "before")
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["start", "feature_id"], kind="stable")
-    ends, lanes = [], []
-    for start, end in zip(rows["start"], rows["end"], strict=True):
-        lane = next((k for k, e in enumerate(ends) if start >= e), len(ends))
-        ends[lane : lane + 1] = [end]
-        lanes.append(lane)
-    return rows.assign(lane=lanes)[["contig", "feature_id", "strand", "lane"]]
-
-
 def lane_packing(features: DataFrame) -> DataFrame:
-    """First-fit lanes for each contig and strand: a greedy order, so a group is one task's."""
-    rows = features.select("contig", "feature_id", "strand", "start", "end")
-    return rows.groupBy("contig", "strand").applyInPandas(_pack, "contig long, feature_id long, strand string, lane int")
+    """First-fit lanes for each contig and strand, cluster by cluster."""
+    return clusters.lanes(features)
 
 
 def placeholder_contigs(contigs: DataFrame, regions: DataFrame, features: DataFrame, least: int = 1000) -> DataFrame:

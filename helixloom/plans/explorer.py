@@ -68,7 +68,7 @@ def locus_tags(spark, sf_dir):
 
 
 def lane_packing(spark, sf_dir):
-    return explorer.lane_packing(features(spark, sf_dir))
+    return explorer.lane_packing(features(spark, sf_dir)).withColumn("lane", F.col("lane").cast("long"))
 
 
 QUERIES = {
@@ -133,5 +133,11 @@ ORACLES = {
         SELECT ord, contig, CASE WHEN is_pseudo THEN 'pseudogene' WHEN type = 'gene' AND full_product <> '' THEN 'CDS' ELSE type END AS display_type, coalesce(tag, gt, name, gn, id, 'feat_' || k) AS locus_tag, full_product FROM n""",
         FEATURES, ANNOTATED,
     ),
+    "lane_packing": f"""WITH RECURSIVE {FEATURES},
+        o AS (SELECT contig, strand, feature_id, start, "end" AS stop, row_number() OVER (PARTITION BY contig, strand ORDER BY start, feature_id) AS k FROM v_features),
+        r AS (SELECT contig, strand, k, feature_id, 0::BIGINT AS lane, [stop] AS ends FROM o WHERE k = 1 UNION ALL
+            SELECT contig, strand, k, feature_id, lane, list_concat(list_concat(ends[1:lane], [stop]), ends[lane + 2:]) FROM (
+                SELECT o.*, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: o.start >= e), true), len(r.ends) + 1)::BIGINT - 1 AS lane FROM r JOIN o ON o.contig = r.contig AND o.strand = r.strand AND o.k = r.k + 1))
+        SELECT contig, feature_id, strand, lane FROM r""",
     "locus_tags": with_views("SELECT feature_id, 'GE_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 5, '0') ELSE n::VARCHAR END AS locus_tag FROM (SELECT feature_id, row_number() OVER (ORDER BY contig, start, feature_id) AS n FROM v_features)", FEATURES),
 }
