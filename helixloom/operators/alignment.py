@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixloom.functions.sequence import mulberry32, quantized
 
 SATURATED = 1.5
+COLUMNS = 1 << 14  # values of a range in which columns are numbered
 MIN_VALUE = 5e-324
 
 
@@ -133,12 +134,25 @@ def kmer_distances(counts: DataFrame) -> DataFrame:
     return rows.select("i", "j", d.alias("d"))
 
 
+def numbered(columns: DataFrame) -> DataFrame:
+    """col, k: the place of each column in their order. Columns are numbered in ranges of their values, after the counts of the ranges before."""
+    placed = columns.select("col", F.floor(F.col("col") / COLUMNS).alias("part"))
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("part").orderBy("col")) - 1
+    return placed.withColumn("within", within).join(before, "part").select("col", (F.col("before") + F.col("within")).alias("k"))
+
+
+def draws(n: int, replicates: DataFrame, seed: int = 42) -> DataFrame:
+    """rep, k: the n columns that each replicate (rep) draws. Draws are counters, so they are independent of each other and of the other replicates."""
+    each = replicates.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("t"))
+    return each.select("rep", F.floor(mulberry32(seed, F.col("rep") * n + F.col("t")) * n).alias("k"))
+
+
 def bootstrap_columns(columns: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """rep, col, w: how often each replicate draws each kept column. Draws are counters, so they are independent tasks."""
-    n = columns.count()
-    placed = columns.select("col").withColumn("k", F.row_number().over(Window.orderBy("col")) - 1)
-    draws = columns.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), F.floor(mulberry32(seed, F.col("id")) * n).alias("k"))
-    return draws.groupBy("rep", "k").agg(F.count(F.lit(1)).alias("w")).join(placed, "k").select("rep", "col", "w")
+    """rep, col, w: how often each replicate draws each kept column."""
+    placed = numbered(columns)
+    reps = columns.sparkSession.range(replicates).select(F.col("id").alias("rep"))
+    return draws(columns.count(), reps, seed).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("w")).join(placed, "k").select("rep", "col", "w")
 
 
 def rows_of(alignment: DataFrame) -> DataFrame:

@@ -5,17 +5,20 @@ Tables: distances (i, j, d) with i < j; taxa (seq_idx, name); alignment (seq_idx
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.functions import trees
 from helixloom.operators import alignment as A
+from helixloom.session import exists, materialize
 
 MAX_REPLICATES = 1000
+BLOCK, KEPT, BATCH = 1024, 4_000_000, 25
 METHODS: dict[str, Callable] = {"nj": trees.neighbor_joining, "upgma": trees.upgma}
 
 
@@ -55,23 +58,107 @@ def build_trees(distances: DataFrame, names: list[str], method: str = "nj", root
     return distances.select(key, "i", "j", "d").groupBy(key).applyInPandas(build, f"{key} long, newick string, clamped long, splits array<string>")
 
 
-def bootstrap_distances(alignment: DataFrame, replicates: int, model: str = "jc", seed: int = 42, complete: bool = False) -> DataFrame:
-    """rep, i, j, d: replicates are weighted sums over the kept columns, so columns are never copied.
+def _weighted(columns: int):
+    """Of rows (block, kind, key, bases, drawn), one block after the other: sums (rep, i, j, comp, diffs, ti) of the pairs of sequences.
 
-    Only pairs of sequences with a base in the column meet; the columns' draws join them as weights.
+    A block is a matrix of sequences by columns, and the replicates' draws in it a matrix of columns by replicates, so a product of
+    matrices gives all replicates of a sequence against all others at once. Sums are kept over blocks while they are few.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (i, others, reps), sums in kept.items():
+                shape = sums.shape[1:]
+                at = np.flatnonzero(sums.any(0).ravel())
+                columns_ = [np.array(reps)[at % shape[1]], np.full(len(at), i), np.array(others)[at // shape[1]], *(s.ravel()[at] for s in sums)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns_], names=["rep", "i", "j", "comp", "diffs", "ti"])
+            kept.clear()
+
+        def add(rows: list[tuple]) -> None:
+            seqs, drawn = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
+            reps = tuple(r[2] for r in drawn)
+            weight = np.stack([np.bincount(r[4], minlength=columns) for r in drawn], 1).astype(np.float64)
+            codes = np.stack([np.frombuffer(r[3].ljust(columns, "-").encode(), np.uint8) for r in seqs])
+            base = np.full(codes.shape, -1, np.int8)
+            for k, letter in enumerate(b"ACGT"):
+                base[codes == letter] = k
+            for x in range(len(seqs) - 1):
+                both = (base[x] >= 0) & (base[x + 1 :] >= 0)
+                differ = both & (base[x] != base[x + 1 :])
+                turned = differ & ((base[x] ^ base[x + 1 :]) == 2)  # A and G, C and T
+                sums = np.stack([np.rint(m @ weight) for m in (both, differ, turned)]).astype(np.int64)
+                key = (seqs[x][2], tuple(s[2] for s in seqs[x + 1 :]), reps)
+                kept[key] = kept[key] + sums if key in kept else sums
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[-1][0]:
+                    if any(r[1] for r in held) and any(not r[1] for r in held):
+                        add(held)
+                    held = []
+                    if sum(s.size for s in kept.values()) > KEPT:
+                        yield from out()
+                held.append(row)
+        if any(r[1] for r in held) and any(not r[1] for r in held):
+            add(held)
+        yield from out()
+
+    return run
+
+
+def bootstrap_distances(alignment: DataFrame, replicates: int | DataFrame, model: str = "jc", seed: int = 42, complete: bool = False, columns: int = BLOCK) -> DataFrame:
+    """rep, i, j, d of the replicates 0 to ``replicates``, or of those in a table (rep).
+
+    Columns are dealt in blocks. A sequence has one row in a block, its bases there, and a replicate one, the columns
+    that it draws there; there is no row for a column, pair and replicate.
     """
     kept = A.complete_columns(alignment) if complete else alignment
-    weights = A.bootstrap_columns(kept.select("col").distinct(), replicates, seed)
-    known = kept.where(F.col("base").isin(*"ACGT"))
-    a = known.select("col", F.col("seq_idx").alias("i"), F.col("base").alias("x"))
-    b = known.select("col", F.col("seq_idx").alias("j"), F.col("base").alias("y"))
-    kind = F.concat(F.least("x", "y"), F.greatest("x", "y"))
-    differ, transition = F.col("x") != F.col("y"), kind.isin("AG", "CT")
-    w = F.col("w")
-    met = a.join(b, "col").where("i < j").select("col", "i", "j", differ.alias("differ"), (differ & transition).alias("ts")).join(weights, "col")
-    sums = met.groupBy("rep", "i", "j").agg(F.sum(w).alias("comp"), F.sum(F.when(F.col("differ"), w).otherwise(0)).alias("diffs"), F.sum(F.when(F.col("ts"), w).otherwise(0)).alias("ti"))
+    reps = alignment.sparkSession.range(replicates).select(F.col("id").alias("rep")) if isinstance(replicates, int) else replicates
+    placed = materialize(A.numbered(kept.select("col").distinct()), "columns")
+    n = placed.count()
+    if not n:
+        return alignment.sparkSession.createDataFrame([], "rep long, i long, j long, d double")
+    block, place = F.floor(F.col("k") / columns).alias("block"), (F.col("k") % columns).cast("int")
+    cells = kept.join(placed, "col").select("seq_idx", block, place.alias("at"), F.when(F.col("base").isin(*"ACGT"), F.col("base")).otherwise("-").alias("base"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.coalesce(F.col("found")[c], F.lit("-")))
+    found = F.map_from_entries(F.collect_list(F.struct("at", "base"))).alias("found")
+    sequences = cells.groupBy("block", "seq_idx").agg(found).select("block", F.lit(0).alias("kind"), F.col("seq_idx").cast("long").alias("key"), F.array_join(dense, "").alias("bases"), F.lit(None).cast("array<int>").alias("drawn"))
+    drawn = A.draws(n, reps, seed).groupBy(block, "rep").agg(F.collect_list(place).alias("drawn")).select("block", F.lit(1).alias("kind"), F.col("rep").alias("key"), F.lit(None).cast("string").alias("bases"), "drawn")
+    rows = sequences.unionByName(drawn).repartition("block").sortWithinPartitions("block", "kind", "key")
+    sums = rows.mapInArrow(_weighted(columns), "rep long, i long, j long, comp long, diffs long, ti long").groupBy("rep", "i", "j").agg(*[F.sum(c).alias(c) for c in ("comp", "diffs", "ti")])
     d, _ = A.distance(model)
-    return sums.withColumn("tv", F.col("diffs") - F.col("ti")).select("rep", "i", "j", d.alias("d"))
+    return sums.where("comp > 0").withColumn("tv", F.col("diffs") - F.col("ti")).select("rep", "i", "j", d.alias("d"))
+
+
+def replicate_trees(alignment: DataFrame, names: list[str], replicates: int, method: str = "nj", model: str = "jc", seed: int = 42, complete: bool = False, ledger: str | None = None, batch: int = BATCH) -> DataFrame:
+    """rep, newick, clamped, splits of the replicates.
+
+    With a ``ledger``, a folder that driver and executors share, finished replicates are kept there, some at a time, and a
+    run that finds some of them makes only the others. A replicate's draws depend on its number alone, so a stopped and resumed
+    run gives what one run gives. A ledger of another alignment, method, model or seed is an error.
+    """
+    spark = alignment.sparkSession
+    if ledger is None:
+        return build_trees(bootstrap_distances(alignment, replicates, model, seed, complete), names, method)
+    cells = alignment.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq_idx", "col", "base"))).first()
+    run = ":".join(map(str, (*cells, *names, method, model, seed, complete)))
+    schema = "rep long, newick string, clamped long, splits array<string>, run string"
+
+    def kept() -> DataFrame:
+        return spark.read.schema(schema).parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], schema)
+
+    if kept().where(F.col("run") != run).limit(1).count():
+        raise ValueError("the ledger is of another bootstrap")
+    done = {r["rep"] for r in kept().select("rep").collect()}  # at most MAX_REPLICATES
+    left = [r for r in range(replicates) if r not in done]
+    for k in range(0, len(left), batch):
+        reps = spark.createDataFrame([(r,) for r in left[k : k + batch]], "rep long")
+        made = build_trees(bootstrap_distances(alignment, reps, model, seed, complete), names, method)
+        made.withColumn("run", F.lit(run)).write.mode("append").parquet(ledger)
+    return kept().where(F.col("rep") < replicates).dropDuplicates(["rep"]).drop("run")
 
 
 def split_tally(built: DataFrame) -> DataFrame:
@@ -79,16 +166,16 @@ def split_tally(built: DataFrame) -> DataFrame:
     return built.select(F.explode("splits").alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tree_with_support(alignment: DataFrame, names: list[str], method: str = "nj", model: str = "jc", rooting: str = "midpoint", replicates: int = 100, seed: int = 42, complete: bool = False) -> DataFrame:
+def tree_with_support(alignment: DataFrame, names: list[str], method: str = "nj", model: str = "jc", rooting: str = "midpoint", replicates: int = 100, seed: int = 42, complete: bool = False, ledger: str | None = None) -> DataFrame:
     """One row: newick with supports, clamped limbs, replicates.
 
-    Replicates are trees of their own tasks; only split counts of one taxon set meet again.
+    Replicates are trees of their own tasks; only split counts of one taxon set meet again. With a ``ledger`` they can be resumed.
     """
     replicates = checked(method, model, replicates)
     aligned(alignment)
     kept = A.complete_columns(alignment) if complete else alignment
     main = A.distances(A.pairs(kept), model).select(F.lit(0).cast("long").alias("rep"), "i", "j", "d")
-    tally = split_tally(build_trees(bootstrap_distances(alignment, replicates, model, seed, complete), names, method)) if replicates else None
+    tally = split_tally(replicate_trees(alignment, names, replicates, method, model, seed, complete, ledger)) if replicates else None
     hits = {r["split"]: r["n"] for r in tally.collect()} if tally is not None else {}  # at most replicates x (taxa - 3) splits
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
