@@ -62,7 +62,7 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], choose: Callabl
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def _lanes(rows: list[tuple]) -> list[tuple]:
+def first_free(rows: list[tuple]) -> list[tuple]:
     """First-fit lanes of rows (contig, strand, cluster, start, feature_id, end) by start: of the free lanes the lowest, else a new one."""
     busy: list[tuple[int, int]] = []
     free: list[int] = []
@@ -85,11 +85,11 @@ def lanes(features: DataFrame) -> DataFrame:
     kinds = dict(features.dtypes)
     schema = f"contig {kinds['contig']}, feature_id {kinds['feature_id']}, strand string, lane long"
     keys = ["contig", "strand", "cluster"]
-    found = by_group(rows.select(*keys, "start", "feature_id", "end"), keys, ["start", "feature_id"], _lanes, schema)
+    found = by_group(rows.select(*keys, "start", "feature_id", "end"), keys, ["start", "feature_id"], first_free, schema)
     return found.withColumn("lane", F.col("lane").cast("int"))
 
 
-def _best_first(same_strand: int, opposite_strand: int) -> Callable[[list[tuple]], list[tuple]]:
+def best_first(same_strand: int, opposite_strand: int) -> Callable[[list[tuple]], list[tuple]]:
     def choose(rows: list[tuple]) -> list[tuple]:
         """The rows (contig, cluster, strand, start, end, score) that overlap no better one by more than the allowance of their strands.
 
@@ -97,7 +97,7 @@ def _best_first(same_strand: int, opposite_strand: int) -> Callable[[list[tuple]
         """
         taken: list[tuple[int, int, str]] = []
         longest, out = 0, []
-        for contig, _, strand, start, end, _ in sorted(rows, key=lambda r: (-r[5], r[2], r[3])):
+        for contig, _, strand, start, end, _ in sorted(rows, key=lambda r: (-r[5], r[2], r[3], r[4])):
             low, high = bisect.bisect_left(taken, (start - longest,)), bisect.bisect_left(taken, (end,))
             if all(min(e, end) - max(s, start) <= (same_strand if t == strand else opposite_strand) for s, e, t in taken[low:high]):
                 bisect.insort(taken, (start, end, strand))
@@ -109,11 +109,11 @@ def _best_first(same_strand: int, opposite_strand: int) -> Callable[[list[tuple]
 
 
 def resolved(calls: DataFrame, same_strand: int, opposite_strand: int) -> DataFrame:
-    """The calls (contig, strand, start, end, score) that stay, best scores first. Only these five columns meet in a cluster; all others join them afterwards."""
+    """The calls (contig, strand, start, end, score) that stay, best scores first; no two may have one place and strand. Only these five columns meet in a cluster; all others join them afterwards."""
     kinds = dict(calls.dtypes)
     rows = clustered(calls.select("contig", "strand", "start", "end", "score"), "contig")
     keys = ["contig", "cluster"]
     schema = f"contig {kinds['contig']}, strand string, start long, end long"
-    kept = by_group(rows.select(*keys, "strand", "start", "end", "score"), keys, ["start"], _best_first(same_strand, opposite_strand), schema)
+    kept = by_group(rows.select(*keys, "strand", "start", "end", "score"), keys, ["start"], best_first(same_strand, opposite_strand), schema)
     kept = kept.select("contig", "strand", *[F.col(c).cast(kinds[c]).alias(c) for c in ("start", "end")])
     return calls.join(kept, ["contig", "strand", "start", "end"], "left_semi")

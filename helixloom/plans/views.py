@@ -53,7 +53,25 @@ def find_motif_sql(spark, sf_dir):
     return spark.sql("SELECT d.contig, m.* FROM {rows} d, LATERAL find_motif(d.seq, 'GRTAYC') m", rows=_contigs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (yield_n50_point, length_histogram_labels, ranked_bars, feature_list, feature_search_top, motif_list, variant_list, find_motif_sql)}
+def lanes_sql(spark, sf_dir):
+    registered.register(spark)
+    return spark.sql("SELECT contig, feature_id, strand, lane FROM pack_lanes(TABLE({rows}))", rows=features(spark, sf_dir))
+
+
+def resolved_sql(spark, sf_dir):
+    """Features as calls, the longest best."""
+    registered.register(spark)
+    rows = features(spark, sf_dir).withColumn("score", (F.col("end") - F.col("start")).cast("double") + F.col("feature_id") / 1e9)
+    return spark.sql("SELECT contig, feature_id, start, end, strand FROM resolve_overlaps(TABLE({rows}))", rows=rows)
+
+
+def circular_ori_ter(spark, sf_dir):
+    """Origin and terminus of contigs that begin and end with one letter, as a mark of circular ones."""
+    contigs = _contigs(spark, sf_dir).withColumn("circular", F.substring("seq", 1, 1) == F.substring("seq", -1, 1))
+    return explorer.circular_tracks(contigs)[1]
+
+
+QUERIES = {f.__name__: f for f in (lanes_sql, resolved_sql, circular_ori_ter, yield_n50_point, length_histogram_labels, ranked_bars, feature_list, feature_search_top, motif_list, variant_list, find_motif_sql)}
 
 RANK = "CASE type WHEN 'CDS' THEN 0 WHEN 'tRNA' THEN 1 WHEN 'rRNA' THEN 2 WHEN 'tmRNA' THEN 3 WHEN 'ncRNA' THEN 4 ELSE 5 END"
 
@@ -84,5 +102,14 @@ ORACLES = {
         READS,
     ),
     "variant_list": f"""WITH v AS ({alignment_plans.ORACLES["variable_sites"]}) SELECT pos, consensus, (SELECT count(*) FROM v) AS total FROM v ORDER BY pos LIMIT 5000""",
+    "lanes_sql": explorer_plans.ORACLES["lane_packing"],
+    "resolved_sql": f"""WITH RECURSIVE {FEATURES},
+        o AS (SELECT contig, feature_id, start, "end" AS stop, strand, row_number() OVER (PARTITION BY contig ORDER BY ("end" - start)::DOUBLE + feature_id / 1e9 DESC, strand, start) AS k FROM v_features),
+        r AS (SELECT contig, k, [{{'f': feature_id, 'a': start, 'b': stop, 's': strand}}] AS taken FROM o WHERE k = 1 UNION ALL
+            SELECT o.contig, o.k, CASE WHEN len(list_filter(r.taken, lambda t: least(t.b, o.stop) - greatest(t.a, o.start) > CASE WHEN t.s = o.strand THEN 60 ELSE 25 END)) = 0
+                THEN list_append(r.taken, {{'f': o.feature_id, 'a': o.start, 'b': o.stop, 's': o.strand}}) ELSE r.taken END FROM r JOIN o ON o.contig = r.contig AND o.k = r.k + 1),
+        e AS (SELECT contig, unnest(taken) AS t FROM (SELECT contig, arg_max(taken, k) AS taken FROM r GROUP BY contig))
+        SELECT contig, t.f AS feature_id, t.a AS start, t.b AS "end", t.s AS strand FROM e""",
+    "circular_ori_ter": explorer_plans.ORACLES["ori_ter"].replace("v_reads AS (", "v_all AS (", 1).replace("v_sized AS (", "v_reads AS (SELECT * FROM v_all WHERE left(seq, 1) = right(seq, 1)),\n    v_sized AS (", 1),
     "find_motif_sql": explorer_plans.ORACLES["motif_hits"],
 }
