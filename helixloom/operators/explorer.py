@@ -23,6 +23,7 @@ SHIFTS = (9, 12, 15, 18, 21, 24, 27, 30)  # bins of 512 bases, and eight times a
 #: The least window and the number of windows in a contig's length, of the skew and the GC track.
 SKEW_WINDOWS, GC_WINDOWS = (32, 1400), (200, 400)
 WINDOW_ROWS = 1 << 16
+PART = 1 << 18  # values of a range in which features are numbered
 #: How many features, search results and motif hits a list shows.
 MOST_FEATURES, MOST_FOUND, MOST_HITS = 300, 60, 120
 MARK = "\x01"
@@ -202,21 +203,32 @@ def resolve_parents(features: DataFrame) -> DataFrame:
     return linked.join(with_children, "ord", "left_anti").select(*features.columns, F.col("gene.tag").alias("gene_tag"), F.col("gene.name").alias("gene_name"), F.col("gene.product").alias("gene_product"))
 
 
+def numbered(rows: DataFrame, key: str, *ties: str, part: int = PART) -> DataFrame:
+    """``rows`` and ``number``: their places on their contig by ``key``, a whole number, then ``ties``.
+
+    Rows are numbered in ranges of the key, after the counts of the ranges before, so a contig is many tasks' work.
+    """
+    placed = rows.withColumn("__part", F.floor(F.col(key) / part))
+    before = Window.partitionBy("contig").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = placed.groupBy("contig", "__part").agg(F.count(F.lit(1)).alias("__n")).select("contig", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("contig", "__part").orderBy(key, *ties))
+    return placed.withColumn("__within", within).join(counts, ["contig", "__part"]).select(*rows.columns, (F.col("__before") + F.col("__within")).alias("number"))
+
+
 def labelled(resolved: DataFrame) -> DataFrame:
     """Adds locus_tag, full_product and display_type by their fallbacks; unnamed features are numbered."""
     named = F.coalesce("tag", "gene_tag", "name", "gene_name", "id")
-    number = F.row_number().over(Window.partitionBy("contig").orderBy("ord"))
     product = F.coalesce("product", "gene_product", F.when(F.col("name").isNotNull(), F.concat(F.lit("gene "), "name")), F.lit(""))
     kind = F.when(F.col("is_pseudo"), "pseudogene").when((F.col("type") == "gene") & (product != ""), "CDS").otherwise(F.col("type"))
-    return resolved.withColumns({"locus_tag": F.coalesce(named, F.concat(F.lit("feat_"), number.cast("string"))), "full_product": product, "display_type": kind})
+    tag = F.coalesce(named, F.concat(F.lit("feat_"), F.col("number").cast("string")))
+    return numbered(resolved, "ord").withColumns({"locus_tag": tag, "full_product": product, "display_type": kind}).drop("number")
 
 
 def locus_tags(features: DataFrame, prefix: str = "GE") -> DataFrame:
     """Numbered tags by contig and start. Numbers within a contig get the count of the contigs before, so no window holds all rows."""
-    within = F.row_number().over(Window.partitionBy("contig").orderBy("start", "feature_id"))
     before = features.groupBy("contig").agg(F.count(F.lit(1)).alias("n")).select("contig", F.coalesce(F.sum("n").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    n = (F.col("k") + F.col("before")).cast("string")
-    return features.withColumn("k", within).join(before, "contig").withColumn("locus_tag", F.concat(F.lit(f"{prefix}_"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n))).drop("k", "before")
+    n = (F.col("number") + F.col("before")).cast("string")
+    return numbered(features, "start", "feature_id").join(before, "contig").withColumn("locus_tag", F.concat(F.lit(f"{prefix}_"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n))).drop("number", "before")
 
 
 def lane_packing(features: DataFrame) -> DataFrame:
