@@ -37,7 +37,7 @@ from helixloom.session import delete
 SHARDS, LONGEST = 4, 4
 LEAST, TOP, ABSORBED = 30, 2000, 80
 MIN_SLOTS, MAX_SLOTS, BYTES_PER_SLOT = 1 << 16, 1 << 26, 48
-CHUNK, KEYS, HASHED, SPELLED = 8 << 20, 1 << 22, 1 << 20, 600_000
+CHUNK, KEYS, HASHED = 8 << 20, 1 << 22, 1 << 20
 SALTS = 8
 PRIME = 0x9E3779B97F4A7C15
 LETTERS = bytearray(range(256))
@@ -213,13 +213,7 @@ def _spelling(kept) -> Callable:
     """Counts (lang, words, phrase, n) of the phrases whose slots are kept, by their texts; with no words, all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        since, held = kept.value, []
-
-        def merged() -> Iterator[pa.RecordBatch]:
-            """What some chunks have spelled, a row for each phrase."""
-            table_ = pa.Table.from_batches(held).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
-            yield from table_.rename_columns(["lang", "words", "phrase", "n"]).to_batches(max_chunksize=50_000)
-
+        since = kept.value
         for words, names in chunks(batches):
             n_words = np.bincount(words.lang, minlength=len(names))
             out = [(np.arange(len(names)), 0, pa.array([""] * len(names), pa.large_string()), n_words)]
@@ -246,12 +240,7 @@ def _spelling(kept) -> Callable:
                     out.append((words.lang[at], n + 1, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), count))
             for lang, n, phrase, count in out:
                 columns = [pa.array(np.array(names, object)[lang], pa.string()), pa.array(np.full(len(lang), n, np.int32)), phrase.cast(pa.string()), pa.array(count, pa.int64())]
-                held.append(pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"]))
-            if sum(b.num_rows for b in held) >= SPELLED:
-                yield from merged()
-                held.clear()
-        if held:
-            yield from merged()
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
 
     return run
 
