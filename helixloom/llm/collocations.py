@@ -219,6 +219,8 @@ def _spelling(kept) -> Callable:
             out = [(np.arange(len(names)), 0, pa.array([""] * len(names), pa.large_string()), n_words)]
             masks = [since[_slot(h, len(since))] > 0 for h in words.hash]
             masks = [m & words.whole(n) for n, m in enumerate(masks)]
+            for n in range(1, len(masks)):  # what has reached the threshold has parts that have
+                masks[n] &= masks[n - 1][:-1] & masks[n - 1][1:]
             used = np.zeros(len(words.begins), bool)
             for n, mask in enumerate(masks):
                 for k in range(n + 1):
