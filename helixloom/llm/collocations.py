@@ -5,9 +5,10 @@ phrase becomes active as soon as both phrases that it has without its last and w
 threshold, at whichever step that is, and is counted until it has completed one full cycle from there. So long phrases
 start while short ones are still being counted, and no length waits for the end of a pass.
 
-During the scans a phrase is a 64-bit hash, counts are narrow rows that are summed in each chunk before a shuffle, and
-the state is a table in the shared folder: the phrases whose cycle runs and that are below the threshold. What has
-reached it goes into an array of bytes by hash, which says from which step on a phrase can extend others; tasks get it
+During the scans a phrase is a 64-bit hash. Counts are summed in each chunk and shuffled as blocks: a row holds the
+hashes of one range and their counts as arrays, ranges being narrow enough for a task to add up a few at a time (about
+BLOCK_BYTES of text a range). The state is a table of blocks in the shared folder: the phrases whose cycle runs and that
+are below the threshold. What has reached it goes into an array of bytes by hash, which says from which step on a phrase can extend others; tasks get it
 by broadcast. It has at most MAX_SLOTS bytes (64 MiB), whatever the corpus. Two phrases in one slot make more phrases
 active, never fewer: a phrase is active from the step that its slots say, always the same, for one full cycle. When no
 cycle runs any more, a last scan spells out the phrases that reached the threshold and counts their texts, so that a
@@ -38,6 +39,8 @@ SHARDS, LONGEST = 4, 4
 LEAST, TOP, ABSORBED = 30, 2000, 80
 MIN_SLOTS, MAX_SLOTS, BYTES_PER_SLOT = 1 << 16, 1 << 26, 48
 CHUNK, KEYS, HASHED = 8 << 20, 1 << 22, 1 << 20
+RANGES, BLOCK_BYTES, MERGED = 1 << 13, 4 << 20, 1 << 21
+BLOCK = "bucket int, seen int, done boolean, keys binary, n binary"
 SALTS = 8
 PRIME = 0x9E3779B97F4A7C15
 LETTERS = bytearray(range(256))
@@ -80,9 +83,8 @@ class Words:
         edge[edges] = True
         self.begins = np.flatnonzero(~gap & (np.append(True, gap[:-1]) | edge[:-1]))
         self.ends = np.flatnonzero(~gap & (np.append(gap[1:], True) | edge[1:])) + 1
-        doc = np.searchsorted(edges, self.begins, "right") - 1
-        self.piece = np.searchsorted(np.flatnonzero(self.data == 10), self.begins) + doc
-        self.lang = langs[doc]
+        self.piece = np.cumsum((self.data == 10) | edge[:-1], dtype=np.int32)[self.begins]
+        self.lang = np.repeat(langs, np.diff(np.searchsorted(self.begins, edges)))
         first = _mix(_hashes(self.data, self.begins, self.ends) + seeds[self.lang])
         self.hash = [first & ~TAG]
         for n in range(1, LONGEST):
@@ -145,15 +147,79 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes >> np.uint64(2)) & np.uint64(slots - 1)
 
 
-def _counting(since, step: int, shards: int) -> Callable:
-    """Counts (h, n) of the phrases that are active at a step; ``since`` has the step from which a slot extends others."""
+def _blocks(keys: np.ndarray, n: np.ndarray, seen: int, done: bool, ranges: int) -> pa.RecordBatch:
+    """Sorted hashes and their counts as blocks, one for each range of hashes that has some."""
+    bucket = (keys >> np.uint64(65 - ranges.bit_length())).astype(np.int32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]])
+    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+    shared = lambda x, kind: pa.array(np.full(len(cuts) - 1, x), kind)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), shared(seen, pa.int32()), shared(done, pa.bool_()), packed(keys), packed(n.astype(np.uint32))], names=["bucket", "seen", "done", "keys", "n"])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the blocks of a column, one after the other, and how many each block has."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _merging(least: int, ranges: int) -> Callable:
+    """Blocks that come by range, added up: the hashes below the threshold by the step at which they were first seen, and those that reach it."""
+
+    def merged(keys: np.ndarray, n: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, n, seen = keys[starts], np.minimum(np.add.reduceat(n[order], starts, dtype=np.int64), least), np.minimum.reduceat(seen[order], starts)
+        done = n >= least
+        for step in np.unique(seen):
+            for kind in (False, True):
+                of = (seen == step) & (done == kind)
+                if of.any():
+                    yield _blocks(keys[of], n[of], int(step), kind, ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, sizes = _unpacked(batch.column(3), np.uint64)
+            held.append((keys, _unpacked(batch.column(4), np.uint32)[0], np.repeat(batch.column(1).to_numpy().astype(np.int16), sizes)))
+            size += len(keys)
+            if size >= MERGED:  # all but the last range, of which more may come
+                keys, n, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+                last = keys >= np.uint64(batch.column(0)[-1].as_py() << (65 - ranges.bit_length()))
+                if not last.all():
+                    yield from merged(keys[~last], n[~last], seen[~last])
+                held, size = [(keys[last], n[last], seen[last])], int(last.sum())
+        if size:
+            yield from merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _extending(slots: int) -> Callable:
+    """The slots of the hashes in blocks; the longest phrases have slots of their own, past the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _unpacked(batch.column(0), np.uint64)[0]
+                longest = (keys & TAG) == np.uint64(LONGEST - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(keys, slots).astype(np.int64) + longest * slots))], names=["slot"])
+
+    return run
+
+
+def _counting(since, step: int, shards: int, least: int, ranges: int) -> Callable:
+    """Blocks of counts of the phrases that are active at a step; ``since`` has the step from which a slot extends others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from_step, held, size = since.value, [], 0
 
         def counts() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
+            return _blocks(keys, np.minimum(n, least), step, False, ranges)
 
         for words, _ in chunks(batches):
             if step < shards:
@@ -182,25 +248,24 @@ def _places(rows: list) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def frequent_slots(spark: SparkSession, path: str, slots: int, least: int, shards: int) -> np.ndarray:
+def frequent_slots(spark: SparkSession, path: str, slots: int, least: int, shards: int, ranges: int = RANGES) -> np.ndarray:
     """The dynamic count over the shards at ``path``: for each slot the step from which its phrases extend others, 0 for none."""
     since = np.zeros(slots, np.uint8)
     state, before, step, last, dealt = None, None, 0, -1, spark.read.parquet(path)
     while step - last <= shards:  # a phrase that the last new one makes active has its cycle from step last + 1 on
         shared = spark.sparkContext.broadcast(since)
         shard = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-        counted = shard.mapInArrow(_counting(shared, step, shards), "h long, n long").withColumn("seen", F.lit(step))
-        running = counted if state is None else counted.unionByName(state.where((F.col("n") < least) & (F.col("seen") + shards > step)))
+        running = shard.mapInArrow(_counting(shared, step, shards, least, ranges), BLOCK)
+        if state is not None:
+            running = running.unionByName(state.where(~F.col("done") & (F.col("seen") + shards > step)))
         now = fresh_path(spark, f"phrases-{step}")
-        running.groupBy("h").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).write.option("compression", "zstd").parquet(now)
+        running.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merging(least, ranges), BLOCK).write.option("compression", "zstd").parquet(now)
         shared.destroy()
-        state = spark.read.schema("h long, n long, seen int").parquet(now)
+        state = spark.read.schema(BLOCK).parquet(now)
         if before:
             delete(spark, before)
         before = now
-        extends = F.when(F.col("h").bitwiseAND(3) < LONGEST - 1, 1).otherwise(0)  # the longest phrases in slots of their own, past the others
-        slot = F.shiftrightunsigned("h", 2).bitwiseAND(slots - 1) + (1 - extends) * slots
-        places = _places(bitmaps(state.where(F.col("n") >= least).select(slot.alias("slot"))).collect())  # at most slots / 4 bytes
+        places = _places(bitmaps(state.where("done").select("keys").mapInArrow(_extending(slots), "slot long")).collect())  # at most slots / 4 bytes
         new = places[since[places % slots] == 0]
         since[new % slots] = step + 1
         last = step if np.any(new < slots) else last
@@ -259,7 +324,8 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     slots = min(max_slots, max(MIN_SLOTS, 1 << wanted.bit_length()))
     if not seen.get.get("bytes"):
         return spark.createDataFrame([], "lang string, words int, phrase string, n long")
-    kept = spark.sparkContext.broadcast(frequent_slots(spark, path, slots, least, shards))
+    ranges = max(RANGES, 1 << min(30, (seen.get["bytes"] // BLOCK_BYTES).bit_length()))
+    kept = spark.sparkContext.broadcast(frequent_slots(spark, path, slots, least, shards, ranges))
     spelled = spark.read.parquet(path).select("lang", "text").mapInArrow(_spelling(kept), "lang string, words int, phrase string, n long")
     return materialize(spelled.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least)), "counts")
 
