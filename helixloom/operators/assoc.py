@@ -25,8 +25,8 @@ def one_row_a_sample(traits: DataFrame) -> DataFrame:
 
 
 def _with_traits(presence: DataFrame, traits: DataFrame) -> DataFrame:
-    """Samples without a case label count as controls; each sample counts once."""
-    return presence.join(one_row_a_sample(traits).withColumn("is_case", F.coalesce("is_case", F.lit(False))), "sample")
+    """Samples without a case label count as controls; each sample counts once. No side is ever broadcast."""
+    return presence.join(one_row_a_sample(traits).withColumn("is_case", F.coalesce("is_case", F.lit(False))).hint("merge"), "sample")
 
 
 def contingency(presence: DataFrame, traits: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def binary_scan(presence: DataFrame, traits: DataFrame, with_strata: bool = True
 
 def continuous_scan(presence: DataFrame, traits: DataFrame) -> DataFrame:
     """One row a gene: Welch's test of the trait between carriers and others, with corrections."""
-    joined = presence.join(one_row_a_sample(traits).where(F.col("value").isNotNull()), "sample")
+    joined = presence.join(one_row_a_sample(traits).where(F.col("value").isNotNull()).hint("merge"), "sample")
     group = lambda here: [f(F.when(F.col("present") == here, F.col("value"))) for f in (F.count, F.avg, F.var_samp)]
     names = ["n1", "m1", "v1", "n2", "m2", "v2"]
     by = joined.groupBy("gene").agg(*[c.alias(n) for c, n in zip(group(True) + group(False), names, strict=True)])
@@ -68,7 +68,7 @@ def match_samples(matrix: DataFrame, meta: DataFrame) -> DataFrame:
     """sample, in_matrix, in_meta over both sides."""
     left = matrix.select("sample").distinct().withColumn("in_matrix", F.lit(True))
     right = meta.select("sample").distinct().withColumn("in_meta", F.lit(True))
-    return left.join(right, "sample", "full").select("sample", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_matrix", "in_meta")])
+    return left.join(right.hint("merge"), "sample", "full").select("sample", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_matrix", "in_meta")])
 
 
 def column_kinds(table: DataFrame, columns: list[str]) -> DataFrame:

@@ -55,14 +55,17 @@ FEATURES = """v_features AS (
 
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene, sample, present over the full grid: brand bought in quantity by customer."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gene"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample"))
+    """gene, sample, present over the full grid: brand bought in quantity by customer.
+
+    Parts, orders and purchases grow with the data, so their joins are by merging: no estimate makes the driver hold one.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gene")).hint("merge")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample")).hint("merge")
     lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_partkey")
     bought = lines.join(part, lines.l_partkey == part.p_partkey).join(orders, lines.l_orderkey == orders.o_orderkey).select("gene", "sample").distinct().withColumn("present", F.lit(True))
     genes = part.select("gene").distinct()
     grid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample")).crossJoin(F.broadcast(genes))
-    return grid.join(bought, ["gene", "sample"], "left").select("gene", "sample", F.coalesce("present", F.lit(False)).alias("present"))
+    return grid.join(bought.hint("merge"), ["gene", "sample"], "left").select("gene", "sample", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 PRESENCE = """v_pa AS (
