@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from helixloom.session import materialize
+
 Z95 = 1.959963984540054
 LOG_SLACK = 1e-9
 
@@ -124,7 +126,10 @@ def benjamini_hochberg(rows: DataFrame, p: str, tie: str, out: str = "q") -> Dat
 
     The adjusted value is a running minimum over the ranks. Ranks come from counted distinct
     p, so the one ordered window holds distinct values, not rows; ``tie`` orders equal p.
+    The rows are written first: both sides of the join on p must see one and the same p, and
+    sums that are computed twice can differ in their last bit.
     """
+    rows = materialize(rows, "tests")
     finite = F.col(p).isNotNull() & ~F.isnan(p)
     counted = rows.where(finite).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
