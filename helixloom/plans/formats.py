@@ -76,7 +76,7 @@ def _genbank(spark, sf_dir):
     path = fresh_path(spark, "genbank")
     contigs = _reads(spark, sf_dir).select(F.col("read_idx").alias("contig"), "seq")
     genes = features(spark, sf_dir).select("contig", "start", "end", "strand", F.col("tag").alias("locus_tag"), "product", F.lit("MKV").alias("protein"))
-    writers.genbank(contigs, genes).select("value").write.text(path)
+    writers.genbank_lines(contigs, genes).write.text(path)
     return chunks.genbank(spark, path, SIZE, SPLIT)
 
 

@@ -37,7 +37,9 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").cast("long").alias("length")).where("length > 0")
     starts = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("first"))
     cut = starts.select("file", "first", F.least("length", F.col("first") + size).alias("last"))
-    return cut.repartition(max(1, min(cut.count(), 10_000)), "file", "first")
+    many, weight = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0))).first()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, weight // RANGE)  # small ranges share tasks, which take one after the other
+    return cut.repartition(max(1, min(many, tasks, 10_000)), "file", "first")
 
 
 SPACE = b" \t\x0b\x0c\r\n"
@@ -219,7 +221,7 @@ def _genbank(size: int):
 
                 origin, ended = False, False
                 for line in _records(file, first, last):
-                    if re.match(r"LOCUS\s", line):
+                    if line.startswith("LOCUS") and re.match(r"LOCUS\s", line):
                         close()
                         block, letters, total, started, origin, ended = [line], [], 0, 0, False, False
                     elif not block or ended:
@@ -255,7 +257,7 @@ def _records(file: str, first: int, last: int) -> Iterator[str]:
         source.seek(at)
         inside = False
         for line in source:
-            begins = re.match(rb"LOCUS\s", line)
+            begins = line.startswith(b"LOCUS") and re.match(rb"LOCUS\s", line)
             if at >= last and (begins or not inside):
                 return
             inside = inside or bool(begins)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOOL = "helixloom"
@@ -132,12 +132,44 @@ def genbank(contigs: DataFrame, genes: DataFrame, date: str = "01-JAN-2026") ->
             low = seq.lower()
             out += [f"{k + 1:>9} " + " ".join(low[s : s + 10] for s in range(k, min(k + 60, len(low)), 10)) for k in range(0, len(low), 60)]
             out.append("//")
-        return pd.DataFrame({"contig": [key[0]] if out else [], "value": ["\n".join(out)] if out else []})
+        return pd.DataFrame({"contig": [key[0]] if out else [], "value": ["\n".join(out)] if out else []}, dtype=object)  # no contig: an empty frame would be of floats, which Arrow makes no text of
 
     wanted = genes.select("contig", "start", "end", "strand", "locus_tag", "product", "protein")
     return contigs.select("contig", "seq").groupBy("contig").cogroup(wanted.groupBy("contig")).applyInPandas(one, f"contig {dict(contigs.dtypes)['contig']}, value string")
 
 
+def genbank_lines(contigs: DataFrame, genes: DataFrame, date: str = "01-JAN-2026") -> DataFrame:
+    """value: the flat files of ``genbank`` as rows in their order, for ``write.text``; no row or task holds the genes of a contig.
+
+    A contig's rows are one run of one partition, sorted as head, genes, sequence. Genes without a contig go; of contigs that
+    repeat a key the first carries the genes.
+    """
+    pad = " " * 21
+    numbered = contigs.select("contig", "seq", F.row_number().over(Window.partitionBy("contig").orderBy("seq")).alias("copy"))
+    empty = {"start": "long", "end": "long", "strand": "string", "locus_tag": "string", "product": "string", "protein": "string"}
+    heads = numbered.select("contig", "copy", F.lit(0).alias("part"), "seq", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+    bodies = genes.select("contig", F.lit(1).alias("copy"), F.lit(1).alias("part"), F.lit(None).cast("string").alias("seq"), *[F.col(c).cast(t).alias(c) for c, t in empty.items()])
+    tails = heads.withColumn("part", F.lit(2))
+    order = Window.partitionBy("contig").orderBy("copy", "part", "start", "end", "locus_tag").rowsBetween(Window.unboundedPreceding, 0)
+    rows = heads.unionByName(bodies).unionByName(tails).withColumn("known", F.max(F.col("part") == 0).over(order)).where("known")
+    name, size = F.col("contig").cast("string"), F.length("seq").cast("string")
+    head = F.concat(
+        F.lit("LOCUS       "), F.rpad(F.substring(name, 1, 16), 16, " "), F.lpad(size, 11, " "), F.lit(f" bp    DNA     linear BCT {date}\nDEFINITION  "), name, F.lit("\nACCESSION   "), name, F.lit("\nVERSION     "), name,
+        F.lit("\nFEATURES             Location/Qualifiers\n     source          1.."), size, F.lit(f'\n{pad}/mol_type="genomic DNA"'),
+    )
+    span = F.concat((F.col("start") + 1).cast("string"), F.lit(".."), F.col("end").cast("string"))
+    place = F.when(F.col("strand") == "-", F.concat(F.lit("complement("), span, F.lit(")"))).otherwise(span)
+    protein = F.regexp_replace(F.concat(F.lit('/translation="'), "protein", F.lit('"')), "(.{58})(?=.)", f"$1\n{pad}")
+    gene = F.concat(
+        F.lit("     CDS             "), place, F.lit(f'\n{pad}/locus_tag="'), "locus_tag", F.lit(f'"\n{pad}/product="'), "product",
+        F.lit(f'"\n{pad}/codon_start=1\n{pad}/transl_table=11\n{pad}'), protein,
+    )
+    line = lambda x, k: F.concat(F.lpad((k * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.regexp_replace(x, "(.{10})(?=.)", "$1 "))
+    letters = F.array_join(F.transform(F.regexp_extract_all(F.lower("seq"), F.lit("(.{1,60})"), F.lit(1)), line), "\n")
+    tail = F.concat_ws("\n", F.lit("ORIGIN"), F.nullif(letters, F.lit("")), F.lit("//"))
+    return rows.select(F.when(F.col("part") == 0, head).when(F.col("part") == 1, gene).otherwise(tail).alias("value"))
+
+
 def clustal(ids: list[str], rows: list[str], block: int = 60) -> str:
     """Blocks of 60 columns; '*' under a column of one base, ':' under a transition pair."""
     width = max(min(len(x), 24) for x in ids) + 4
