@@ -21,6 +21,7 @@ from helixloom.session import materialize, spread
 MIN_GENE, SPARE = 90, 60
 TRAINING_LENGTHS, TRAINING_GENES = (300, 180, 120), 600
 SHORT, SITE, CODING = 240, 0.45, 0.78
+BASES = 1 << 20
 SAME_STRAND, OPPOSITE_STRAND = 60, 25
 
 
@@ -46,8 +47,24 @@ def orf_scan(contigs: DataFrame, least: int = MIN_GENE) -> DataFrame:
 
 
 def hexamers(contigs: DataFrame) -> DataFrame:
-    """hexamer, n over all places of the forward strand."""
-    return contigs.select(F.explode(F.regexp_extract_all("seq", F.lit("(?=([ACGT]{6}))"), F.lit(1))).alias("hexamer")).groupBy("hexamer").agg(F.count(F.lit(1)).alias("n"))
+    """hexamer, n over all places of the forward strand; a task counts its contigs, up to BASES bases at a time."""
+
+    def run(batches):
+        found = np.zeros(4096, np.int64)
+        for rows in batches:
+            held, weight = [], 0
+            for seq in rows["seq"]:
+                for k in range(0, len(seq or ""), BASES):
+                    held.append(seq[k : k + BASES + 5])
+                    weight += len(held[-1])
+                    if weight >= BASES:
+                        found += G.hexamer_counts("N".join(held))
+                        held, weight = [], 0
+            found += G.hexamer_counts("N".join(held))
+        seen = np.flatnonzero(found)
+        yield pd.DataFrame({"hexamer": ["".join("ACGT"[k >> s & 3] for s in (10, 8, 6, 4, 2, 0)) for k in seen.tolist()], "n": found[seen]}).astype({"hexamer": object})
+
+    return contigs.select("seq").mapInPandas(run, "hexamer string, n long").groupBy("hexamer").agg(F.sum("n").alias("n"))
 
 
 def training_orfs(contigs: DataFrame, most: int = TRAINING_GENES) -> DataFrame:
@@ -79,24 +96,32 @@ def call_genes(contigs: DataFrame, model: G.CodingModel, min_gene: int = MIN_GEN
     """A candidate gene for each frame with a usable start; short ones need a ribosome site or a strong ATG."""
     shared = contigs.sparkSession.sparkContext.broadcast(model)
 
-    def gene(contig, length, strand, start, end, open_end, orf):
-        best = G.choose_start(orf, shared.value, use_rbs, allowed)
-        if best is None or best.rel < 3 or len(orf) - best.rel < min_gene:
-            return None
-        backed = best.rbs_score >= SITE or (best.codon == "ATG" and best.coding >= CODING)
-        if len(orf) - best.rel < SHORT and use_rbs and not open_end and not backed:
-            return None
+    def called(rows: pd.DataFrame) -> pd.DataFrame:
+        best = G.choose_starts(rows["orf"].tolist(), shared.value, use_rbs, allowed)
+        rows = rows.iloc[best.frame]
+        length, start, end = (rows[c].to_numpy(np.int64) for c in ("len", "start", "end"))
+        size = rows["orf"].str.len().to_numpy(np.int64) - best.rel
+        open_end, forward = rows["partial3"].to_numpy(bool), (rows["strand"] == "+").to_numpy(bool)
+        backed = (best.rbs_score >= SITE) | ((best.codon == "ATG") & (best.coding >= CODING))
+        kept = (best.rel >= 3) & (size >= min_gene)
+        if use_rbs:
+            kept &= (size >= SHORT) | open_end | backed
         first = start + best.rel
-        low, high = (first, end) if strand == "+" else (length - end, length - first)
-        return (
-            contig, strand, low, high, P.rounded(best.total, 3), P.rounded(best.coding, 3), P.rounded(best.mean_lr, 3), best.rbs_score, best.rbs_matches, best.rbs_spacer,
-            best.codon, "3'" if open_end else None, orf[best.rel :],
-        )
+        thousandth = lambda x: np.floor(x * 10**3 + 0.5) / 10**3
+        out = pd.DataFrame({
+            "contig": rows["contig"].to_numpy(), "strand": rows["strand"].to_numpy(), "start": np.where(forward, first, length - end), "end": np.where(forward, end, length - first),
+            "score": thousandth(best.total), "coding": thousandth(best.coding), "mean_hex_lr": thousandth(best.mean_lr), "rbs_score": best.rbs_score, "rbs_matches": best.rbs_matches,
+            "rbs_spacer": pd.array(np.where(best.rbs_spacer < 0, 0, best.rbs_spacer), "Int32"), "start_codon": best.codon, "partial": np.where(open_end, "3'", None),
+        })
+        out.loc[best.rbs_spacer < 0, "rbs_spacer"] = pd.NA
+        out = out[kept]
+        return out.assign(dna=pd.Series([x[r:] for x, r in zip(rows["orf"].to_numpy()[kept], best.rel[kept].tolist(), strict=True)], out.index, object))
 
     def run(batches):
         for rows in batches:
-            out = [g for g in (gene(*r) for r in rows.itertuples(index=False)) if g]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in CALL.split(", ")]).astype({"rbs_spacer": "Int32"})
+            upto = rows["orf"].str.len().to_numpy(np.int64).cumsum() // BASES  # so many bases go through numpy together
+            for _, some in rows.groupby(upto):
+                yield called(some)
 
     return orf_scan(contigs, min_gene).mapInPandas(run, CALL)
 
@@ -112,8 +137,8 @@ PROTEIN = "length_aa int, mw double, pi double, gravy double, aromaticity double
 def protein_properties(proteins: DataFrame, key: str) -> DataFrame:
     """key and the properties of rows (key, protein)."""
 
-    def one(protein: str) -> tuple:
-        segments, signal, pi = P.membrane_segments(protein), P.signal_peptide(protein), P.isoelectric_point(protein)
+    def one(protein: str, pi: float | None) -> tuple:
+        segments, signal = P.membrane_segments(protein), P.signal_peptide(protein)
         named = {"score": signal[0], "cleavage_after": signal[1], "note": signal[2]} if signal else None
         return (
             len(protein), P.rounded(P.molecular_weight(protein), 1), None if pi is None else P.rounded(pi, 2), P.rounded(P.gravy(protein), 3), P.rounded(P.aromaticity(protein), 3),
@@ -124,7 +149,8 @@ def protein_properties(proteins: DataFrame, key: str) -> DataFrame:
 
     def run(batches):
         for rows in batches:
-            yield pd.DataFrame([(k, *one(p)) for k, p in rows.itertuples(index=False)], columns=[key, *names])
+            points = P.isoelectric_points(rows["protein"].tolist())
+            yield pd.DataFrame([(k, *one(p, pi)) for (k, p), pi in zip(rows.itertuples(index=False), points, strict=True)], columns=[key, *names])
 
     return proteins.select(key, "protein").mapInPandas(run, f"{key} {dict(proteins.dtypes)[key]}, {PROTEIN}")
 
