@@ -19,6 +19,7 @@ from helixloom.operators import layout
 from helixloom.session import materialize
 
 EXPANDED = 1 << 21
+SKETCHED = 1 << 19
 K, W, MAX_READS = 10, 5, 40
 DRIFT, MIN_MATCHES, MIN_OVERLAP = 60, 4, 200
 UNKNOWN = np.int64(1) << 40
@@ -49,14 +50,26 @@ def sketch(seq: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray, np
 
 
 def minimizers(reads: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """One Arrow pass, each read by itself: nothing is shuffled."""
+    """One Arrow pass, each read by itself: nothing is shuffled, and a task holds the minimizers of a read or of SKETCHED bases."""
+
+    def rows(ids: list[int], found: list[tuple]) -> pa.RecordBatch:
+        of = np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found])
+        h, p, s = (np.concatenate([np.zeros(0, np.int64), *(f[x] for f in found)]) for x in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(h), pa.array(p.astype(np.int32)), pa.array(s.astype(np.int32))], names=["read_idx", "hash", "pos", "strand"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(s or "", k, w) for s in batch.column(1).to_pylist()]
-            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(f[0]) for f in found])
-            h, p, s = (np.concatenate([np.zeros(0, np.int64), *(f[x] for f in found)]) for x in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(p.astype(np.int32)), pa.array(s.astype(np.int32))], names=["read_idx", "hash", "pos", "strand"])
+            ids, found, weight = [], [], 0
+            for key, seq in zip(batch.column(0), batch.column(1), strict=True):
+                seq = seq.as_py() or ""
+                ids.append(key.as_py())
+                found.append(sketch(seq, k, w))
+                weight += len(seq)
+                if weight >= SKETCHED:
+                    yield rows(ids, found)
+                    ids, found, weight = [], [], 0
+            if ids:
+                yield rows(ids, found)
 
     return reads.select("read_idx", "seq").mapInArrow(run, "read_idx long, hash long, pos int, strand int")
 
