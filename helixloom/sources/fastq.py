@@ -41,6 +41,7 @@ from helixloom.session import shared_dir
 READS = "file string, read_idx long, id string, desc string, seq string, qual string, byte_start long, byte_len long"
 FILE_BITS = 44  # read_idx: which file, then a number that is unique in it; files are at most 16 TB
 FETCHED = 64 << 20  # records in so many bytes of a file are fetched by one task
+HELD = 4 << 20  # letters of a batch of rows
 ISSUES = "file string, byte_start long, message string"
 
 
@@ -251,6 +252,34 @@ class _Reader:
         return (row for k, row in parse(partition) if k == kind)
 
 
+def batches(rows: Iterator[tuple], kinds: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about HELD letters: a task holds those of one batch, however many rows Spark would take together."""
+    held, weight = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+    for row in rows:
+        held.append(row)
+        weight += 64 + sum(len(x) for x in row if isinstance(x, str))
+        if weight >= HELD:
+            yield batch()
+            held, weight = [], 0
+    if held:
+        yield batch()
+
+
+def _kinds(schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(name, {"string": pa.string(), "long": pa.int64()}[kind]) for name, kind in (c.split() for c in schema.split(", "))]
+
+
+class _InBatches(_Reader):
+    """A reader as Spark runs it."""
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
+        return batches(super().read(partition), _kinds(ISSUES if self.issues else READS))
+
+
 class FastqReader(_Reader, DataSourceReader):
     def partitions(self) -> list[Part]:
         return self.parts([(name, _stat(name)[0]) for name in files(self.options["path"])])
@@ -279,6 +308,14 @@ class FastqStreamReader(_Reader, DataSourceStreamReader):
         pass
 
 
+class _BatchReader(_InBatches, FastqReader):
+    pass
+
+
+class _StreamBatchReader(_InBatches, FastqStreamReader):
+    pass
+
+
 class FastqSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -288,16 +325,18 @@ class FastqSource(DataSource):
         return ISSUES if self.options.get("issues", "false").lower() == "true" else READS
 
     def reader(self, schema) -> DataSourceReader:
-        return FastqReader(dict(self.options))
+        return _BatchReader(dict(self.options))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return FastqStreamReader(dict(self.options))
+        return _StreamBatchReader(dict(self.options))
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FETCHED_ROWS = "file string, byte_start long, id string, desc string, seq string, qual string"
+
+
+def _records(places: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     name, source = None, None
-    for batch in batches:
-        rows = []
+    for batch in places:
         for file, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if file != name:
                 if source is not None:
@@ -306,15 +345,17 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             source.seek(start)
             head, seq, _, qual = (x.rstrip("\r") for x in source.read(length).decode("latin-1").split("\n")[:4])
             title, _, desc = head[1:].partition(" ")
-            rows.append((file, start, title, desc, seq, qual))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "byte_start", "id", "desc", "seq", "qual"])
+            yield file, start, title, desc, seq, qual
+
+
+def _ranges(places: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return batches(_records(places), _kinds(FETCHED_ROWS))
 
 
 def fetch(places: DataFrame) -> DataFrame:
     """file, byte_start, id, desc, seq and qual of the records at rows (file, byte_start, byte_len), each read by its range."""
     ordered = places.select("file", F.col("byte_start").cast("long"), F.col("byte_len").cast("long")).repartition("file", F.floor(F.col("byte_start") / FETCHED)).sortWithinPartitions("file", "byte_start")
-    return ordered.mapInArrow(_ranges, "file string, byte_start long, id string, desc string, seq string, qual string")
+    return ordered.mapInArrow(_ranges, FETCHED_ROWS)
 
 
 def stream(spark: SparkSession, path: str, **options) -> DataFrame:
