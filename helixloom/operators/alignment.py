@@ -5,14 +5,22 @@ Table: alignment (seq_idx, col, base); any base other than A, C, G and T is a ga
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions.sequence import mulberry32, quantized
+from helixloom.operators.tables import repeated
 
 SATURATED = 1.5
 COLUMNS = 1 << 14  # values of a range in which columns are numbered
 MIN_VALUE = 5e-324
+ADDED, WRITTEN = 1 << 20, 1 << 16  # k-mers that a task adds up before it writes, and those of a batch that it writes
+LETTER = np.full(256, 4, np.uint8)
+LETTER[[ord(c) for c in "ACGT"]] = range(4)
 
 
 def column_stats(alignment: DataFrame) -> DataFrame:
@@ -115,10 +123,71 @@ def distance_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def _kmer_codes(seq: str | None, k: int) -> np.ndarray:
+    """The k-mers of A, C, G and T alone as numbers, in order."""
+    base = LETTER[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
+    n = len(base) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    code = np.zeros(n, np.int64)
+    for j in range(k):
+        code = code * 4 + base[j : j + n]
+    bad = np.concatenate([[0], np.cumsum(base > 3)])
+    return code[bad[k:] == bad[:-k]]
+
+
+def _spelled(codes: np.ndarray, k: int) -> pa.Array:
+    letters = np.frombuffer(b"ACGT", np.uint8)[codes[:, None] >> np.arange(2 * k - 2, -1, -2) & 3]
+    return pa.array(np.ascontiguousarray(letters).view(f"S{k}").ravel()).cast(pa.string())
+
+
 def kmers(seqs: DataFrame, k: int, key: str = "seq_idx") -> DataFrame:
-    """key, kmer, n: the k-mers of A, C, G and T alone, each counted where it starts."""
-    every = seqs.select(key, F.explode(F.regexp_extract_all("seq", F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))).alias("kmer"))
-    return every.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """key, kmer, n: the k-mers of A, C, G and T alone, each counted where it starts. A sequence's are counted within its row; ``k`` is 31 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, seq in enumerate(batch.column(1)):
+                codes, n = np.unique(_kmer_codes(seq.as_py(), k), return_counts=True)
+                for low in range(0, len(codes), WRITTEN):
+                    some = codes[low : low + WRITTEN]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(some), row))), _spelled(some, k), pa.array(n[low : low + WRITTEN])], names=[key, "kmer", "n"])
+
+    each = seqs.select(key, "seq").mapInArrow(run, f"{key} {dict(seqs.dtypes)[key]}, kmer string, n long")
+    return each.groupBy(key, "kmer").agg(F.sum("n").alias("n"))  # sequences that share a key are one
+
+
+def kmer_totals(seqs: DataFrame, k: int, key: str = "seq_idx") -> DataFrame:
+    """kmer, n, reads: occurrences, and how many keys have the k-mer. Where each key has one row, tasks add up their sequences, so no row a sequence and k-mer is shuffled."""
+    if repeated(seqs, key):
+        return kmers(seqs, k, key).groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("reads"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def added() -> None:
+            codes, n, reads = (np.concatenate([h[x] for h in held]) for x in range(3))
+            found, at = np.unique(codes, return_inverse=True)
+            held[:] = [(found, *(np.bincount(at, x, len(found)).astype(np.int64) for x in (n, reads)))]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            codes, n, reads = held.pop()
+            for low in range(0, len(codes), WRITTEN):
+                part = slice(low, low + WRITTEN)
+                yield pa.RecordBatch.from_arrays([_spelled(codes[part], k), pa.array(n[part]), pa.array(reads[part])], names=["kmer", "n", "reads"])
+
+        for batch in batches:
+            for seq in batch.column(0):
+                codes, n = np.unique(_kmer_codes(seq.as_py(), k), return_counts=True)
+                held.append((codes, n, np.ones(len(codes), np.int64)))
+                if len(held) >= 256 or len(codes) > ADDED:
+                    added()
+                    if len(held[0][0]) > ADDED:
+                        yield from out()
+        if held:
+            added()
+            yield from out()
+
+    return seqs.select("seq").mapInArrow(run, "kmer string, n long, reads long").groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("reads").alias("reads"))
 
 
 def kmer_distances(counts: DataFrame) -> DataFrame:

@@ -98,3 +98,8 @@ def named_alike(contigs: DataFrame, features: DataFrame) -> DataFrame:
     met = features.crossJoin(F.broadcast(ours.crossJoin(theirs)))  # one row
     alike = (F.col("__n") == 1) & (F.col("__low") == F.col("__high"))
     return met.withColumn("contig", F.when(alike, F.col("__name")).otherwise(F.col("contig"))).select(*features.columns)
+
+
+def repeated(rows: DataFrame, key: str) -> bool:
+    """Whether any value of a key stands in several rows; only the key is read."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0

@@ -52,7 +52,7 @@ def distance_summary(spark, sf_dir):
 
 
 def kmer_counts(spark, sf_dir):
-    return A.kmers(reads(spark, sf_dir), 6, "read_idx").groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("reads"))
+    return A.kmer_totals(reads(spark, sf_dir), 6, "read_idx")
 
 
 def kmer_distance(spark, sf_dir):
