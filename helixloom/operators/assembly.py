@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
 from helixloom.operators import layout
+from helixloom.operators.tables import repeated
 from helixloom.session import materialize
 
 EXPANDED = 1 << 21
 SKETCHED = 1 << 19
+ADDED = 1 << 20  # rows of hashes that a task adds up, and that a broadcast has at most
 K, W, MAX_READS = 10, 5, 40
 DRIFT, MIN_MATCHES, MIN_OVERLAP = 60, 4, 200
 UNKNOWN = np.int64(1) << 40
@@ -35,20 +37,38 @@ def sketch(seq: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray, np
     n = len(c) - k + 1
     if n < w:
         return (np.zeros(0, np.int64),) * 3
-    forward, backward = (np.full(n, S.FNV_OFFSET, np.uint64) for _ in range(2))
-    turned, mask, prime = COMPLEMENT[c], np.uint64(0xFFFFFFFF), np.uint64(S.FNV_PRIME)
+    forward, backward = (np.full(n, S.FNV_OFFSET, np.uint32) for _ in range(2))
+    turned, prime = COMPLEMENT[c], np.uint32(S.FNV_PRIME)  # products wrap at 32 bits
     for t in range(k):
-        forward = (forward ^ c[t : t + n]) * prime & mask
-        backward = (backward ^ turned[k - 1 - t : k - 1 - t + n]) * prime & mask
-    known = np.convolve(~KNOWN[c], np.ones(k, np.int64), "valid") == 0
-    best = np.where(known, np.minimum(forward, backward).astype(np.int64), UNKNOWN)
-    windows = np.lib.stride_tricks.sliding_window_view(best, w)
-    at = windows.argmin(1) + np.arange(len(windows))
+        forward = (forward ^ c[t : t + n]) * prime
+        backward = (backward ^ turned[k - 1 - t : k - 1 - t + n]) * prime
+    bad = np.concatenate([[0], np.cumsum(~KNOWN[c])])
+    best = np.where(bad[k:] == bad[:-k], np.minimum(forward, backward).astype(np.int64), UNKNOWN)
+    least, at = best[: n - w + 1].copy(), np.arange(n - w + 1)
+    for t in range(1, w):  # the first of equals stays
+        lower = best[t : t + len(at)] < least
+        np.copyto(least, best[t : t + len(at)], where=lower)
+        np.copyto(at, np.arange(t, t + len(at)), where=lower)
     at = at[best[at] != UNKNOWN]
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     return best[at], at, np.where(forward[at] <= backward[at], 1, -1)
 
 
+def _sketched(batch: pa.RecordBatch, k: int, w: int) -> Iterator[tuple[list[int], list[tuple]]]:
+    """Reads of about SKETCHED bases and their sketches."""
+    ids, found, weight = [], [], 0
+    for key, seq in zip(batch.column(0), batch.column(1), strict=True):
+        seq = seq.as_py() or ""
+        ids.append(key.as_py())
+        found.append(sketch(seq, k, w))
+        weight += len(seq)
+        if weight >= SKETCHED:
+            yield ids, found
+            ids, found, weight = [], [], 0
+    if ids:
+        yield ids, found
+
+
 def minimizers(reads: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """One Arrow pass, each read by itself: nothing is shuffled, and a task holds the minimizers of a read or of SKETCHED bases."""
 
@@ -59,16 +79,7 @@ def minimizers(reads: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, weight = [], [], 0
-            for key, seq in zip(batch.column(0), batch.column(1), strict=True):
-                seq = seq.as_py() or ""
-                ids.append(key.as_py())
-                found.append(sketch(seq, k, w))
-                weight += len(seq)
-                if weight >= SKETCHED:
-                    yield rows(ids, found)
-                    ids, found, weight = [], [], 0
-            if ids:
+            for ids, found in _sketched(batch, k, w):
                 yield rows(ids, found)
 
     return reads.select("read_idx", "seq").mapInArrow(run, "read_idx long, hash long, pos int, strand int")
@@ -84,6 +95,66 @@ def index(sketches: DataFrame, most: int = MAX_READS) -> DataFrame:
     return sketches.join(kept, "hash")
 
 
+def hash_counts(reads: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """hash, reads, entries, seen: how many reads have a hash, how often they have it, and its first place.
+
+    Where each read has one row, tasks add up their reads, so what is shuffled follows the number of hashes, not of minimizers.
+    """
+    if repeated(reads, "read_idx"):
+        by_read = minimizers(reads, k, w).groupBy("hash", "read_idx").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("entries"))
+        return by_read.groupBy("hash").agg(F.count(F.lit(1)).alias("reads"), F.sum("entries").alias("entries"), F.min(F.struct("read_idx", "pos")).alias("seen"))
+
+    def summed(h: np.ndarray, n: np.ndarray, entries: np.ndarray, read: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows of one hash as one."""
+        order = np.argsort(h, kind="stable")
+        h, n, entries, read, pos = h[order], n[order], entries[order], read[order], pos[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if not len(first):
+            return h, n, entries, read, pos
+        least = np.minimum.reduceat(read, first)
+        there = np.repeat(least, np.diff(np.append(first, len(h)))) == read
+        return h[first], np.add.reduceat(n, first), np.add.reduceat(entries, first), least, np.minimum.reduceat(np.where(there, pos, np.iinfo(np.int64).max), first)
+
+    def of_reads(ids: list[int], found: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Each hash of each read is one row, at its first place there."""
+        sizes = [len(f[0]) for f in found]
+        h, pos, row = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat(np.arange(len(ids)), sizes)
+        _, first, entries = np.unique(h << np.int64(31) | row, return_index=True, return_counts=True)
+        return summed(h[first], np.ones(len(first), np.int64), entries.astype(np.int64), np.array(ids, np.int64)[row[first]], pos[first].astype(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        names = ["hash", "reads", "entries", "read_idx", "pos"]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = held.pop()
+            for low in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + (1 << 16)]) for c in columns], names=names)
+
+        def added() -> None:
+            held[:] = [summed(*(np.concatenate([h[x] for h in held]) for x in range(5)))]
+
+        for batch in batches:
+            for ids, found in _sketched(batch, k, w):
+                held.append(of_reads(ids, found))
+                if sum(len(h[0]) for h in held) > ADDED:
+                    added()
+                    if 2 * len(held[0][0]) > ADDED:
+                        yield from out()
+        if held:
+            added()
+            yield from out()
+
+    partial = reads.select("read_idx", "seq").mapInArrow(run, "hash long, reads long, entries long, read_idx long, pos long")
+    return partial.groupBy("hash").agg(F.sum("reads").alias("reads"), F.sum("entries").alias("entries"), F.min(F.struct("read_idx", F.col("pos").cast("int").alias("pos"))).alias("seen"))
+
+
+def shared(reads: DataFrame, k: int = K, w: int = W, most: int = MAX_READS) -> DataFrame:
+    """As ``index`` of the reads' minimizers: the hashes that are kept are known before any minimizer is written."""
+    kept = materialize(hash_counts(reads, k, w).where(F.col("reads").between(2, most)).select("hash", "seen"), "shared")
+    return minimizers(reads, k, w).join(F.broadcast(kept) if kept.count() <= ADDED else kept, "hash")
+
+
 def postings(indexed: DataFrame) -> DataFrame:
     """hash, read_idx, seen, places: one row for each read with a hash. A place is twice its position, plus one on the other strand."""
     place = F.col("pos") * 2 + F.when(F.col("strand") < 0, 1).otherwise(0)
@@ -265,7 +336,7 @@ def contigs(reads: DataFrame, found: DataFrame) -> DataFrame:
 
 def assemble(reads: DataFrame, k: int = K, w: int = W, most: int = MAX_READS) -> tuple[DataFrame, DataFrame]:
     """Contigs and overlaps of reads (read_idx, seq)."""
-    found = materialize(overlaps(materialize(postings(index(minimizers(reads, k, w), most)), "postings"), reads.select("read_idx", F.length("seq").alias("length")), k, w), "overlaps")
+    found = materialize(overlaps(materialize(postings(shared(reads, k, w, most)), "postings"), reads.select("read_idx", F.length("seq").alias("length")), k, w), "overlaps")
     return contigs(reads, found), found
 
 
