@@ -217,6 +217,15 @@ def draws(n: int, replicates: DataFrame, seed: int = 42) -> DataFrame:
     return each.select("rep", F.floor(mulberry32(seed, F.col("rep") * n + F.col("t")) * n).alias("k"))
 
 
+def drawn_columns(n: int, rep: int, first: int, last: int, seed: int = 42) -> np.ndarray:
+    """The draws ``first`` to ``last`` of a replicate, as ``draws`` has them; products wrap at 32 bits."""
+    draw = np.arange(rep * n + first + 1, rep * n + last + 1, dtype=np.int64).astype(np.uint32)
+    a = np.uint32(seed & 0xFFFFFFFF) + draw * np.uint32(0x6D2B79F5)
+    t = (a ^ a >> np.uint32(15)) * (a | np.uint32(1))
+    t = (t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))) ^ t
+    return np.floor((t ^ t >> np.uint32(14)) / 2.0**32 * n).astype(np.int64)
+
+
 def bootstrap_columns(columns: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """rep, col, w: how often each replicate draws each kept column."""
     placed = numbered(columns)

@@ -19,6 +19,7 @@ from helixloom.session import exists, materialize
 
 MAX_REPLICATES = 1000
 BLOCK, KEPT, BATCH = 1024, 4_000_000, 25
+DRAWS, TASKS = 1 << 20, 64  # draws of a range, and the partitions of the ranges
 METHODS: dict[str, Callable] = {"nj": trees.neighbor_joining, "upgma": trees.upgma}
 
 
@@ -59,7 +60,7 @@ def build_trees(distances: DataFrame, names: list[str], method: str = "nj", root
 
 
 def _weighted(columns: int):
-    """Of rows (block, kind, key, bases, drawn), one block after the other: sums (rep, i, j, comp, diffs, ti) of the pairs of sequences.
+    """Of rows (block, kind, key, bases, drawn, at), one block after the other: sums (rep, i, j, comp, diffs, ti) of the pairs of sequences.
 
     A block is a matrix of sequences by columns, and the replicates' draws in it a matrix of columns by replicates, so a product of
     matrices gives all replicates of a sequence against all others at once. Sums are kept over blocks while they are few.
@@ -78,9 +79,15 @@ def _weighted(columns: int):
 
         def add(rows: list[tuple]) -> None:
             seqs, drawn = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
-            reps = tuple(r[2] for r in drawn)
-            weight = np.stack([np.bincount(r[4], minlength=columns) for r in drawn], 1).astype(np.float64)
-            codes = np.stack([np.frombuffer(r[3].ljust(columns, "-").encode(), np.uint8) for r in seqs])
+            reps = tuple(sorted({r[2] for r in drawn}))
+            weight = np.zeros((columns, len(reps)))
+            for r in drawn:  # a replicate has a row for each range of its draws
+                weight[:, reps.index(r[2])] += np.bincount(np.frombuffer(r[4], "<u4"), minlength=columns)
+            codes = np.full((len(seqs), columns), ord("-"), np.uint8)
+            for line, r in zip(codes, seqs, strict=True):
+                if len(set(r[5])) < len(r[5]):
+                    raise ValueError(f"sequence {r[2]} has two bases in one column")
+                line[r[5]] = np.frombuffer(r[3].encode(), np.uint8)
             base = np.full(codes.shape, -1, np.int8)
             for k, letter in enumerate(b"ACGT"):
                 base[codes == letter] = k
@@ -109,11 +116,29 @@ def _weighted(columns: int):
     return run
 
 
+def _drawn(n: int, columns: int, seed: int):
+    """Of rows (rep, first, last), ranges of a replicate's draws: rows (block, kind, key, bases, drawn, at), the places that the range draws in each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = A.drawn_columns(n, rep, first, last, seed)
+                k = k[np.argsort(k // columns, kind="stable")]
+                block, at = k // columns, (k % columns).astype("<u4")
+                begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                ends = np.append(begins[1:], len(k))
+                m = len(begins)
+                places = pa.array([at[x:y].tobytes() for x, y in zip(begins, ends, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(block[begins]), pa.array(np.ones(m, np.int32)), pa.array(np.full(m, rep)), pa.nulls(m, pa.string()), places, pa.nulls(m, pa.list_(pa.int32()))], names=["block", "kind", "key", "bases", "drawn", "at"])
+
+    return run
+
+
 def bootstrap_distances(alignment: DataFrame, replicates: int | DataFrame, model: str = "jc", seed: int = 42, complete: bool = False, columns: int = BLOCK) -> DataFrame:
     """rep, i, j, d of the replicates 0 to ``replicates``, or of those in a table (rep).
 
-    Columns are dealt in blocks. A sequence has one row in a block, its bases there, and a replicate one, the columns
-    that it draws there; there is no row for a column, pair and replicate.
+    Columns are dealt in blocks. A sequence has one row in a block, its bases there, and a replicate one for each range of its
+    draws, the columns that it draws there; there is no row for a draw, nor for a column, pair and replicate.
     """
     kept = A.complete_columns(alignment) if complete else alignment
     reps = alignment.sparkSession.range(replicates).select(F.col("id").alias("rep")) if isinstance(replicates, int) else replicates
@@ -123,10 +148,11 @@ def bootstrap_distances(alignment: DataFrame, replicates: int | DataFrame, model
         return alignment.sparkSession.createDataFrame([], "rep long, i long, j long, d double")
     block, place = F.floor(F.col("k") / columns).alias("block"), (F.col("k") % columns).cast("int")
     cells = kept.join(placed, "col").select("seq_idx", block, place.alias("at"), F.when(F.col("base").isin(*"ACGT"), F.col("base")).otherwise("-").alias("base"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.coalesce(F.col("found")[c], F.lit("-")))
-    found = F.map_from_entries(F.collect_list(F.struct("at", "base"))).alias("found")
-    sequences = cells.groupBy("block", "seq_idx").agg(found).select("block", F.lit(0).alias("kind"), F.col("seq_idx").cast("long").alias("key"), F.array_join(dense, "").alias("bases"), F.lit(None).cast("array<int>").alias("drawn"))
-    drawn = A.draws(n, reps, seed).groupBy(block, "rep").agg(F.collect_list(place).alias("drawn")).select("block", F.lit(1).alias("kind"), F.col("rep").alias("key"), F.lit(None).cast("string").alias("bases"), "drawn")
+    found = F.collect_list(F.struct("at", "base")).alias("found")
+    sequences = cells.groupBy("block", "seq_idx").agg(found).select("block", F.lit(0).alias("kind"), F.col("seq_idx").cast("long").alias("key"), F.array_join("found.base", "").alias("bases"), F.lit(None).cast("binary").alias("drawn"), F.col("found.at").alias("at"))
+    ranges = reps.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(DRAWS).cast("long"))).alias("first"))
+    ranges = ranges.select("rep", "first", F.least(F.col("first") + DRAWS, F.lit(n)).alias("last")).repartition(TASKS, "rep", "first")
+    drawn = ranges.mapInArrow(_drawn(n, columns, seed), "block long, kind int, key long, bases string, drawn binary, at array<int>")
     rows = sequences.unionByName(drawn).repartition("block").sortWithinPartitions("block", "kind", "key")
     sums = rows.mapInArrow(_weighted(columns), "rep long, i long, j long, comp long, diffs long, ti long").groupBy("rep", "i", "j").agg(*[F.sum(c).alias(c) for c in ("comp", "diffs", "ti")])
     d, _ = A.distance(model)
