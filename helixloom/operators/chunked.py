@@ -33,6 +33,8 @@ def cell_counts(codes: np.ndarray, first: int, step: int) -> tuple[np.ndarray, l
 
 
 def _cells(least: int, parts: int):
+    """The plain form of ``cells``, against which tests hold it; for chunks that are record batches already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -49,6 +51,20 @@ def _cells(least: int, parts: int):
     return run
 
 
+def cells(chunks: DataFrame, least: int, parts: int) -> DataFrame:
+    """The rows of ``_cells`` by expressions: a chunk's letters are cut along the grid of cells, so no Python worker gets them."""
+    win = F.greatest(F.lit(least).cast("long"), F.floor(F.col("len") / parts))
+    sized = chunks.where("seq <> ''").select("contig", "len", "start", "seq", win.alias("win"), F.floor(win / 2).alias("step"), (F.col("start") % F.floor(win / 2)).alias("past"))
+    # The first piece ends where the cell in which the chunk begins does; all pieces are possessive, so a match never goes back.
+    pattern = F.concat(F.lit(r"(?s)\A.{1,"), (F.col("step") - F.col("past")).cast("string"), F.lit("}+|.{1,"), F.col("step").cast("string"), F.lit("}+"))
+    cut = sized.select("contig", "len", "win", F.floor(F.col("start") / F.col("step")).alias("first"), "past", F.posexplode(F.regexp_extract_all("seq", pattern, F.lit(0))).alias("pos", "piece"))
+    count = {x: F.length("piece") - F.length(F.replace("piece", F.lit(x), F.lit(""))) for x in "ACGT"}
+    head = F.when((F.col("pos") > 0) | (F.col("past") == 0), F.substring("piece", 1, 1)).otherwise("")
+    counts = (count["G"], count["C"], count["A"] + count["C"] + count["G"] + count["T"])
+    heads = (head == "G", head == "C", head.isin(*"ACGT"))
+    return cut.select("contig", "len", "win", (F.col("first") + F.col("pos")).alias("cell"), *[x.cast("long").alias(n) for n, x in zip(COUNTED, counts, strict=True)], *[x.cast("long").alias(f"{n}_head") for n, x in zip(COUNTED, heads, strict=True)])
+
+
 def windows(chunks: DataFrame, least: int, parts: int) -> DataFrame:
     """Rows (contig, win, start, G, C, known), as ``explorer.windows`` has them.
 
@@ -56,10 +72,8 @@ def windows(chunks: DataFrame, least: int, parts: int) -> DataFrame:
     summed over chunk edges; a contig has about 2 * ``parts`` cells at most, however long it is, so a window
     function over them is bounded.
     """
-    kind = dict(chunks.dtypes)["contig"]
     names = [*COUNTED, *(f"{c}_head" for c in COUNTED)]
-    cells = chunks.select("contig", "len", "start", "seq").mapInArrow(_cells(least, parts), f"contig {kind}, len long, win long, cell long, " + ", ".join(f"{n} long" for n in names))
-    whole = cells.groupBy("contig", "len", "win", "cell").agg(*[F.sum(n).alias(n) for n in names])
+    whole = cells(chunks, least, parts).groupBy("contig", "len", "win", "cell").agg(*[F.sum(n).alias(n) for n in names])
     order = Window.partitionBy("contig").orderBy("cell")
     half = F.floor(F.col("win") / 2)
     met = whole.select("contig", "len", "win", (F.col("cell") * half).alias("start"), *[(F.col(c) + F.coalesce(F.lead(c).over(order), F.lit(0)) + F.when(F.col("win") % 2 == 1, F.coalesce(F.lead(f"{c}_head", 2).over(order), F.lit(0))).otherwise(0)).alias(c) for c in COUNTED])

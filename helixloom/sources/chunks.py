@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -156,22 +155,14 @@ def fasta(spark: SparkSession, path: str, size: int = CHUNK, split: int = RANGE)
 
 
 def cut(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The chunks of a table of whole contigs (contig, seq); each row by itself."""
-    kind = dict(contigs.dtypes)["contig"]
+    """The chunks of a table of whole contigs (contig, seq); each row by itself. An empty contig is one empty chunk.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, value in enumerate(batch.column(1)):
-                seq = value.as_py()
-                starts = range(0, max(1, len(seq)), size)
-                for low in range(0, len(starts), 256):
-                    some = starts[low : low + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.full(len(some), k))), pa.array(np.full(len(some), len(seq), np.int64)), pa.array(some, pa.int64()), pa.array([seq[s : s + size] for s in some], pa.string())],
-                        names=["contig", "len", "start", "seq"],
-                    )
-
-    return contigs.select("contig", "seq").where("seq IS NOT NULL").mapInArrow(run, f"contig {kind}, len long, start long, seq string")
+    Letters are cut by an expression: Arrow batches count rows, not letters, so whole contigs in them have no bound.
+    """
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}+"), F.lit(0)).alias("pieces")
+    whole = contigs.where("seq IS NOT NULL").select("contig", F.length("seq").cast("long").alias("len"), pieces)
+    rows = whole.select("contig", "len", F.posexplode_outer("pieces").alias("k", "piece"))  # a contig's letters do not go along with each of its pieces
+    return rows.select("contig", "len", (F.coalesce("k", F.lit(0)).cast("long") * size).alias("start"), F.coalesce("piece", F.lit("")).alias("seq"))
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
