@@ -76,12 +76,12 @@ def _genbank(spark, sf_dir):
     path = fresh_path(spark, "genbank")
     contigs = _reads(spark, sf_dir).select(F.col("read_idx").alias("contig"), "seq")
     genes = features(spark, sf_dir).select("contig", "start", "end", "strand", F.col("tag").alias("locus_tag"), "product", F.lit("MKV").alias("protein"))
-    writers.genbank_lines(contigs, genes).write.text(path)
+    writers.genbank_lines(contigs, genes).write.text(path, compression="gzip")
     return chunks.genbank(spark, path, SIZE, SPLIT)
 
 
 def genbank_scan(spark, sf_dir):
-    """Contigs with their features written as GenBank and read again: the features."""
+    """Contigs with their features written as packed GenBank and read again: the features."""
     return _genbank(spark, sf_dir)[0].where("kind = 'feature'").select("contig", "start", "end", "strand", "tag", "product")
 
 

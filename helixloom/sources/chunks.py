@@ -11,8 +11,11 @@ ranges is put together from its pieces.
 
 from __future__ import annotations
 
+import io
 import re
+import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -26,17 +29,20 @@ from helixloom.sources.sequences import GENBANK, GFF, _locus, gff_line
 CHUNK = 1 << 16
 RANGE = 32 << 20
 BLOCK = 1 << 20
+UNPACKED = 1 << 60  # past the end of any packed file
+HELD = 16 << 20  # letters of a record that are held in memory
 CHUNKS = "contig string, len long, start long, seq string"
 SUMMARY = "file string, first long, part long, lead long, heads long, tail long, opened boolean"
 PIECES = "file string, ord long, at long, piece string, head string"
 
 
 def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """file, first, last: the byte ranges of the files at a path; Spark lists the files and reads none."""
+    """file, first, last: the byte ranges of the files at a path; Spark lists the files and reads none. A packed file is one range, as it is read from its start."""
     listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").cast("long").alias("length")).where("length > 0")
-    starts = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("first"))
-    cut = starts.select("file", "first", F.least("length", F.col("first") + size).alias("last"))
-    many, weight = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0))).first()
+    packed = F.endswith("file", F.lit(".gz"))
+    starts = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.when(packed, 0).otherwise(F.col("length") - 1), F.lit(size).cast("long"))).alias("first"))
+    cut = starts.select("file", "first", F.when(packed, UNPACKED).otherwise(F.least("length", F.col("first") + size)).alias("last"))
+    many, weight = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(packed, RANGE).otherwise(F.col("last") - F.col("first"))), F.lit(0))).first()
     tasks = max(4 * spark.sparkContext.defaultParallelism, weight // RANGE)  # small ranges share tasks, which take one after the other
     return cut.repartition(max(1, min(many, tasks, 10_000)), "file", "first")
 
@@ -186,61 +192,91 @@ def gff_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(ends), "file", "left").where("until IS NULL OR ord < until").drop("until")
 
 
-def _genbank(size: int):
-    """Records that begin in a range: feature rows, and chunk rows whose letters never stand together."""
+def _parts(file: str, first: int, last: int) -> Iterator[tuple[str, str]]:
+    """("locus", line), ("line", line) up to the sequence, and ("seq", letters) of the records that begin in a range."""
+    inside = origin = False
+    for begins, line in _records(file, first, last):
+        if begins:
+            inside, origin = True, False
+            yield "locus", line
+        elif inside and origin:
+            if line.startswith("//"):
+                inside = False
+            else:
+                yield "seq", re.sub("[^A-Za-z]", "", line).upper()
+        elif inside:
+            origin = line.startswith("ORIGIN")
+            yield "line", line
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        columns = [*(x.split()[0] for x in GENBANK.split(", ")), "len", "chunk"]
-        for batch in batches:
-            for file, first, last in zip(*(batch[c].tolist() for c in ("file", "first", "last")), strict=True):
-                block: list[str] = []
-                letters, total, started = [], 0, 0
-                rows: list[tuple] = []
-
-                def spill(everything: bool) -> None:
-                    nonlocal letters, started
-                    text = "".join(letters)
-                    upto = len(text) if everything else len(text) // size * size
-                    rows.extend((file, "chunk", block[0].split()[1], None, text[k : k + size][: upto - k], None, started + k, None, None, None, None, None, None) for k in range(0, upto, size))  # noqa: B023
-                    started, letters = started + upto, [text[upto:]]  # noqa: B023
-
-                def close() -> None:
-                    if block:  # noqa: B023
-                        spill(True)
-                        for kind, name, desc, _, *rest in _locus(block):  # noqa: B023
-                            rows.append((file, kind, name, desc, None, *rest, total if kind == "record" else None, None))  # noqa: B023
-
-                origin, ended = False, False
-                for line in _records(file, first, last):
-                    if line.startswith("LOCUS") and re.match(r"LOCUS\s", line):
-                        close()
-                        block, letters, total, started, origin, ended = [line], [], 0, 0, False, False
-                    elif not block or ended:
-                        continue
-                    elif origin:
-                        ended = line.startswith("//")
-                        if not ended:
-                            clean = re.sub("[^A-Za-z]", "", line).upper()
-                            letters.append(clean)
-                            total += len(clean)
-                            if total - started >= 16 * size:
-                                spill(False)
-                    else:
-                        origin = line.startswith("ORIGIN")
-                        block.append(line)
-                    if len(rows) > 500:
-                        yield pd.DataFrame(rows, columns=columns).astype({"start": "Int64", "end": "Int64", "len": "Int64", "chunk": "Int64"})
+
+def _genbank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """A row for each record that begins in a range, and one for each of its features; letters are only counted."""
+    columns = [*(x.split()[0] for x in GENBANK.split(", ")), "len"]
+    kinds = {"start": "Int64", "end": "Int64", "len": "Int64"}
+    for batch in batches:
+        for file, first, last in zip(*(batch[c].tolist() for c in ("file", "first", "last")), strict=True):
+            block: list[str] = []
+            rows: list[tuple] = []
+            total = 0
+            for kind, data in chain(_parts(file, first, last), [("locus", "")]):
+                if kind == "seq":
+                    total += len(data)
+                elif kind == "line":
+                    block.append(data)
+                else:
+                    if block:
+                        rows += [(file, *row, total if row[0] == "record" else None) for row in _locus(block)]
+                    block, total = [data], 0
+                    if len(rows) > 500 or not data:
+                        yield pd.DataFrame(rows, columns=columns).astype(kinds)
                         rows = []
-                close()
+
+
+def _genbank_chunks(size: int):
+    """The chunks of the records that begin in a range. A record's letters are held until its length is known, on the worker's disk from ``HELD`` on."""
+
+    def cut(name: str, letters, total: int) -> Iterator[tuple[str, int, int, str]]:
+        letters.seek(0)
+        for start in range(0, total, size):
+            yield name, total, start, letters.read(size).decode("ascii")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, first, last in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "last")), strict=True):
+                name, rows, weight = None, [], 0
+                letters, total = tempfile.SpooledTemporaryFile(HELD), 0
+                for kind, data in chain(_parts(file, first, last), [("locus", "")]):
+                    if kind == "seq":
+                        letters.write(data.encode("ascii"))
+                        total += len(data)
+                    elif kind == "locus":
+                        for row in cut(name, letters, total):
+                            rows.append(row)
+                            weight += len(row[3])
+                            if weight > BLOCK:
+                                yield _chunk_batch(rows)
+                                rows, weight = [], 0
+                        if total > HELD:
+                            letters.close()
+                            letters = tempfile.SpooledTemporaryFile(HELD)
+                        letters.seek(0)
+                        letters.truncate()
+                        name, total = next(iter(data.split()[1:]), ""), 0
+                letters.close()
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"start": "Int64", "end": "Int64", "len": "Int64", "chunk": "Int64"})
+                    yield _chunk_batch(rows)
 
     return run
 
 
-def _records(file: str, first: int, last: int) -> Iterator[str]:
-    """The lines of the records whose LOCUS line begins in a range, which may end past it."""
-    with _open(file) as source:
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["contig", "len", "start", "seq"])
+
+
+def _records(file: str, first: int, last: int) -> Iterator[tuple[bool, str]]:
+    """The lines of the records whose LOCUS line begins in a range, which may end past it, and whether each is such a line."""
+    with io.BufferedReader(_open(file), BLOCK) as source:  # lines of packed files are cut by it, not by Python
         at = first
         if first:
             source.seek(first - 1)
@@ -248,18 +284,20 @@ def _records(file: str, first: int, last: int) -> Iterator[str]:
         source.seek(at)
         inside = False
         for line in source:
-            begins = line.startswith(b"LOCUS") and re.match(rb"LOCUS\s", line)
+            begins = line.startswith(b"LOCUS") and bool(re.match(rb"LOCUS\s", line))
             if at >= last and (begins or not inside):
                 return
-            inside = inside or bool(begins)
+            inside = inside or begins
             at += len(line)
             if inside:
-                yield line.decode("utf-8", "replace").rstrip("\r\n")
+                yield begins, line.decode("utf-8", "replace").rstrip("\r\n")
 
 
 def genbank(spark: SparkSession, path: str, size: int = CHUNK, split: int = RANGE) -> tuple[DataFrame, DataFrame]:
-    """Rows of kind ``record`` (with ``len``) and ``feature`` of GenBank files, and their chunks; a record's lines are read by one task, some at a time."""
-    rows = materialize(ranges(spark, path, split).mapInPandas(_genbank(size), GENBANK + ", len long, chunk long"), "genbank")
-    lengths = rows.where("kind = 'record'").select("file", "contig", "len")
-    chunks = rows.where("kind = 'chunk'").select("file", "contig", "start", "seq").join(lengths, ["file", "contig"])
-    return rows.where("kind <> 'chunk'").drop("seq", "chunk"), chunks.select("contig", "len", "start", "seq")
+    """Rows of kind ``record`` (with ``len``) and ``feature`` of GenBank files, and their chunks; a record's lines are read by one task, some at a time.
+
+    Each of the two tables reads the files for itself, so nothing of them is written again and no letters are shuffled.
+    """
+    parts = ranges(spark, path, split)
+    rows = parts.mapInPandas(_genbank_rows, GENBANK + ", len long").drop("seq")
+    return rows, parts.mapInArrow(_genbank_chunks(size), CHUNKS)

@@ -163,7 +163,7 @@ def _locus(block: list[str]) -> Iterator[tuple]:
             break
         letters.append(re.sub("[^A-Za-z]", "", line).upper())
     yield "record", name, desc, "".join(letters), None, None, None, None, None, None
-    heads = [k for k in range(first + 1, origin) if KEY.match(block[k])]
+    heads = [k for k in range(first + 1, origin) if not block[k][5:6].isspace() and KEY.match(block[k])]
     count = 0
     for head, stop in zip(heads, [*heads[1:], origin], strict=True):
         kind, place = KEY.match(block[head]).groups()

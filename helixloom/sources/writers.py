@@ -142,17 +142,20 @@ def genbank_lines(contigs: DataFrame, genes: DataFrame, date: str = "01-JAN-2026
     """value: the flat files of ``genbank`` as rows in their order, for ``write.text``; no row or task holds the genes of a contig.
 
     A contig's rows are one run of one partition, sorted as head, genes, sequence. Genes without a contig go; of contigs that
-    repeat a key the first carries the genes.
+    repeat a key the first carries the genes. All rows are shuffled once, and of a contig's letters only its last row has a copy.
     """
     pad = " " * 21
-    numbered = contigs.select("contig", "seq", F.row_number().over(Window.partitionBy("contig").orderBy("seq")).alias("copy"))
+    none = lambda kind: F.lit(None).cast(kind)
     empty = {"start": "long", "end": "long", "strand": "string", "locus_tag": "string", "product": "string", "protein": "string"}
-    heads = numbered.select("contig", "copy", F.lit(0).alias("part"), "seq", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-    bodies = genes.select("contig", F.lit(1).alias("copy"), F.lit(1).alias("part"), F.lit(None).cast("string").alias("seq"), *[F.col(c).cast(t).alias(c) for c, t in empty.items()])
-    tails = heads.withColumn("part", F.lit(2))
+    key = F.struct(F.substring("seq", 1, 64).alias("begin"), F.xxhash64("seq").alias("hash"))  # the same on head and sequence, so they get one number
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), none("string").alias("seq")), F.struct(F.lit(2).alias("part"), F.col("seq").alias("seq"))))
+    sides = contigs.select("contig", key.alias("key"), F.length("seq").alias("size"), ends.alias("end")).select("contig", "key", "size", "end.*", *[none(t).alias(c) for c, t in empty.items()])
+    bodies = genes.select("contig", none("struct<begin:string,hash:bigint>").alias("key"), none("int").alias("size"), F.lit(1).alias("part"), none("string").alias("seq"), *[F.col(c).cast(t).alias(c) for c, t in empty.items()])
+    dealt = sides.unionByName(bodies).repartition("contig")
+    copies = F.when(F.col("part") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("contig", "part").orderBy("key")))
     order = Window.partitionBy("contig").orderBy("copy", "part", "start", "end", "locus_tag").rowsBetween(Window.unboundedPreceding, 0)
-    rows = heads.unionByName(bodies).unionByName(tails).withColumn("known", F.max(F.col("part") == 0).over(order)).where("known")
-    name, size = F.col("contig").cast("string"), F.length("seq").cast("string")
+    rows = dealt.withColumn("copy", copies).withColumn("known", F.max(F.col("part") == 0).over(order)).where("known")
+    name, size = F.col("contig").cast("string"), F.col("size").cast("string")
     head = F.concat(
         F.lit("LOCUS       "), F.rpad(F.substring(name, 1, 16), 16, " "), F.lpad(size, 11, " "), F.lit(f" bp    DNA     linear BCT {date}\nDEFINITION  "), name, F.lit("\nACCESSION   "), name, F.lit("\nVERSION     "), name,
         F.lit("\nFEATURES             Location/Qualifiers\n     source          1.."), size, F.lit(f'\n{pad}/mol_type="genomic DNA"'),
