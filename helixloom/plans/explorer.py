@@ -60,7 +60,7 @@ def _annotated(spark, sf_dir):
 
 
 def parent_gene_resolution(spark, sf_dir):
-    return explorer.labelled(explorer.resolve_parents(_annotated(spark, sf_dir))).select("ord", "contig", "display_type", "locus_tag", "full_product")
+    return explorer.labelled(explorer.resolve_parents(_annotated(spark, sf_dir)), "ord", "contig").select("ord", "contig", "display_type", "locus_tag", "full_product")
 
 
 def locus_tags(spark, sf_dir):
